@@ -70,3 +70,13 @@ def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
     folder = folder or shared_folder(df.sparkSession)
     df.write.mode("overwrite").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def small(df: DataFrame, most_rows: int) -> DataFrame:
+    """Marked for broadcast if it has at most most_rows rows, else as it is, for a shuffled join.
+
+    df must be stored: it is counted here and read again by the join.
+    """
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
