@@ -7,16 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm.decontamination import OP7_SQL, op7_decontamination
+from marlstone.llm.interpolation import op9_lm_scores
+from marlstone.llm.packing import op1_packing
 from marlstone.llm.quality import op8_quality
+from marlstone.llm.repair import op2_token_ids
 from marlstone.llm.toxicity import op6_toxicity
 from marlstone.llm.warc import OP10_SQL, op10_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_packing": op1_packing,
+        "op2_token_ids": op2_token_ids,
         "op6_toxicity": op6_toxicity,
         "op7_decontamination": op7_decontamination,
         "op8_quality": op8_quality,
+        "op9_lm_scores": op9_lm_scores,
         "op10_warc": op10_warc,
     }
 

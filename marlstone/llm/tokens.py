@@ -11,6 +11,7 @@ there is no cut. Each distinct part is encoded by the library once and remembere
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -66,7 +67,7 @@ class Encoder:
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.length[n : n + len(keys)] = sizes
         self.start[n : n + len(keys)] = self.used + np.cumsum(sizes) - sizes
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
         self.used += total
         self.place.update(zip(keys, range(n, n + len(keys)), strict=True))
 
