@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm.decontamination import OP7_SQL, op7_decontamination
 from marlstone.llm.interpolation import op9_lm_scores
+from marlstone.llm.jaccard import op4_jaccard_join
+from marlstone.llm.language import op3_language
 from marlstone.llm.packing import op1_packing
 from marlstone.llm.quality import op8_quality
 from marlstone.llm.repair import op2_token_ids
@@ -19,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_token_ids": op2_token_ids,
+        "op3_language": op3_language,
+        "op4_jaccard_join": op4_jaccard_join,
         "op6_toxicity": op6_toxicity,
         "op7_decontamination": op7_decontamination,
         "op8_quality": op8_quality,
