@@ -10,6 +10,7 @@ from marlstone.llm.decontamination import OP7_SQL, op7_decontamination
 from marlstone.llm.interpolation import op9_lm_scores
 from marlstone.llm.jaccard import op4_jaccard_join
 from marlstone.llm.language import op3_language
+from marlstone.llm.lines import OP5_SQL, op5_line_dedup
 from marlstone.llm.packing import op1_packing
 from marlstone.llm.quality import op8_quality
 from marlstone.llm.repair import op2_token_ids
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_ids": op2_token_ids,
         "op3_language": op3_language,
         "op4_jaccard_join": op4_jaccard_join,
+        "op5_line_dedup": op5_line_dedup,
         "op6_toxicity": op6_toxicity,
         "op7_decontamination": op7_decontamination,
         "op8_quality": op8_quality,
@@ -32,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": OP7_SQL, "op10_warc": OP10_SQL}
+    return {"op5_line_dedup": OP5_SQL, "op7_decontamination": OP7_SQL, "op10_warc": OP10_SQL}
