@@ -69,7 +69,7 @@ def minhashes(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """Per document its class (a hash of the shingle set; null without one), band hashes and check bytes."""
-    names = ["doc_id", "class", "second", "bands", "checks"]
+    names = ["doc_id", "key", "class", "second", "bands", "checks"]
 
     def run(batches):
         for batch in batches:
@@ -91,9 +91,9 @@ def signatures(docs: DataFrame) -> DataFrame:
                     for k, i in enumerate(full.tolist()):
                         bands[i], checks[i] = key[k].tobytes(), byte[k].tobytes()
                 none = np.diff(first) == 0
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(own.view(np.int64), mask=none), pa.array(second.view(np.int64), mask=none), pa.array(bands, pa.binary()), pa.array(checks, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(own.view(np.int64), mask=none), pa.array(second.view(np.int64), mask=none), pa.array(bands, pa.binary()), pa.array(checks, pa.binary())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, class long, second long, bands binary, checks binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text").mapInArrow(run, "doc_id long, key long, class long, second long, bands binary, checks binary")
 
 
 def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> list[int]:
@@ -325,22 +325,28 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """Per document: class_id, the smallest doc_id among all that links connect it to, and n_links, its linked documents."""
+def linked_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
+    """Signed documents (doc_id, key of the text, class) and classes (first document, copies, links, root)."""
     ship(docs.sparkSession)
     signed = stored(signatures(docs))
-    classes = stored(signed.where("class IS NOT NULL").groupBy("class", "second").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("checks").alias("checks")))
+    known = signed.where("class IS NOT NULL")
+    classes = stored(known.groupBy("class", "second").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("checks").alias("checks")))
     member = buckets(classes).join(classes.select("class", "bands", "checks"), "class")
     alive = stored(by_group(member, ["key", "p", "q"], "class", prune(threshold, tolerance), "key long, p int, q int, seat int, class long, pairs binary"))
 
     wanted = stored(classes.join(alive.select("class").distinct(), "class", "left_semi").select("class", "doc_id", "copies"))
-    sets = shingle_sets(docs, wanted)
-    seated = alive.join(sets, "class")
+    seated = alive.join(shingle_sets(docs, wanted), "class")
     linked = stored(by_group(seated, ["key", "p", "q"], "seat", verify(threshold), "class long, links long, root long"))
 
     star = components(linked.select(F.col("class").alias("u"), F.col("root").alias("v")))
     links = linked.groupBy("class").agg(F.sum("links").alias("links"))
-    placed = classes.select("class", "doc_id", "copies").join(links, "class", "left").join(star.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    placed = classes.select("class", "first", "doc_id", "copies").join(links, "class", "left").join(star.withColumnRenamed("node", "class"), "class", "left")
+    return signed, placed.withColumn("root", F.coalesce("root", "class"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """Per document: class_id, the smallest doc_id among all that links connect it to, and n_links, its linked documents."""
+    signed, placed = linked_classes(docs, threshold, tolerance)
     smallest = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     found = placed.join(smallest, "root").select("class", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     return signed.select("doc_id", "class").join(found, "class", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
@@ -363,14 +369,24 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents without those linked to one of a smaller doc_id's group; columns as they are.
+    """One document of each group of linked ones, that of the smallest doc_id; columns as they are.
 
-    Of rows that repeat the smallest doc_id of a group one stays, the first by text.
+    Of rows that repeat that doc_id the first by a hash of the text stays, and one of equal rows.
+    Documents without doc_id or without words stay.
     """
-    found = near_duplicates(docs, threshold)
-    gone = stored(found.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct())
-    kept = docs.join(small(gone, BROADCAST_ROWS), docs["doc_id"] == F.col("_gone"), "left_anti")
-    return kept
+    signed, placed = linked_classes(docs, threshold)
+    known = signed.where("class IS NOT NULL AND doc_id IS NOT NULL")
+    first = placed.groupBy("root").agg(F.min(F.when(F.col("first.doc_id").isNotNull(), F.col("first"))).alias("stays"))
+    kept = placed.select("class", "root").join(first, "root").select("class", "stays")
+    gone = stored(known.join(kept, "class").where("doc_id <> stays.doc_id OR key <> stays.key").select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).distinct())
+    again = stored(known.groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).count().where("count > 1").drop("count"))
+    same = (docs["doc_id"] == F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_key"))
+    rest = docs.join(small(gone, BROADCAST_ROWS), same, "left_anti")
+    if again.isEmpty():
+        return rest
+    same = (rest["doc_id"] == F.col("_doc")) & (F.xxhash64(rest["text"]) == F.col("_key"))
+    repeated = rest.join(small(again, BROADCAST_ROWS), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return rest.join(small(again, BROADCAST_ROWS), same, "left_anti").unionByName(repeated)
 
 
 def op4_jaccard_join(spark, sf_dir) -> DataFrame:
