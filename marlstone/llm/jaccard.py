@@ -380,13 +380,13 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     kept = placed.select("class", "root").join(first, "root").select("class", "stays")
     gone = stored(known.join(kept, "class").where("doc_id <> stays.doc_id OR key <> stays.key").select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).distinct())
     again = stored(known.groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).count().where("count > 1").drop("count"))
-    same = (docs["doc_id"] == F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_key"))
-    rest = docs.join(small(gone, BROADCAST_ROWS), same, "left_anti")
+    whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")  # boxed, so no name can clash
+    boxed = docs.select(whole, docs["doc_id"].cast("long").alias("_doc"), F.xxhash64(docs["text"]).alias("_key"))
+    rest = boxed.join(small(gone, BROADCAST_ROWS), ["_doc", "_key"], "left_anti")
     if again.isEmpty():
-        return rest
-    same = (rest["doc_id"] == F.col("_doc")) & (F.xxhash64(rest["text"]) == F.col("_key"))
-    repeated = rest.join(small(again, BROADCAST_ROWS), same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return rest.join(small(again, BROADCAST_ROWS), same, "left_anti").unionByName(repeated)
+        return rest.select("row.*")
+    repeated = rest.join(small(again, BROADCAST_ROWS), ["_doc", "_key"], "left_semi").dropDuplicates(["_doc", "_key"])
+    return rest.join(small(again, BROADCAST_ROWS), ["_doc", "_key"], "left_anti").unionByName(repeated.select(*rest.columns)).select("row.*")
 
 
 def op4_jaccard_join(spark, sf_dir) -> DataFrame:
