@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from marlstone.llm import textbatch as tb
 from marlstone.session import ship, stored, table
 
-CHUNK_TOKENS = 1_500_000
+CHUNK_TOKENS = 1_000_000
 #: Tokens for each range of keys, about.
-RANGE_TOKENS = 2_000_000
+RANGE_TOKENS = 1_000_000
 #: One in so many training documents is held out for the weights.
 HELD_OUT = 10
 BUCKETS, STEPS, LOWEST = 24, 41, -40
@@ -102,7 +102,7 @@ def chunks(docs: DataFrame) -> DataFrame:
         held: dict[int, list[tuple]] = {MAIN: [], HELD: [], TEST: []}
         size = dict.fromkeys(held, 0)
         for batch in batches:
-            for part in tb.slices(batch):
+            for part in tb.slices(batch, most=1 << 20):
                 w = tb.words(part.column("text"), tb.NOT_SPACE, lower=True)
                 kinds = part.column("kind").to_numpy(zero_copy_only=False)
                 ids, missing = part.column("doc_id").fill_null(0).to_numpy(), part.column("doc_id").is_null().to_numpy(zero_copy_only=False)
