@@ -11,10 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.functions import text, timing, urls
+from marlstone.functions import chunks, text, timing, urls
 from marlstone.operators import items, runs, usage
-from marlstone.session import table
-from marlstone.sources import pages
+from marlstone.session import shared_folder, table
+from marlstone.sources import listings, pages, robots, transcripts
+from marlstone.streaming import known
 
 #: model, provider, price in, price out; 'error' has no price, 'view' only from another provider
 PRICES = (("click", "a", "1.00", "2.00"), ("purchase", "b", "3.00", "9.50"), ("signup", "b", "0.25", "1.25"), ("view", "b", "0.10", "0.40"))
@@ -206,7 +207,10 @@ _CANON = r"""CASE WHEN regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN
     || CASE WHEN q = '' THEN '' ELSE '?' || q END ELSE url END"""
 
 
-@query(f"""SELECT page_id, {_CANON} AS canonical FROM (SELECT page_id, url, array_to_string(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT (lower(split_part(p, '=', 1)) LIKE 'utm\\_%' ESCAPE '\\' OR lower(split_part(p, '=', 1)) IN ('dclid', 'fbclid', 'gbraid', 'gclid', 'igshid', 'mc_cid', 'mc_eid', 'msclkid', 'wbraid', 'yclid'))), '&') AS q FROM pages)""")
+_QUERY = "array_to_string(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT (lower(split_part(p, '=', 1)) LIKE 'utm\\_%' ESCAPE '\\' OR lower(split_part(p, '=', 1)) IN ('dclid', 'fbclid', 'gbraid', 'gclid', 'igshid', 'mc_cid', 'mc_eid', 'msclkid', 'wbraid', 'yclid'))), '&')"
+
+
+@query(f"""SELECT page_id, {_CANON} AS canonical FROM (SELECT page_id, url, {_QUERY} AS q FROM pages)""")
 def canonical_url(spark, d):
     return table(spark, d, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("canonical"))
 
@@ -304,3 +308,68 @@ def page_fingerprints(spark, d):
 @query()
 def folded_text(spark, d):
     return table(spark, d, "documents").select("doc_id", text.fold("text").alias("folded"))
+
+
+@query()
+def text_chunks(spark, d):
+    return chunks.chunks(table(spark, d, "documents"), "doc_id", "text", 200, 20)
+
+
+@query(r"SELECT page_id, regexp_replace(regexp_replace(html, '<(\s*(?:/\s*)?(?:script|title)\b[^<>]*)>', '‹\1›', 'gi'), '<(\s*(?:/\s*)?(?:script|title)\b[^<>]*)', '‹\1', 'gi') AS html FROM pages")
+def neutral_tags(spark, d):
+    return table(spark, d, "pages").select("page_id", text.neutral_tags(F.col("html"), ["script", "title"]).alias("html"))
+
+
+@query("SELECT p_partkey, coalesce(nullif(trim(left(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-'), 48), '-'), ''), 'job') AS slug FROM part")
+def job_slugs(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.slug(F.col("p_name")).alias("slug"))
+
+
+@query("SELECT o_orderkey, 'News for ' || o_orderpriority || ' on ' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS subject FROM orders")
+def subjects(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", text.subject("News  for {job_name} on {date}\n", F.col("o_orderpriority"), F.to_date("o_orderdate").cast("string")).alias("subject"))
+
+
+@query(r"SELECT page_id, NOT contains(rest, '?') OR contains(rest, 'utm_source=') AS allowed FROM (SELECT page_id, regexp_extract(url, '^[^:]+://[^/?#]*([^#]*)', 1) AS rest FROM pages)")
+def robots_allowed(spark, d):
+    found = table(spark, d, "pages").select("page_id", "url")
+    hosts = found.select(urls.origin(F.col("url")).alias("origin")).distinct().where("origin IS NOT NULL")
+    files = hosts.withColumn("body", F.lit("User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /*? # queries\nAllow: /*utm_source=\nDisallow:\n"))
+    return robots.allowed(found, "url", robots.rules(files, "reader")).select("page_id", "allowed")
+
+
+@query(f"SELECT page_id, {_CANON} AS link, CASE page_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '2024-03-01 00:00:00' ELSE '2024-03-05 06:00:00' END AS lastmod FROM (SELECT page_id, url, {_QUERY} AS q FROM pages)")
+def sitemap_entries(spark, d):
+    escaped = F.replace("url", F.lit("&"), F.lit("&amp;"))
+    date = F.when(F.col("page_id") % 3 == 0, "<lastmod>soon</lastmod>").when(F.col("page_id") % 3 == 1, "<lastmod>2024-03</lastmod>").otherwise("<lastmod>2024-03-05T08:00:00+02:00</lastmod>")
+    body = F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>'), escaped, F.lit("</loc>"), date, F.lit("</url><url><loc> "), escaped, F.lit(" </loc></url><url><loc>mailto:a@b</loc></url></urlset>"))
+    maps = table(spark, d, "pages").select(F.col("page_id").alias("map_id"), F.lit("http://base.org/").alias("base"), body.alias("body"))
+    return listings.sitemap_entries(maps).select(F.col("map_id").alias("page_id"), "link", F.date_format("lastmod", "yyyy-MM-dd HH:mm:ss").alias("lastmod"))
+
+
+@query("SELECT doc_id, 'https://feeds.example.org/d/' || doc_id AS link, sha256('https://feeds.example.org/d/' || doc_id) AS url_hash, source AS title, '2024-02-06 08:30:00' AS published FROM documents WHERE source IS NOT NULL AND source <> ''")
+def feed_entries(spark, d):
+    item = F.concat(F.lit("<item><title>&lt;b&gt;"), F.col("source"), F.lit("&lt;/b&gt;</title><link>/d/"), F.col("doc_id"), F.lit("?utm_source=rss</link><pubDate>Tue, 06 Feb 2024 09:30:00 +0100</pubDate></item>"))
+    body = F.concat(F.lit('<rss version="2.0"><channel><title>x</title>'), item, item, F.lit("<item><title>no link</title></item></channel></rss>"))
+    feeds = table(spark, d, "documents").where("source <> ''").select(F.col("doc_id").alias("feed_id"), F.lit("https://Feeds.example.org/rss").alias("base"), body.alias("body"))
+    return listings.feed_entries(feeds).select(F.col("feed_id").alias("doc_id"), "link", "url_hash", "title", F.date_format("published", "yyyy-MM-dd HH:mm:ss").alias("published"))
+
+
+@query("""SELECT video, position, tier, row_number() OVER (PARTITION BY video ORDER BY tier, CASE WHEN NOT automatic THEN 0 WHEN original THEN 1 ELSE 2 END, position) AS rank FROM (
+    SELECT user_id AS video, event_id AS position, event_id % 2 = 1 AS automatic, event_id % 3 = 0 AS original,
+           CASE WHEN automatic AND NOT original THEN CASE event_type WHEN 'click' THEN 7 END ELSE CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 3 ELSE 5 END + CASE WHEN automatic THEN 1 ELSE 0 END END AS tier FROM events)
+    WHERE tier IS NOT NULL QUALIFY rank <= 4""")
+def transcript_tracks(spark, d):
+    key = F.col("event_id")
+    language = F.when(F.col("event_type") == "click", "de").when(F.col("event_type") == "view", "en").otherwise(F.lit("fr"))
+    tracks = table(spark, d, "events").select(F.col("user_id").alias("video"), key.alias("position"), F.concat(F.lit("track"), key).alias("key"), language.alias("language"), (key % 2 == 1).alias("automatic"), (key % 3 == 0).alias("original"))
+    return transcripts.ranked_tracks(tracks, "de-AT").select("video", "position", "tier", "rank")
+
+
+@query()
+def streamed_candidates(spark, d):
+    # A pattern, since the table may be one file, and a stream's plain path must be a folder.
+    docs = spark.readStream.schema(table(spark, d, "documents").schema).parquet(f"{d}/documents.*")
+    folder = shared_folder(spark)
+    known.follow(docs.select(F.col("doc_id").alias("seq"), F.sha2("text", 256).alias("url_hash"), F.sha2("text", 256).alias("content_hash")).where("url_hash IS NOT NULL"), folder).awaitTermination()
+    return known.decisions(spark, folder).select("url_hash", "seq", "kind")

@@ -97,3 +97,9 @@ def test_html_text_and_links(spark):
 def test_folding_equates_sharp_s(spark):
     got = spark.createDataFrame([("Straße",), ("STRASSE",), (None,)], "t string").select(text.fold("t")).collect()
     assert got[0] == got[1] and got[2][0] is None
+
+
+def test_streamed_candidates_and_chunks_cover_the_table(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    assert catalog.streamed_candidates(spark, str(DATA)).where("kind = 'new'").count() == docs.where("text IS NOT NULL").select("text").distinct().count()
+    assert catalog.text_chunks(spark, str(DATA)).select("doc_id").distinct().count() == docs.where("trim(text) <> ''").select("doc_id").distinct().count()
