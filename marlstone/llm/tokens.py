@@ -80,8 +80,10 @@ class Encoder:
         if self.lower:
             data = tb.LOWER[data]
         kind = classes(data)
-        cut = np.flatnonzero(_CUT[kind[:-1], kind[1:]]) + 1
-        start = np.unique(np.concatenate([cut, bounds[:-1][np.diff(bounds) > 0]]))
+        begins = np.zeros(len(data), bool)
+        begins[1:] = _CUT[kind[:-1], kind[1:]]
+        begins[bounds[:-1][np.diff(bounds) > 0]] = True
+        start = np.flatnonzero(begins)
         end = np.append(start[1:], len(data))
         if self.lower:  # white space before a part doesn't count
             word = np.flatnonzero(kind != _SPACE)
