@@ -238,3 +238,16 @@ def test_pipeline_keeps_columns_and_the_last_stage_packs(spark):
         assert out.columns == table.columns and 0 < out.count() <= before, name
     pieces = corpus_pipeline.STAGES[-1][1](spark, out, DATA)
     assert {r[0] for r in pieces.select("doc_id").distinct().collect()} == {r[0] for r in out.select("doc_id").collect()}
+
+
+def test_line_tokens_of_equal_32_bit_hashes_differ(spark):
+    found = spark.range(300_000).select(F.concat(F.lit("w"), "id").alias("w")).groupBy(F.hash("w")).agg(F.sort_array(F.collect_list("w")).alias("w")).where("size(w) > 1").first()
+    made = [f"one two {w} four five" for w in found["w"][:2]]
+    assert lines.removed(docs(spark, made)).count() == 0
+
+
+def test_line_dedup_of_the_pipeline_normalises_words(spark):
+    line = "The quick brown fox jumps over the lazy dog"
+    made = [line, line.upper(), line.replace(" ", "\t"), line + "\r", line.replace(" ", "  "), line + "!"]
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, docs(spark, made), DATA).collect()}
+    assert out == {0: line} | dict.fromkeys(range(1, 6), "")
