@@ -211,7 +211,8 @@ def learn(parts: DataFrame, back: DataFrame) -> Weights:
         cells, times = np.unique(cell, return_counts=True)
         return pa.table({"cell": cells.astype(np.int64), "n": times.astype(np.int64)})
 
-    held = parts.where(F.col("kind") == HELD).groupBy("chunk").cogroup(back.where(F.length("u_main") > 0).groupBy("chunk"))
+    answers = back.where((F.length("u_main") > 0) | (F.length("b_main") > 0))  # a range may have bigrams and no word, or the reverse
+    held = parts.where(F.col("kind") == HELD).groupBy("chunk").cogroup(answers.groupBy("chunk"))
     rows = held.applyInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     cell, times = np.array([r["cell"] for r in rows], int), np.array([r["n"] for r in rows], float)
     value = lambda s: np.where(s > 0, 2.0 ** ((s - STEPS + 1) / 2), 0)

@@ -251,3 +251,18 @@ def test_line_dedup_of_the_pipeline_normalises_words(spark):
     made = [line, line.upper(), line.replace(" ", "\t"), line + "\r", line.replace(" ", "  "), line + "!"]
     out = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, docs(spark, made), DATA).collect()}
     assert out == {0: line} | dict.fromkeys(range(1, 6), "")
+
+
+def kinds(n):
+    """Ids below n by their part in the language model."""
+    crc = lambda x: zlib.crc32(x.encode())
+    return {i: interpolation.TEST if crc(str(i)) % 5 == 1 else interpolation.HELD if crc(f"held out {i}") % 10 == 0 else interpolation.MAIN for i in range(n)}
+
+
+def test_language_model_with_many_ranges_and_a_small_held_out_chunk(spark):
+    part = kinds(200)
+    held = next(i for i, k in part.items() if k == interpolation.HELD)
+    texts = [(i, " ".join(words(30, i))) for i, k in part.items() if k != interpolation.HELD or i == held]
+    parts = interpolation.chunks(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1))
+    one, many = (interpolation.learn(parts, interpolation.totals(parts, bits)) for bits in (0, 7))
+    assert (one.lambdas == many.lambdas).all() and (one.tokens, one.distinct) == (many.tokens, many.distinct)
