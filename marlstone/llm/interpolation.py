@@ -12,8 +12,8 @@ keys; then each chunk is scored alone. A key that half of all documents hold is
 chunk, so no range gets more than its share. Words are known by 64-bit hashes, bigrams by 48 bits
 of a hash.
 
-Only the (bucket, bigram, unigram) histogram of held-out tokens goes to the driver, at most some
-40,000 rows. Null and empty texts hold one token, the end. A null doc_id belongs to training.
+Only the (bucket, bigram, unigram) histogram of held-out tokens goes to the driver. Its steps of
+half an octave reach down to one in all training tokens: at most some 100,000 rows at 2**32 tokens. Null and empty texts hold one token, the end. A null doc_id belongs to training.
 Repeated rows count, and are scored, each. Other columns aren't read. Without training documents
 every estimate is the uniform one; without held-out tokens the weights stay at their start.
 """
@@ -36,7 +36,7 @@ CHUNK_TOKENS = 1_000_000
 RANGE_TOKENS = 1_000_000
 #: One in so many training documents is held out for the weights.
 HELD_OUT = 10
-BUCKETS, STEPS, LOWEST = 24, 41, -40
+BUCKETS = 24
 ROUNDS = 40
 END = np.uint64(0x5EED0FE9D0C5A11E)
 MAIN, HELD, TEST = 0, 1, 2
@@ -201,13 +201,14 @@ def learn(parts: DataFrame, back: DataFrame) -> Weights:
     n = {r["kind"]: r["n"] for r in parts.groupBy("kind").agg(F.sum("n_tokens").alias("n")).collect()}
     distinct = back.select(F.sum("distinct")).first()[0] or 0
     main = n.get(MAIN, 0)
+    steps = 2 * int(np.ceil(np.log2(max(main, 1)))) + 2  # 0 is no estimate, 1 at most one in main, the last is 1
 
     def count(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         if not chunk.num_rows:
             return pa.table({"cell": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
         own, context, both = _located(chunk, answers, "main")
-        step = lambda p: np.where(p > 0, np.clip(np.round(2 * np.log2(np.maximum(p, 1e-300))), LOWEST * 2 + 42, 0) + STEPS - 1, 0).astype(int)
-        cell = (_bucket(context) * STEPS + step(both / np.maximum(context, 1))) * STEPS + step(own / max(main, 1))
+        step = lambda p: np.where(p > 0, np.minimum(np.round(2 * np.log2(np.maximum(p, 1e-300))), 0) + steps - 1, 0).astype(int)
+        cell = (_bucket(context) * steps + step(both / np.maximum(context, 1))) * steps + step(own / max(main, 1))
         cells, times = np.unique(cell, return_counts=True)
         return pa.table({"cell": cells.astype(np.int64), "n": times.astype(np.int64)})
 
@@ -215,9 +216,9 @@ def learn(parts: DataFrame, back: DataFrame) -> Weights:
     held = parts.where(F.col("kind") == HELD).groupBy("chunk").cogroup(answers.groupBy("chunk"))
     rows = held.applyInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     cell, times = np.array([r["cell"] for r in rows], int), np.array([r["n"] for r in rows], float)
-    value = lambda s: np.where(s > 0, 2.0 ** ((s - STEPS + 1) / 2), 0)
-    p = np.column_stack([value(cell // STEPS % STEPS), value(cell % STEPS), np.full(len(cell), 1 / (distinct + 1))])
-    bucket = cell // STEPS // STEPS
+    value = lambda s: np.where(s > 0, 2.0 ** ((s - steps + 1) / 2), 0)
+    p = np.column_stack([value(cell // steps % steps), value(cell % steps), np.full(len(cell), 1 / (distinct + 1))])
+    bucket = cell // steps // steps
     lambdas = np.tile(_START, (BUCKETS, 1))
     for _ in range(ROUNDS):
         share = lambdas[bucket] * p

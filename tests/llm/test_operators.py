@@ -266,3 +266,15 @@ def test_language_model_with_many_ranges_and_a_small_held_out_chunk(spark):
     parts = interpolation.chunks(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1))
     one, many = (interpolation.learn(parts, interpolation.totals(parts, bits)) for bits in (0, 7))
     assert (one.lambdas == many.lambdas).all() and (one.tokens, one.distinct) == (many.tokens, many.distinct)
+
+
+def test_language_model_weights_have_no_floor(spark):
+    """A word seen once in 2**21 tokens is rarer than one of 2**20 words by chance."""
+    part = kinds(200)
+    main, held = ([i for i, k in part.items() if k == x] for x in (interpolation.MAIN, interpolation.HELD))
+    rare = [f"{k:x}" for k in range(1 << 20)]
+    order = random.Random(1).sample(rare, 3000)
+    texts = [(main[0], " ".join(rare)), (main[1], "same " * (1 << 20)), (held[0], " ".join(order))]
+    parts = interpolation.chunks(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1))
+    weights = interpolation.learn(parts, interpolation.totals(parts, 1))
+    assert weights.lambdas[1][2] > weights.lambdas[1][1]
