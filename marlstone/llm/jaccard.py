@@ -330,11 +330,12 @@ def linked_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: flo
     ship(docs.sparkSession)
     signed = stored(signatures(docs))
     known = signed.where("class IS NOT NULL")
-    classes = stored(known.groupBy("class", "second").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("checks").alias("checks")))
+    classes = stored(known.groupBy("class", "second").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.min("doc_id").alias("doc_id"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))).alias("named"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("checks").alias("checks")))
     member = buckets(classes).join(classes.select("class", "bands", "checks"), "class")
     alive = stored(by_group(member, ["key", "p", "q"], "class", prune(threshold, tolerance), "key long, p int, q int, seat int, class long, pairs binary"))
 
-    wanted = stored(classes.join(alive.select("class").distinct(), "class", "left_semi").select("class", "doc_id", "copies"))
+    source = F.coalesce("named", "first")  # a class may have no document with a doc_id
+    wanted = stored(classes.join(alive.select("class").distinct(), "class", "left_semi").select("class", source["doc_id"].alias("_doc"), source["key"].alias("_key"), "copies"))
     seated = alive.join(shingle_sets(docs, wanted), "class")
     linked = stored(by_group(seated, ["key", "p", "q"], "seat", verify(threshold), "class long, links long, root long"))
 
@@ -360,11 +361,12 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for part in tb.slices(batch, most=1 << 20):
                 values, first = shingles(part.column("text"))
                 own = np.array([tb.mix(np.array([tb.mix(values[a:b]).sum()]))[0] if b > a else 0 for a, b in zip(first[:-1], first[1:], strict=True)], np.uint64).view(np.int64)
-                same = np.flatnonzero((own == part.column("class").to_numpy()) & (np.diff(first) > 0))  # doc_id may repeat with another text
+                same = np.flatnonzero((own == part.column("class").to_numpy()) & (np.diff(first) > 0))  # a key may be another text's too
                 packed = [pack_set(values[first[k] : first[k + 1]]) for k in same]
                 yield pa.RecordBatch.from_arrays([part.column("class").take(pa.array(same)), part.column("copies").take(pa.array(same)), pa.array(packed, pa.binary())], names=["class", "copies", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(wanted, BROADCAST_ROWS), "doc_id")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text").join(small(wanted, BROADCAST_ROWS), same)
     return texts.mapInArrow(run, "class long, copies long, shingles binary").dropDuplicates(["class"])
 
 

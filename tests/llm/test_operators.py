@@ -278,3 +278,13 @@ def test_language_model_weights_have_no_floor(spark):
     parts = interpolation.chunks(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1))
     weights = interpolation.learn(parts, interpolation.totals(parts, 1))
     assert weights.lambdas[1][2] > weights.lambdas[1][1]
+
+
+def test_near_copies_without_doc_id(spark):
+    texts = [" ".join(words(120, k)) for k in (41, 42, 43)]
+    near = [t + " changed" for t in texts]
+    made = [(1, texts[0]), (None, near[0]), (2, texts[1]), (3, near[1]), (None, texts[2]), (None, near[2])]
+    table = spark.createDataFrame(made, "doc_id long, text string")
+    found = sorted(jaccard.near_duplicates(table).collect(), key=repr)
+    assert [tuple(r) for r in found] == [(1, 1, 1), (2, 2, 1), (3, 2, 1), *[(None, None, 1)] * 3]
+    assert sorted((r["doc_id"] or 0) for r in jaccard.keep_one(table).collect()) == [0, 0, 0, 1, 2]
