@@ -22,18 +22,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.llm import textbatch as tb
-from marlstone.session import ship
+from marlstone.session import ship, small, stored
 
 WINDOW = 10
 #: Words of items in one automaton: at most some 100 MB in a Python worker.
 BLOCK_WORDS = 100_000
 #: A document with a larger share of hit words goes whole.
 MAX_COVERAGE = 0.5
+#: Documents with hits whose spans may go to every task; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
 _SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -177,10 +180,8 @@ def digest(names: set[str]) -> str:
     return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per document: doc_id, n_words, hit spans of words and the sorted names of the items that occur."""
-    spark = docs.sparkSession
-    ship(spark)
+def scans(docs: DataFrame, shared: list[Broadcast]) -> list[DataFrame]:
+    """Of each block per document: doc_id, n_words, hit spans of words, the sorted names of the items that occur and a hash of the text."""
     schema = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>, text_key long"
     arrow = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string())), ("text_key", pa.int64())])
 
@@ -203,7 +204,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         return run
 
     source = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key"))
-    found = [source.mapInArrow(scan(spark.sparkContext.broadcast(a)), schema) for a in automata(benchmark, window, block_words)]
+    return [source.mapInArrow(scan(one), schema) for one in shared]
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Per document: doc_id, n_words, hit spans of words and the sorted names of the items that occur."""
+    spark = docs.sparkSession
+    ship(spark)
+    found = scans(docs, [spark.sparkContext.broadcast(a) for a in automata(benchmark, window, block_words)])
     if len(found) == 1:
         return found[0].drop("text_key")
     united = found[0]
@@ -227,42 +235,77 @@ def merged(spans: str):
     )
 
 
+def cut(text: bytes, start: np.ndarray, end: np.ndarray) -> str:
+    """The text without the byte ranges, which are ascending and apart."""
+    kept, a = [], 0
+    for x, y in zip(start.tolist(), end.tolist(), strict=True):
+        kept.append(text[a:x])
+        a = y
+    return b"".join([*kept, text[a:]]).decode()
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents without hit spans; those over max_coverage are dropped. Same columns as docs.
 
-    A span is cut from its first word to its last. Blocks of items are applied one after another
-    to the same batch, so no shuffle is needed here.
+    A span is cut from its first word to its last. With one block of items no shuffle is needed.
+    With more, each block scans the uncut texts; a document's spans of all blocks are united, then
+    cut and measured once, so the result doesn't depend on how items are dealt into blocks.
     """
     spark = docs.sparkSession
     ship(spark)
+    shared = [spark.sparkContext.broadcast(a) for a in automata(benchmark, window, block_words)]
+    if len(shared) > 1:
+        return _clean_blocks(docs, shared, max_coverage)
     at = docs.columns.index("text")
-    for one in automata(benchmark, window, block_words):
-        shared = spark.sparkContext.broadcast(one)
 
-        def run(batches, shared=shared):
-            for batch in batches:
-                for part in tb.slices(batch):
-                    w = tb.words(part.column("text"), tb.ALNUM, lower=True)
-                    hit, items = hits(shared.value, w)
-                    if not items:
-                        yield part
-                        continue
-                    plain, bounds = tb.raw(part.column("text"))
-                    share = tb.sum_by(hit, w.first) / np.maximum(w.counts(), 1)
-                    texts = part.column("text").to_pylist()
-                    for row in items:
-                        kept, a = [], bounds[row]
-                        marks = hit[w.first[row] : w.first[row + 1]]
-                        edge = np.flatnonzero(np.diff(np.concatenate([[0], marks.view(np.int8), [0]]))) + w.first[row]
-                        for x, y in zip(edge[::2], edge[1::2], strict=True):
-                            kept.append(plain[a : w.start[x]].tobytes())
-                            a = w.end[y - 1]
-                        texts[row] = b"".join([*kept, plain[a : bounds[row + 1]].tobytes()]).decode()
-                    part = part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
-                    yield part.filter(pa.array(share <= max_coverage))
-
-        docs = docs.mapInArrow(run, T.StructType(docs.schema.fields))
-    return docs
+    def run(batches):
+        for batch in batches:
+            for part in tb.slices(batch):
+                w = tb.words(part.column("text"), tb.ALNUM, lower=True)
+                hit, items = hits(shared[0].value, w)
+                if not items:
+                    yield part
+                    continue
+                plain, bounds = tb.raw(part.column("text"))
+                share = tb.sum_by(hit, w.first) / np.maximum(w.counts(), 1)
+                texts = part.column("text").to_pylist()
+                for row in items:
+                    marks = hit[w.first[row] : w.first[row + 1]]
+                    edge = np.flatnonzero(np.diff(np.concatenate([[0], marks.view(np.int8), [0]]))) + w.first[row]
+                    texts[row] = cut(plain[bounds[row] : bounds[row + 1]].tobytes(), w.start[edge[::2]] - bounds[row], w.end[edge[1::2] - 1] - bounds[row])
+                part = part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
+                yield part.filter(pa.array(share <= max_coverage))
+
+    return docs.mapInArrow(run, T.StructType(docs.schema.fields))
+
+
+def _clean_blocks(docs: DataFrame, shared: list[Broadcast], max_coverage: float) -> DataFrame:
+    """Spans of all blocks go to the documents by doc_id and a hash of the text."""
+    found = [f.where(F.size("spans") > 0).select("doc_id", "text_key", "spans") for f in scans(docs, shared)]
+    united = found[0]
+    for more in found[1:]:
+        united = united.unionByName(more)
+    spans = stored(united.groupBy(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).agg(F.flatten(F.collect_set("spans")).alias("spans")).select("_doc", "_key", merged("spans").alias("_spans")))
+    whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")  # boxed, so no name can clash
+    boxed = docs.select(whole, docs["text"].alias("text"), docs["doc_id"].cast("long").alias("doc"), F.xxhash64(docs["text"]).alias("key"))
+    hit = boxed.join(small(spans, BROADCAST_ROWS), F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")), "left").select("row", "text", "_spans")
+
+    def run(batches):
+        for batch in batches:
+            for part in tb.slices(batch):
+                w = tb.words(part.column("text"), tb.ALNUM, lower=True, hashed=False)
+                plain, bounds = tb.raw(part.column("text"))
+                texts, spans = part.column("text").to_pylist(), part.column("_spans").to_pylist()
+                stays = np.ones(part.num_rows, bool)
+                for row in [k for k, x in enumerate(spans) if x]:
+                    first = w.first[row]
+                    a, b = (np.array([x[side] for x in spans[row]]) for side in ("start", "end"))
+                    stays[row] = (b - a).sum() / (w.first[row + 1] - first) <= max_coverage
+                    texts[row] = cut(plain[bounds[row] : bounds[row + 1]].tobytes(), w.start[first + a] - bounds[row], w.end[first + b - 1] - bounds[row])
+                cleaned = pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, part.column("text").type)], names=["row", "text"])
+                yield cleaned.filter(pa.array(stays))
+
+    return hit.mapInArrow(run, T.StructType([hit.schema["row"], hit.schema["text"]])).select(F.col("row").withField("text", F.col("text")).alias("row")).select("row.*")
 
 
 def op7_decontamination(spark, sf_dir) -> DataFrame:

@@ -288,3 +288,24 @@ def test_near_copies_without_doc_id(spark):
     found = sorted(jaccard.near_duplicates(table).collect(), key=repr)
     assert [tuple(r) for r in found] == [(1, 1, 1), (2, 2, 1), (3, 2, 1), *[(None, None, 1)] * 3]
     assert sorted((r["doc_id"] or 0) for r in jaccard.keep_one(table).collect()) == [0, 0, 0, 1, 2]
+
+
+def test_decontamination_does_not_depend_on_blocks(spark):
+    w = words(60, 21)
+    items = [" ".join(x) for x in (w[:12], w[5:20], w[30:45], words(12, 22), words(12, 23))]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    fill = lambda n, k: " ".join(words(n, k))
+    made = [
+        f"{fill(50, 31)} {' '.join(w[:20])} {fill(50, 32)}",
+        f"{items[3]} {fill(16, 33)} {items[4]}!",
+        f"{fill(50, 34)} {' '.join(w[30:36])} {items[3]} {' '.join(w[36:45])} {fill(20, 35)}",
+        fill(80, 36), None, "", items[2],
+    ]
+    table = docs(spark, made)
+    table = table.union(table.where("doc_id = 0")).union(table.where("doc_id = 2").withColumn("doc_id", F.lit(None).cast("long")))
+    want = decontamination.clean(table, benchmark)
+    rows = sorted(map(repr, want.collect()))
+    assert len(rows) == 7  # of nine, the second and the last are over the limit
+    for block_words in (15, 20, 40):
+        found = decontamination.clean(table, benchmark, block_words=block_words)
+        assert found.columns == table.columns and sorted(map(repr, found.collect())) == rows
