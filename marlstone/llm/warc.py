@@ -38,6 +38,7 @@ BROADCAST_ROWS = 500_000
 MAX_MEMBER = 1 << 30
 _START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+_BLANK = re.compile(rb"\r\n\r\n")
 _DIGEST = re.compile(r"sha256:([0-9a-f]{64})$")
 RECORD = "path string, kind string, offset long, length long, reason string, record_id string, record_type string, refers_to string, target_uri string, payload_bytes long, payload_digest string"
 
@@ -70,21 +71,20 @@ def write(pages: DataFrame, folder: str, records_per_file: int = RECORDS_PER_FIL
 
 def _plain(data: memoryview, at: int) -> tuple[dict | str, int]:
     """A record that starts at `at` and its end, or why there is none."""
-    head = bytes(data[at : at + 65536])
-    if not _VERSION.match(head):
+    if not _VERSION.match(data, at):
         return "no version line", at
-    end = head.find(b"\r\n\r\n")
-    if end < 0:
+    blank = _BLANK.search(data, at)
+    if not blank:
         return "no end of header", at
     fields = {}
-    for line in head[10:end].decode("utf-8", "replace").split("\r\n"):
+    for line in bytes(data[at + 10 : blank.start()]).decode("utf-8", "replace").split("\r\n"):
         name, colon, value = line.partition(":")
         if not colon:
             return "bad header line", at
         fields[name.strip().lower()] = value.strip()
     if not re.fullmatch(r"\d{1,18}", size := fields.get("content-length", "")):
         return "bad length", at
-    start, stop = at + end + 4, at + end + 4 + int(size)
+    start, stop = blank.end(), blank.end() + int(size)
     if stop + 4 > len(data) or bytes(data[stop : stop + 4]) != b"\r\n\r\n":
         return "no closing blank line", at
     payload = data[start:stop]

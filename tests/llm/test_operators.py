@@ -280,16 +280,6 @@ def test_language_model_weights_have_no_floor(spark):
     assert weights.lambdas[1][2] > weights.lambdas[1][1]
 
 
-def test_near_copies_without_doc_id(spark):
-    texts = [" ".join(words(120, k)) for k in (41, 42, 43)]
-    near = [t + " changed" for t in texts]
-    made = [(1, texts[0]), (None, near[0]), (2, texts[1]), (3, near[1]), (None, texts[2]), (None, near[2])]
-    table = spark.createDataFrame(made, "doc_id long, text string")
-    found = sorted(jaccard.near_duplicates(table).collect(), key=repr)
-    assert [tuple(r) for r in found] == [(1, 1, 1), (2, 2, 1), (3, 2, 1), *[(None, None, 1)] * 3]
-    assert sorted((r["doc_id"] or 0) for r in jaccard.keep_one(table).collect()) == [0, 0, 0, 1, 2]
-
-
 def test_decontamination_does_not_depend_on_blocks(spark):
     w = words(60, 21)
     items = [" ".join(x) for x in (w[:12], w[5:20], w[30:45], words(12, 22), words(12, 23))]
@@ -309,3 +299,22 @@ def test_decontamination_does_not_depend_on_blocks(spark):
     for block_words in (15, 20, 40):
         found = decontamination.clean(table, benchmark, block_words=block_words)
         assert found.columns == table.columns and sorted(map(repr, found.collect())) == rows
+
+
+def test_near_copies_without_doc_id(spark):
+    texts = [" ".join(words(120, k)) for k in (41, 42, 43)]
+    near = [t + " changed" for t in texts]
+    made = [(1, texts[0]), (None, near[0]), (2, texts[1]), (3, near[1]), (None, texts[2]), (None, near[2])]
+    table = spark.createDataFrame(made, "doc_id long, text string")
+    found = sorted(jaccard.near_duplicates(table).collect(), key=repr)
+    assert [tuple(r) for r in found] == [(1, 1, 1), (2, 2, 1), (3, 2, 1), *[(None, None, 1)] * 3]
+    assert sorted((r["doc_id"] or 0) for r in jaccard.keep_one(table).collect()) == [0, 0, 0, 1, 2]
+
+
+def test_warc_headers_of_any_length(spark, tmp_path):
+    url = "data:text/plain," + "x" * 150_000
+    html = "<p>" + "y" * 200
+    pages = spark.createDataFrame([(1, url, html), (2, url, html), (3, "http://h.org/", "z")], "page_id long, url string, html string")
+    warc.write(pages, f"file://{tmp_path}/warc")
+    found = sorted(warc.read(spark, f"file://{tmp_path}/warc").collect(), key=lambda r: r["record_id"])
+    assert [(r["kind"], r["record_type"], r["target_uri"]) for r in found] == [("record", "response", url), ("record", "revisit", url), ("record", "response", "http://h.org/")]
