@@ -8,9 +8,13 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PACKAGE = Path(__file__).resolve().parent
+#: A side of a join that takes more than this is shuffled, not sent to every task.
+BROADCAST_BYTES = 16 << 20
 
 
 def session(cpus: str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -59,8 +63,11 @@ def shared_folder(spark: SparkSession) -> str:
     """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not base and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not base:
-        base = getattr(context, "_marlstone_shared", None) or f"file://{tempfile.mkdtemp(prefix='spark-shared-', dir=os.environ.get('TMPDIR'))}"
+        own = getattr(context, "_marlstone_shared", None)
+        base = own or f"file://{tempfile.mkdtemp(prefix='spark-shared-', dir=os.environ.get('TMPDIR'))}"
         context._marlstone_shared = base
     return f"{base.rstrip('/')}/{PACKAGE.name}-{uuid.uuid4().hex}"
 
@@ -72,11 +79,40 @@ def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def forget(spark: SparkSession, folder: str) -> None:
+    """Delete an intermediate table that nothing reads any more, to keep the shared folder small."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def width(df: DataFrame) -> Column:
+    """About how many bytes a row of df takes in memory."""
+
+    def of(value: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.octet_length(value)
+        if isinstance(kind, (T.ArrayType, T.MapType)):
+            return F.size(value) * 8
+        if isinstance(kind, T.StructType):
+            return F.lit(8 * (len(kind) + 1))
+        return F.lit(8)
+
+    return sum((F.coalesce(of(F.col(f"`{f.name}`"), f.dataType), F.lit(0)) for f in df.schema), F.lit(32)).cast("long")
+
+
+def bounded(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Marked for broadcast if all its rows take at most most_bytes, else as it is, for a shuffled join.
+
+    df must be stored: it is measured here and read again by the join.
+    """
+    total = df.agg(F.sum(width(df))).first()[0] or 0
+    return F.broadcast(df) if total <= most_bytes else df
+
+
 def small(df: DataFrame, most_rows: int) -> DataFrame:
     """Marked for broadcast if it has at most most_rows rows, else as it is, for a shuffled join.
 
     df must be stored: it is counted here and read again by the join.
     """
-    from pyspark.sql import functions as F
-
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
