@@ -151,9 +151,11 @@ def test_large_bucket_is_split_without_loss(spark):
 
 def test_lines_odd_inputs(spark):
     near = "the quick brown fox jumps over the lazy dog near a calm river bank in the early warm morning light of may"
-    made = [near, near + " now", "short line", "short line", None, "", f"x\n{near}\ny"]
+    made = [near, near + " now", "short line", "short  LINE!", None, "", f"x\n{near}\ny", "--\n", "--\n"]
     out = {r["doc_id"]: r["text"] for r in lines.without_repeats(docs(spark, made)).collect()}
-    assert out == {0: near, 1: "", 2: "short line", 3: "short line", 4: None, 5: "", 6: "x\ny"}
+    assert out == {0: near, 1: "", 2: "short line", 3: "", 4: None, 5: "", 6: "x\ny", 7: "--\n", 8: "--\n"}
+    twice = docs(spark, ["one\ntwo three"]).union(docs(spark, ["one\ntwo three"]))
+    assert [r["text"] for r in lines.without_repeats(twice).collect()] == ["one\ntwo three"] * 2
     assert lines.without_repeats(docs(spark, [])).count() == 0
     assert lines.without_repeats(docs(spark, made)).columns == ["doc_id", "text", "class", "_doc"]
 
@@ -253,6 +255,37 @@ def test_line_dedup_of_the_pipeline_normalises_words(spark):
     assert out == {0: line} | dict.fromkeys(range(1, 6), "")
 
 
+def brute_lines(texts):
+    """Texts without repeated lines, every line compared with every earlier one."""
+    seen, out = [], []
+    for text in texts:
+        rest = []
+        for line in text.split("\n"):
+            w = "".join(c if c.isalnum() or ord(c) > 127 else " " for c in line.lower()).split()
+            own = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({("short", *w)} if w else set())
+            if not (own and any(5 * len(own & x) >= 4 * len(own | x) for x in seen)):
+                rest.append(line)
+            seen.append(own)
+        out.append("\n".join(rest))
+    return out
+
+
+def test_lines_of_a_large_family_equal_brute_force(spark):
+    """Families over the block size: near copies of one line, and lines that share only a passage."""
+    r = random.Random(8)
+    base, made = words(60, 50), []
+    for i in range(150):
+        w = list(base)
+        for k in r.sample(range(60), r.choice([1, 2, 3])):
+            w[k] = f"x{i}y{k}"
+        made.append(" ".join(w))
+    made += [" ".join(base[:12] + words(10, 100 + i)) for i in range(150)]
+    r.shuffle(made)
+    texts = ["\n".join(made[i : i + 3]) for i in range(0, len(made), 3)]
+    out = {x["doc_id"]: x["text"] for x in lines.without_repeats(docs(spark, texts)).collect()}
+    assert [out[i] for i in range(len(texts))] == brute_lines(texts)
+
+
 def kinds(n):
     """Ids below n by their part in the language model."""
     crc = lambda x: zlib.crc32(x.encode())
