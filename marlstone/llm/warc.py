@@ -8,12 +8,17 @@ page_id is the response, the others revisit it.
 Reading: every file is parsed record by record; plain records and gzip members (of one or more
 records) may alternate. A record must have a version line, a header block, a length within the
 file, the closing blank line and a payload that matches its digest. After a failed check the
-reader searches for the next place where a valid member or record starts, goes on from there, and
-reports the bytes between as a gap.
+reader searches for the next version line or member, goes on from there, and reports the bytes
+between as a gap. A member is inflated a piece at a time and its contents are salvaged in the same
+way: records before and after damage, and those before the place where it is cut off, are kept.
+Offsets inside a member count inflated bytes and stand beside the member's own. Only one record's
+bytes are held at a time, and headers may have any length. binaryFile gives a task one file of up
+to 2 GB as a value; larger files must be split before.
 
 Null html counts as empty. Repeated page_ids make one record each; all rows of the smallest id are
-responses. A null page_id never becomes a response others refer to. An empty table makes an
-archive without records. URLs lose control characters and spaces; a null URL is left out.
+responses, as none of them has a larger page_id than the others, so none can revisit. A null
+page_id never becomes a response others refer to. An empty table makes an archive without records.
+URLs lose control characters and spaces; a null URL is left out. Further columns aren't read.
 """
 
 from __future__ import annotations
@@ -34,13 +39,14 @@ MIN_PAYLOAD = 100
 RECORDS_PER_FILE = 500
 #: Digests that occur more than once; up to so many go to every task, more are joined by shuffle.
 BROADCAST_ROWS = 500_000
-#: A member that inflates to more than this is taken as damaged.
-MAX_MEMBER = 1 << 30
-_START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
-_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+#: Bytes inflated at a time.
+PIECE = 1 << 20
+_MEMBER = re.compile(rb"\x1f\x8b\x08")
 _BLANK = re.compile(rb"\r\n\r\n")
+_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+_VERSION_BYTES = 10
 _DIGEST = re.compile(r"sha256:([0-9a-f]{64})$")
-RECORD = "path string, kind string, offset long, length long, reason string, record_id string, record_type string, refers_to string, target_uri string, payload_bytes long, payload_digest string"
+RECORD = "path string, kind string, offset long, inner_offset long, length long, reason string, record_id string, record_type string, refers_to string, target_uri string, payload_bytes long, payload_digest string"
 
 
 def write(pages: DataFrame, folder: str, records_per_file: int = RECORDS_PER_FILE) -> None:
@@ -69,71 +75,174 @@ def write(pages: DataFrame, folder: str, records_per_file: int = RECORDS_PER_FIL
     rows.select(value).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(folder)
 
 
-def _plain(data: memoryview, at: int) -> tuple[dict | str, int]:
+class Source:
+    """Bytes that arrive in pieces: what was read and not dropped yet, addressed by offsets from the first byte."""
+
+    def __init__(self, held: bytearray | memoryview, pieces: Iterator[bytes] | None = None) -> None:
+        self.held, self.pieces, self.before, self.ended = held, pieces, 0, pieces is None
+
+    def reach(self, end: int) -> bool:
+        """Whether there are bytes up to `end`; reads on as far as needed."""
+        while not self.ended and self.before + len(self.held) < end:
+            piece = next(self.pieces, None)
+            if piece is None:
+                self.ended = True
+            else:
+                self.held += piece
+        return self.before + len(self.held) >= end
+
+    def end(self) -> int:
+        return self.before + len(self.held)
+
+    def get(self, start: int, stop: int) -> bytes:
+        self.reach(stop)
+        return bytes(self.held[start - self.before : stop - self.before])
+
+    def find(self, what: re.Pattern, start: int, size: int) -> int:
+        """Where `what` (of `size` bytes) first occurs at or after start, or -1."""
+        at = start
+        while True:
+            if found := what.search(self.held, at - self.before):
+                return self.before + found.start()
+            at = max(start, self.end() - size + 1)
+            if not self.reach(self.end() + 1):
+                return -1
+
+    def drop(self, upto: int) -> None:
+        """Bytes before `upto` aren't asked for any more."""
+        if upto - self.before > PIECE:
+            del self.held[: upto - self.before]
+            self.before = upto
+
+
+def _record(source: Source, at: int) -> tuple[dict | str, int]:
     """A record that starts at `at` and its end, or why there is none."""
-    if not _VERSION.match(data, at):
+    if not _VERSION.match(source.get(at, at + _VERSION_BYTES)):
         return "no version line", at
-    blank = _BLANK.search(data, at)
-    if not blank:
+    blank = source.find(_BLANK, at, 4)
+    if blank < 0:
         return "no end of header", at
     fields = {}
-    for line in bytes(data[at + 10 : blank.start()]).decode("utf-8", "replace").split("\r\n"):
+    for line in source.get(at + _VERSION_BYTES, blank).decode("utf-8", "replace").split("\r\n"):
         name, colon, value = line.partition(":")
         if not colon:
             return "bad header line", at
         fields[name.strip().lower()] = value.strip()
     if not re.fullmatch(r"\d{1,18}", size := fields.get("content-length", "")):
         return "bad length", at
-    start, stop = blank.end(), blank.end() + int(size)
-    if stop + 4 > len(data) or bytes(data[stop : stop + 4]) != b"\r\n\r\n":
+    start, stop = blank + 4, blank + 4 + int(size)
+    if not source.reach(stop + 4) or source.get(stop, stop + 4) != b"\r\n\r\n":
         return "no closing blank line", at
-    payload = data[start:stop]
-    digest = hashlib.sha256(payload).hexdigest()
+    digest = hashlib.sha256(source.get(start, stop)).hexdigest()
     kind = fields.get("warc-type", "")
     told = _DIGEST.search(fields.get("warc-payload-digest", ""))
     if kind != "revisit" and told and told[1] != digest:
         return "digest differs", at
-    length = int(size) if kind != "revisit" else int(fields.get("x-payload-length", "0") or 0)
-    return {"record_id": fields.get("warc-record-id"), "record_type": kind, "refers_to": fields.get("warc-refers-to"), "target_uri": fields.get("warc-target-uri"), "payload_bytes": length, "payload_digest": told[1] if told and kind == "revisit" else digest}, stop + 4
-
-
-def _member(data: memoryview, at: int) -> tuple[list[dict] | str, int]:
-    """The records of a gzip member that starts at `at` and its end, or why it isn't one."""
-    inflate = zlib.decompressobj(31)
-    try:
-        plain = inflate.decompress(data[at:], MAX_MEMBER)
-    except zlib.error as e:
-        return f"gzip: {e}"[:80], at
-    if not inflate.eof:
-        return "gzip: cut off or too large", at
-    found, inner = [], 0
-    plain = memoryview(plain)
-    while inner < len(plain):
-        record, end = _plain(plain, inner)
-        if isinstance(record, str):
-            return f"in member: {record}", at
-        found.append(record)
-        inner = end
-    return found, len(data) - len(inflate.unused_data)
+    length = fields.get("x-payload-length", "0") if kind == "revisit" else size
+    names = ("warc-record-id", "warc-refers-to", "warc-target-uri")
+    known = dict(zip(("record_id", "refers_to", "target_uri"), map(fields.get, names), strict=True))
+    known |= {"record_type": kind, "payload_bytes": int(length) if length.isdigit() else 0}
+    return known | {"payload_digest": told[1] if told and kind == "revisit" else digest}, stop + 4
 
 
-def salvage(data: bytes | memoryview) -> Iterator[dict]:
-    """Records of an archive and the gaps between them, in file order."""
-    data, at, gap, why = memoryview(data), 0, None, ""
-    while at < len(data):
-        found, end = _member(data, at) if bytes(data[at : at + 3]) == b"\x1f\x8b\x08" else _plain(data, at)
+def _contents(source: Source) -> Iterator[dict]:
+    """Records and gaps of bytes that hold no members."""
+    at, gap, why = 0, None, ""
+    while source.reach(at + 1):
+        found, end = _record(source, at)
         if isinstance(found, str):
             if gap is None:
                 gap, why = at, found
-            later = _START.search(data, at + 1)
-            at = later.start() if later else len(data)
+            at = source.find(_VERSION, at + 1, _VERSION_BYTES)
+            if at < 0:
+                break
+            source.drop(at)
             continue
         if gap is not None:
-            yield {"kind": "gap", "offset": gap, "length": at - gap, "reason": why}
+            yield {"kind": "gap", "start": gap, "length": at - gap, "reason": why}
             gap = None
-        for record in [found] if isinstance(found, dict) else found:
-            yield record | {"kind": "record", "offset": at, "length": end - at}
+        yield found | {"kind": "record", "start": at, "length": end - at}
         at = end
+        source.drop(at)
+    if gap is not None:
+        yield {"kind": "gap", "start": gap, "length": source.end() - gap, "reason": why}
+
+
+def _inflated(data: memoryview, at: int, state: dict) -> Iterator[bytes]:
+    """The contents of the member that starts at `at`; state gets its end, and its error if it has one."""
+    inflate = zlib.decompressobj(31)
+    state |= {"end": at, "error": None}
+    while not inflate.eof:
+        rest = inflate.unconsumed_tail or data[state["end"] : state["end"] + PIECE]
+        if not inflate.unconsumed_tail:
+            state["end"] += len(rest)
+        before = inflate.copy()
+        try:
+            piece = inflate.decompress(rest, PIECE)
+        except zlib.error as e:
+            state["error"] = f"gzip: {e}"[:80]
+            yield from _upto_damage(before, rest)
+            return
+        if not piece and not len(rest) and not inflate.eof:
+            state["error"] = "gzip: cut off"
+            return
+        yield piece
+    state["end"] -= len(inflate.unused_data)
+
+
+def _upto_damage(inflate, rest: bytes | memoryview) -> Iterator[bytes]:
+    """What inflates before the byte that fails."""
+    for k in range(len(rest)):
+        try:
+            yield inflate.decompress(rest[k : k + 1])
+        except zlib.error:
+            return
+
+
+def _member(data: memoryview, at: int, state: dict) -> Iterator[dict]:
+    """Records and gaps of a member; where inflating fails, up to its last record."""
+    waiting = []
+    for x in _contents(Source(bytearray(), _inflated(data, at, state))):
+        waiting.append({**x, "offset": at, "inner_offset": x["start"]})
+        if x["kind"] == "record":
+            yield from waiting
+            waiting = []
+    if state["error"] is None:
+        yield from waiting
+
+
+def salvage(data: bytes | memoryview) -> Iterator[dict]:
+    """Records of an archive and the gaps between them, in file order."""
+    data, at, gap, why = memoryview(data), 0, None, ""
+    whole = Source(data)
+    while at < len(data):
+        if _MEMBER.match(data, at):
+            state: dict = {}
+            for x in _member(data, at, state):
+                if gap is not None:
+                    yield {"kind": "gap", "offset": gap, "length": at - gap, "reason": why}
+                    gap = None
+                yield x
+            if state["error"] is None:
+                if gap is not None:
+                    yield {"kind": "gap", "offset": gap, "length": at - gap, "reason": why}
+                    gap = None
+                at = state["end"]
+                continue
+            found = state["error"]
+        else:
+            found, end = _record(whole, at)
+            if not isinstance(found, str):
+                if gap is not None:
+                    yield {"kind": "gap", "offset": gap, "length": at - gap, "reason": why}
+                    gap = None
+                yield found | {"kind": "record", "offset": at, "length": end - at}
+                at = end
+                continue
+        if gap is None:
+            gap, why = at, found
+        later = [x for x in (whole.find(_VERSION, at + 1, _VERSION_BYTES), whole.find(_MEMBER, at + 1, 3)) if x >= 0]
+        at = min(later, default=len(data))
     if gap is not None:
         yield {"kind": "gap", "offset": gap, "length": len(data) - gap, "reason": why}
 
