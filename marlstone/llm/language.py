@@ -5,7 +5,7 @@ add-half smoothing over 2**17 hashed cells. It is learned from text and non-null
 whose crc32(doc_id) mod 3 isn't 1, from about `ROWS_PER_LANGUAGE` of each language, picked by a
 hash of doc_id. A document's words then have a likelihood under each language; expectation
 maximisation gives the proportions. The language set is the one of least -2 log L + (m - 1) log n
-(n words) among the m most likely languages; the largest proportion in it is the prediction and its
+(n words) among the m most likely languages, for every m up to all of them; the largest proportion in it is the prediction and its
 score. Whole texts are scored; lang, source and doc_id aren't read for it.
 
 `und` with score 0: null text, no letter, or nothing learned. Ties go to the first language by name.
@@ -27,7 +27,8 @@ from marlstone.session import ship, table
 ROWS_PER_LANGUAGE = 3000
 BITS = 17
 ROUNDS = 12
-MOST_LANGUAGES = 4
+#: A language of a smaller share in the mixture of all starts no larger set.
+LEAST_SHARE = 1e-9
 _LETTERS = ((tb._BYTE >= 97) & (tb._BYTE <= 122)) | (tb._BYTE >= 128)
 
 
@@ -115,8 +116,9 @@ def infer(model: Languages, column: pa.Array) -> tuple[np.ndarray, np.ndarray, n
     best[np.arange(len(full)), order[:, 0]] = 1
     each = np.log(np.maximum(likelihood, 1e-300))
     cost = -2 * np.add.reduceat(each, first[:-1], axis=0)[np.arange(len(full)), order[:, 0]]
-    open_ = np.flatnonzero(pi[np.arange(len(full)), order[:, 1]] > 1e-3) if k > 1 else np.zeros(0, int)
-    for m in range(2, min(k, MOST_LANGUAGES) + 1):
+    share = np.take_along_axis(pi, order, axis=1)
+    for m in range(2, k + 1):  # every size: a larger set may be better though the next one isn't
+        open_ = np.flatnonzero(share[:, m - 1] > LEAST_SHARE)
         if not len(open_):
             break
         sizes = np.diff(first)[open_]
@@ -125,8 +127,7 @@ def infer(model: Languages, column: pa.Array) -> tuple[np.ndarray, np.ndarray, n
         mix, total = proportions(likelihood[tb.ranges(first[:-1][open_], sizes)], np.concatenate([[0], np.cumsum(sizes)]), allowed)
         new = -2 * total + (m - 1) * np.log(sizes)
         better = new < cost[open_]
-        open_, mix, new = open_[better], mix[better], new[better]
-        best[open_], cost[open_] = mix, new
+        best[open_[better]], cost[open_[better]] = mix[better], new[better]
     out[full] = best
     return out, n, letter
 
