@@ -4,8 +4,9 @@ Documents are taken from each input partition in shards of about `SHARD_TOKENS`
 its own BM25 inverted index over token ids. A seed document fills windows; where its last window
 has room, the index returns the unused neighbours, best first, and they fill it. A neighbour that
 doesn't fit is cut: its rest is the next seed. So only the last window of a shard has padding.
-Tokens that more than a quarter of a shard's documents hold don't take part in retrieval; without
-any neighbour the next unused document follows.
+Every token takes part in retrieval: those that more than a quarter of the shard's documents hold
+are kept as a dense matrix, the others as postings. Without any neighbour the next unused document
+follows; equal scores go by place.
 
 There is no shuffle: partitions are packed where they are read, so the same input splits give the
 same windows when a lost task runs again. sequence_id is unique over the result.
@@ -45,11 +46,14 @@ class Index:
         pair, tf = np.unique(doc << np.int64(32) | ids.astype(np.int64), return_counts=True)
         doc, term = pair >> np.int64(32), (pair & np.int64(0xFFFFFFFF)).astype(np.int64)
         df = np.bincount(term)
-        rare = df[term] <= max(1, n // 4)
-        doc, term, tf = doc[rare], term[rare], tf[rare]
+        weight = np.log(1 + (n - df[term] + 0.5) / (df[term] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / max(lengths.mean(), 1)))
+        common = df[term] > max(1, n // 4)
+        which, column = np.unique(term[common], return_inverse=True)
+        self.dense = np.zeros((n, len(which)), np.float32)
+        self.dense[doc[common], column] = weight[common]
+        doc, term, weight = doc[~common], term[~common], weight[~common]
         self.first = np.searchsorted(doc, np.arange(n + 1))
         self.terms = term
-        weight = np.log(1 + (n - df[term] + 0.5) / (df[term] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / max(lengths.mean(), 1)))
         by = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[by], weight[by]
         self.at = np.searchsorted(term[by], np.arange(len(df) + 1))
@@ -59,7 +63,8 @@ class Index:
         """Unused documents that share a token with the seed, by falling score, then place."""
         terms = self.terms[self.first[seed] : self.first[seed + 1]]
         post = tb.ranges(self.at[terms], self.at[terms + 1] - self.at[terms])
-        score = np.bincount(self.doc[post], self.weight[post], self.n) * unused
+        score = np.bincount(self.doc[post], self.weight[post], self.n)
+        score = (score + self.dense @ (self.dense[seed] > 0).astype(np.float32)) * unused
         found = np.flatnonzero(score)
         return found[np.argsort(-score[found], kind="stable")]
 
