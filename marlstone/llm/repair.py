@@ -31,7 +31,7 @@ from marlstone.session import shared_folder, ship, table
 
 VOCABULARY, END = "word_bpe_49k.json", 2
 SHARD_TOKENS = 1_000_000
-LEAST_COUNT, MOST_ROUNDS = 16, 12
+LEAST_COUNT = 16
 SHARD = "part int, shard int, n_tokens long, base long, docs binary, missing binary, lengths binary, symbols_of_doc binary, left binary, right binary, expansion binary, symbols binary"
 _CELLS = 20
 
@@ -56,9 +56,7 @@ def compress(ids: np.ndarray, lengths: np.ndarray) -> Grammar:
     base = int(symbols.max(initial=0)) + 1
     left, right, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.ones(base, np.int64)]
     known = base
-    for _ in range(MOST_ROUNDS):
-        if len(symbols) < 2:
-            break
+    while len(symbols) > 1:
         key = (symbols[:-1] << np.int64(32)) | symbols[1:]
         cell = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _CELLS)).astype(np.int64)
         cell[last[:-1]] = 0  # counted together and never replaced
