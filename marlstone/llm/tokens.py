@@ -5,7 +5,9 @@ a piece, so a text can be cut wherever such a boundary is certain, and the parts
 are cut at the boundaries that plain bytes show: between ASCII letters (and Latin-1 ones), digits,
 punctuation and white space. Where other characters or an apostrophe make a boundary uncertain
 there is no cut. Each distinct part is encoded by the library once and remembered, up to
-`MOST_PARTS` parts in a Python worker.
+`MOST_PARTS` parts in a Python worker, by a 64-bit hash (two of so many parts are equal by chance
+once in 10**8 workers). A text that holds the string of a special token is encoded whole, by the
+library itself: such a string is that token, or ordinary text where `special_as_text` is set.
 """
 
 from __future__ import annotations
@@ -43,12 +45,13 @@ def classes(data: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of whole texts. lower: the vocabulary lower-cases and drops white space."""
 
-    def __init__(self, file: str) -> None:
+    def __init__(self, file: str, special_as_text: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(file)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = special_as_text
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.lower = self.library.normalizer is not None
         self.forget()
 
@@ -74,6 +77,19 @@ class Encoder:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, one row after another, and the number of each row's ids; null is empty."""
         data, bounds = tb.raw(column)
+        plain = data.tobytes()
+        if not any(x in plain for x in self.special):
+            return self._cut(data, bounds)
+        ids, sizes = self._cut(data, bounds)
+        parts = np.split(ids, np.cumsum(sizes)[:-1])
+        for row in range(len(column)):
+            text = plain[bounds[row] : bounds[row + 1]]
+            if any(x in text for x in self.special):
+                parts[row] = np.array(self.library.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+
+    def _cut(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts without special tokens, part by part."""
         rows = len(bounds) - 1
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(rows, np.int64)
