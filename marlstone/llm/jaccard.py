@@ -6,7 +6,7 @@ that agree on one of `BANDS` bands of `ROWS` MinHash values are candidates (a pa
 0.8 is missed with probability 1e-5). A pair is taken up in the first band it agrees on. Further
 MinHash values (a byte each) are compared in lots of 16; a pair goes when the posterior probability,
 under a uniform prior, that its similarity reaches the threshold falls below `TOLERANCE`. The rest
-is verified exactly on the shingle sets.
+is verified exactly on the shingle sets (64-bit hashes).
 
 No pair becomes a row. Buckets over `BLOCK` classes are split into blocks, and each pair of blocks
 is one group, so a bucket of any size is spread over tasks of bounded size; a group yields the
@@ -230,21 +230,6 @@ def prune(threshold: float, tolerance: float) -> Callable:
     return run
 
 
-def pack_set(values: np.ndarray) -> bytes:
-    """A set of hashes cut to 40 bits, as differences of four bytes each where they fit."""
-    short = np.unique(values >> np.uint64(24))
-    step = np.diff(short)
-    if step.max(initial=np.uint64(0)) < 1 << 32:
-        return b"4" + short[:1].tobytes() + step.astype("<u4").tobytes()
-    return b"8" + short.tobytes()
-
-
-def unpack_set(data: bytes) -> np.ndarray:
-    if data[:1] == b"8":
-        return np.frombuffer(data, "<u8", offset=1)
-    return np.cumsum(np.concatenate([np.frombuffer(data, "<u8", 1, 1), np.frombuffer(data, "<u4", offset=9).astype(np.uint64)]), dtype=np.uint64)
-
-
 def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of sets i and j."""
     if len(i) <= 8:
@@ -293,7 +278,7 @@ def verify(threshold: float) -> Callable:
             links, root = np.zeros(len(key), np.int64), classes.copy()
             for a, b in zip(np.append(0, change).tolist(), np.append(change, len(key)).tolist(), strict=True):
                 pairs = np.frombuffer(batch.column("pairs")[a].as_py(), "<u2").reshape(-1, 2).astype(int)
-                sets = [unpack_set(batch.column("shingles")[k].as_py()) for k in range(a, b)]
+                sets = [np.frombuffer(batch.column("shingles")[k].as_py(), "<u8") for k in range(a, b)]
                 sizes = np.array([len(s) for s in sets])
                 i, j = pairs.T
                 both = overlaps(sets, i, j)
@@ -362,7 +347,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 values, first = shingles(part.column("text"))
                 own = np.array([tb.mix(np.array([tb.mix(values[a:b]).sum()]))[0] if b > a else 0 for a, b in zip(first[:-1], first[1:], strict=True)], np.uint64).view(np.int64)
                 same = np.flatnonzero((own == part.column("class").to_numpy()) & (np.diff(first) > 0))  # a key may be another text's too
-                packed = [pack_set(values[first[k] : first[k + 1]]) for k in same]
+                packed = [values[first[k] : first[k + 1]].tobytes() for k in same]
                 yield pa.RecordBatch.from_arrays([part.column("class").take(pa.array(same)), part.column("copies").take(pa.array(same)), pa.array(packed, pa.binary())], names=["class", "copies", "shingles"])
 
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key"))
