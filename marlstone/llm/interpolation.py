@@ -9,8 +9,9 @@ Counts are exact over all training documents and are never gathered in one place
 put into chunks of about `CHUNK_TOKENS` tokens, written once. Each chunk sends its distinct keys,
 with counts, to the key's range; the range adds up and answers each chunk with the totals of its
 keys; then each chunk is scored alone. A key that half of all documents hold is one entry of each
-chunk, so no range gets more than its share. Words are known by 64-bit hashes, bigrams by 48 bits
-of a hash.
+chunk, so no range gets more than its share. Words are known by 64-bit hashes, bigrams by 56 bits
+of a hash. A token after a context that training doesn't hold has no bigram estimate: the unigram
+and uniform weights of its bucket then share the whole.
 
 Only the (bucket, bigram, unigram) histogram of held-out tokens goes to the driver. Its steps of
 half an octave reach down to one in all training tokens: at most some 100,000 rows at 2**32 tokens. Null and empty texts hold one token, the end. A null doc_id belongs to training.
@@ -37,6 +38,7 @@ RANGE_TOKENS = 1_000_000
 #: One in so many training documents is held out for the weights.
 HELD_OUT = 10
 BUCKETS = 24
+BIGRAM_BITS = 56
 ROUNDS = 40
 END = np.uint64(0x5EED0FE9D0C5A11E)
 MAIN, HELD, TEST = 0, 1, 2
@@ -62,24 +64,19 @@ def unplanes(data: bytes) -> np.ndarray:
 
 
 def pack(keys: np.ndarray) -> bytes:
-    """Ascending keys as their differences, in four bytes each where they fit."""
-    step = np.diff(keys, prepend=np.uint64(0))
-    if len(step) and step[1:].max(initial=np.uint64(0)) < 1 << 32:
-        return b"4" + keys[:1].tobytes() + step[1:].astype("<u4").tobytes()
-    return b"8" + keys.tobytes()
+    """Ascending keys as their differences."""
+    return planes(np.diff(keys, prepend=np.uint64(0)))
 
 
 def unpack(data: bytes) -> np.ndarray:
-    if data[:1] == b"8":
-        return np.frombuffer(data, "<u8", offset=1)
-    return np.cumsum(np.concatenate([np.frombuffer(data, "<u8", 1, 1), np.frombuffer(data, "<u4", offset=9).astype(np.uint64)]), dtype=np.uint64)
+    return np.cumsum(unplanes(data), dtype=np.uint64)
 
 
 def bigrams(words: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """A 48-bit key of each token with the one before it; the first follows an end."""
+    """A key of `BIGRAM_BITS` bits of each token with the one before it; the first follows an end."""
     h = words[tokens]
     before = np.concatenate([[END], h[:-1]])
-    return tb.mix((before * np.uint64(0x9E3779B97F4A7C15)) ^ h) >> np.uint64(16)
+    return tb.mix((before * np.uint64(0x9E3779B97F4A7C15)) ^ h) >> np.uint64(64 - BIGRAM_BITS)
 
 
 def chunks(docs: DataFrame) -> DataFrame:
@@ -148,7 +145,7 @@ def totals(parts: DataFrame, bits: int) -> DataFrame:
                 b_keys, b_counts = np.unique(bigrams(words, tokens), return_counts=True)
                 edge = np.arange(1, 1 << bits, dtype=np.uint64)
                 u_cut = np.concatenate([[0], np.searchsorted(words, edge << np.uint64(64 - bits)) if bits else [], [len(words)]]).astype(int)
-                b_cut = np.concatenate([[0], np.searchsorted(b_keys, edge << np.uint64(48 - bits)) if bits else [], [len(b_keys)]]).astype(int)
+                b_cut = np.concatenate([[0], np.searchsorted(b_keys, edge << np.uint64(BIGRAM_BITS - bits)) if bits else [], [len(b_keys)]]).astype(int)
                 rows = [
                     (r, chunk, kind, words[u0:u1].tobytes(), b"" if kind == TEST else planes(u_counts[u0:u1]), pack(b_keys[b0:b1]), b"" if kind == TEST else planes(b_counts[b0:b1]))
                     for r, (u0, u1, b0, b1) in enumerate(zip(u_cut[:-1], u_cut[1:], b_cut[:-1], b_cut[1:], strict=True))
@@ -196,6 +193,13 @@ def _bucket(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(context + 1).astype(int), BUCKETS - 1)
 
 
+def mixed(model: Weights, own: np.ndarray, context: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """The mixture's probability of each token."""
+    share = model.lambdas[_bucket(context)]
+    rest = share[:, 1] * own / max(model.tokens, 1) + share[:, 2] / (model.distinct + 1)
+    return np.where(context > 0, share[:, 0] * both / np.maximum(context, 1) + rest, rest / (share[:, 1] + share[:, 2]))
+
+
 def learn(parts: DataFrame, back: DataFrame) -> Weights:
     """Weights by expectation maximisation over a histogram of the held-out tokens."""
     n = {r["kind"]: r["n"] for r in parts.groupBy("kind").agg(F.sum("n_tokens").alias("n")).collect()}
@@ -240,8 +244,7 @@ def score(docs: DataFrame) -> DataFrame:
     def rate(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         model = shared.value
         own, context, both = _located(chunk, answers, "all")
-        mix = model.lambdas[_bucket(context)]
-        p = mix[:, 0] * both / np.maximum(context, 1) + mix[:, 1] * own / max(model.tokens, 1) + mix[:, 2] / (model.distinct + 1)
+        p = mixed(model, own, context, both)
         lengths = np.frombuffer(chunk.column("lengths")[0].as_py(), np.int64)
         heads = np.cumsum(lengths) - lengths
         base = np.log10((own + 0.5) / (model.tokens + 0.5 * (model.distinct + 1)))
