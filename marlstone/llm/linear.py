@@ -1,13 +1,14 @@
 """Hashed text features and logistic regression in NumPy, for models trained on a bounded sample.
 
-Features are presences: whether a word, or a run of `GRAM` bytes that has a separator at its start
-at most, occurs in the text. Only features whose presence differs significantly between the
-classes get a weight, so a long text doesn't gather noise from its many neutral features.
+Features are presences: whether a word, or a run of 3 or 5 characters (code points) that has white
+space at its start at most, occurs in the text. Every feature whose presence differs significantly
+between the classes gets a weight, however many they are; the neutral ones get none, so a long text
+doesn't gather noise from them. A model is its weighted features alone, so it is small to send.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,32 +16,34 @@ import pyarrow as pa
 from marlstone.llm import textbatch as tb
 
 BITS = 20
-GRAM = 5
-DIMS = 2 << BITS
-#: Least |z| of a feature's difference between the classes, and most features of a model.
-LEAST_Z, MOST_FEATURES = 4.0, 4096
+#: Characters in a run.
+GRAMS = (3, 5)
+DIMS = (1 + len(GRAMS)) << BITS
+#: Least |z| of a feature's difference between the classes.
+LEAST_Z = 4.0
 
 
 def features(column: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) of every word and byte run, with repeats; words have the lower half of the numbers."""
+    """(row, feature) of every word and run of characters, with repeats; each kind has its own numbers."""
     w = tb.words(column, tb.NOT_SPACE, lower)
-    word = (w.hash >> np.uint64(64 - BITS)).astype(np.int64)
-    data = np.where(tb.NOT_SPACE[w.data], w.data, 32).astype(np.uint64)
-    if len(data) < GRAM - 1:
-        return w.doc, word
-    data = np.concatenate([[np.uint64(32)], data])  # a run may start at the separator before the first word
-    inner = data != 32
-    gram, whole = np.zeros(len(data) - GRAM + 1, np.uint64), np.ones(len(data) - GRAM + 1, bool)
-    for k in range(GRAM):
-        gram = (gram << np.uint64(8)) | data[k : len(data) - GRAM + 1 + k]
-        if k:
-            whole &= inner[k : len(data) - GRAM + 1 + k]
-    at = np.flatnonzero(whole)
-    row = np.searchsorted(w.bounds, np.maximum(at - 1, 0), "right") - 1
-    same = (at - 1 + GRAM <= w.bounds[row + 1])
-    at, row = at[same], row[same]
-    char = ((gram[at] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64) + (1 << BITS)
-    return np.concatenate([w.doc, row]), np.concatenate([word, char])
+    rows, found = [w.doc], [(w.hash >> np.uint64(64 - BITS)).astype(np.int64)]
+    begins = np.flatnonzero(tb.STARTS[w.data])
+    chars = np.frombuffer(w.data.tobytes().decode().encode("utf-32-le"), "<u4").astype(np.uint64)
+    inner = tb.NOT_SPACE[w.data[begins]]
+    chars[~inner] = 32
+    owner = np.searchsorted(w.bounds, begins, "right") - 1
+    for kind, size in enumerate(GRAMS, 1):
+        n = len(chars) - size + 1
+        if n <= 0:
+            continue
+        h, whole = chars[:n] + np.uint64(kind), owner[:n] == owner[size - 1 :]
+        for k in range(1, size):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + chars[k : n + k]
+            whole = whole & inner[k : n + k]
+        at = np.flatnonzero(whole)
+        rows.append(owner[at])
+        found.append((tb.mix(h[at]) >> np.uint64(64 - BITS)).astype(np.int64) + (kind << BITS))
+    return np.concatenate(rows), np.concatenate(found)
 
 
 def present(row: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,14 +72,26 @@ def descend(row: np.ndarray, col: np.ndarray, val: np.ndarray, dims: int, y: np.
 
 @dataclass
 class Model:
-    """weights: by feature, zero for most; extra: of the columns given beside the text; a, b: the calibration."""
+    """index, values: the features with a weight, ascending; extra: weights of columns beside the text; a, b: the calibration."""
 
-    weights: np.ndarray
+    index: np.ndarray
+    values: np.ndarray
     bias: float
     extra: np.ndarray
     a: float = 1.0
     b: float = 0.0
-    index: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    fitted: bool = False
+
+    @property
+    def weights(self) -> np.ndarray:
+        """Weights by feature number, made once in each process."""
+        if not hasattr(self, "_weights"):
+            self._weights = np.zeros(DIMS)
+            self._weights[self.index] = self.values
+        return self._weights
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_weights"}
 
     def margin(self, row: np.ndarray, feature: np.ndarray, n: int, extra: np.ndarray) -> np.ndarray:
         used = np.flatnonzero(self.weights[feature])
@@ -90,16 +105,15 @@ class Model:
 def fit(row: np.ndarray, feature: np.ndarray, y: np.ndarray, extra: np.ndarray, l2: float = 1e-3, rounds: int = 200) -> Model:
     """A model of y from distinct (row, feature) and further columns; a class without rows gives its prior."""
     n, ones = len(y), float(y.sum())
-    weights, share = np.zeros(DIMS), (ones + 1) / (n + 2)
+    share = (ones + 1) / (n + 2)
     if not 0 < ones < n:
-        return Model(weights, float(np.log(share / (1 - share))), np.zeros(extra.shape[1]))
+        return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(share / (1 - share))), np.zeros(extra.shape[1]))
     c1 = np.bincount(feature, y[row], DIMS)
     c = np.bincount(feature, minlength=DIMS)
     p = c / n
     z = np.abs(c1 / ones - (c - c1) / (n - ones)) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / ones + 1 / (n - ones)))
     z[(c < 3) | (c == n)] = 0
-    chosen = np.argsort(-z, kind="stable")[:MOST_FEATURES]
-    chosen = np.sort(chosen[z[chosen] >= LEAST_Z])
+    chosen = np.flatnonzero(z >= LEAST_Z)
     place = np.full(DIMS, -1)
     place[chosen] = np.arange(len(chosen))
     kept = place[feature] >= 0
@@ -108,8 +122,7 @@ def fit(row: np.ndarray, feature: np.ndarray, y: np.ndarray, extra: np.ndarray,
     cols = np.concatenate([place[feature[kept]], np.repeat(np.arange(k), n) + len(chosen)])
     vals = np.concatenate([np.ones(int(kept.sum())), extra.T.ravel()])
     w, bias = descend(rows, cols, vals, len(chosen) + k, y, l2, rounds)
-    weights[chosen] = w[: len(chosen)]
-    return Model(weights, bias, w[len(chosen) :])
+    return Model(chosen, w[: len(chosen)], bias, w[len(chosen) :], fitted=True)
 
 
 def fit_calibrated(row: np.ndarray, feature: np.ndarray, y: np.ndarray, extra: np.ndarray, fold: np.ndarray) -> tuple[Model, np.ndarray]:

@@ -1,12 +1,13 @@
 """Quality rules: word statistics with fixed limits, then a calibrated linear model.
 
-The model is a logistic regression over hashed words and byte runs (case kept), trained on at most
+The model is a logistic regression over hashed words and character n-grams (case kept), trained on at most
 `training.ROWS_PER_CLASS` labelled rows of each class and calibrated on out-of-fold margins. All
 documents are scored whole, in Arrow batches, against `THRESHOLD`.
 
 Words are runs of other bytes than space and \\t..\\r. A null or empty text has no words and fails
-the base rules. Without labels the model keeps what the base rules keep. Repeated rows each get
-their own row; other columns aren't read.
+the base rules. Without labels of both values the model keeps what the base rules keep. A
+probability equal to the threshold keeps. Very long texts are scored whole. Repeated rows each get
+their own row; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -69,7 +70,7 @@ def judge(docs: DataFrame, model: linear.Model, threshold: float = THRESHOLD) ->
                 column = part.column("text")
                 base = statistics(column)
                 p = shared.value.probability(*linear.features(column, lower=False), len(column), np.zeros((len(column), 0)))
-                kept = ~base["base_failed"] & (p >= threshold)
+                kept = ~base["base_failed"] & ((p >= threshold) | (not shared.value.fitted))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(x) for x in base.values()], pa.array(kept), pa.array(p)], names=["doc_id", *base, "kept", "p_quality"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, p_quality double")

@@ -1,16 +1,18 @@
 """Toxicity by a classifier chain.
 
 Categories are predicted one after another. Each has a logistic regression over hashed words and
-byte runs; the log odds of all earlier categories are further inputs. Later models are trained on
+runs of characters; the log odds of all earlier categories are further inputs. Later models are trained on
 earlier categories' out-of-fold probabilities (three folds by a hash of doc_id), so they see the
 same kind of probability that scoring gives them. Every model is calibrated on out-of-fold margins.
 
 The labels know two categories: low quality, then toxic. Training takes at most
 `training.ROWS_PER_CLASS` rows of each value of each label; scoring takes all documents whole.
 
-A null or empty text has no feature, is never rejected, and gets the models' priors. Without labels
-all probabilities are 1/2 and nothing is rejected. Repeated rows each get their own row. Extra
-columns pass through `keep` untouched, whatever their names.
+A null or empty text has no feature, is never rejected, and gets the models' priors. Where the last
+category has no labelled rows of both values there is no model to reject by: nothing is rejected,
+and without any label all probabilities are 1/2. A probability equal to the threshold rejects. Very
+long texts are scored whole. Repeated rows each get their own row. Extra columns pass through `keep`
+untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -71,12 +73,18 @@ def score(docs: DataFrame, models: list[linear.Model], chain: Sequence[str] = CH
     def run(batches):
         for batch in batches:
             for part in tb.slices(batch):
-                p = probabilities(shared.value, part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(x) for x in p.T], pa.array((p[:, -1] >= threshold) & textual(part.column("text")))], names=names)
+                p, bad = rejected(shared.value, part.column("text"), threshold)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(x) for x in p.T], pa.array(bad)], names=names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} double" for n in names[1:-1]) + ", rejected boolean")
 
 
+def rejected(models: list[linear.Model], column: pa.Array, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities, and which rows the last category's model rejects."""
+    p = probabilities(models, column)
+    return p, (p[:, -1] >= threshold) & textual(column) & models[-1].fitted
+
+
 def textual(column: pa.Array) -> np.ndarray:
     _, bounds = tb.raw(column)
     return np.diff(bounds) > 0
@@ -90,8 +98,7 @@ def keep(docs: DataFrame, models: list[linear.Model], threshold: float = THRESHO
     def run(batches):
         for batch in batches:
             for part in tb.slices(batch):
-                bad = (probabilities(shared.value, part.column("text"))[:, -1] >= threshold) & textual(part.column("text"))
-                yield part.filter(pa.array(~bad))
+                yield part.filter(pa.array(~rejected(shared.value, part.column("text"), threshold)[1]))
 
     return docs.mapInArrow(run, T.StructType(docs.schema.fields))
 

@@ -44,13 +44,31 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def library(name):
+    """The tokenizers library by itself."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_are_the_library_s(name):
+    r = random.Random(3)
+    bits = ["hello", " ", "don't", "'", "I'm", " they'll ", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "123", "é", "é", "日本語", "ß", "\n", "\t", "...", "#", "😀", "Ⅷ", "_", "\u2028"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(14))) for _ in range(2000)]
+    ids, sizes = tokens.encoder(name).encode(pa.array(texts))
+    parts = np.split(ids, np.cumsum(sizes)[:-1])
+    assert [p.tolist() for p in parts] == [e.ids for e in library(name).encode_batch(texts, add_special_tokens=False)]
+
+
 ODD = [None, "", " \n", "one", "a b c d e f g", "a b c d e f g", "é" * 50, "long " * 30_000]
 
 
 @pytest.mark.parametrize("texts", [ODD, []])
 def test_packing_covers_every_id_once(spark, texts):
     found = packing.pieces(docs(spark, texts)).orderBy("doc_id", "start").collect()
-    encoder = tokens.encoder("byte_bpe_50k.json").library
+    encoder = library("byte_bpe_50k.json")
     for i, text in enumerate(texts):
         ids = np.array([*encoder.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
         mine = [r for r in found if r["doc_id"] == i]
@@ -79,7 +97,7 @@ def test_token_ids_come_back(spark, texts, tmp_path):
     found = {r["doc_id"]: r for r in repair.read(spark, folder).collect()}
     start = 0
     for i, text in enumerate(texts):
-        ids = np.array([*tokens.encoder("word_bpe_49k.json").library.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        ids = np.array([*library("word_bpe_49k.json").encode(text or "", add_special_tokens=False).ids, 2], "<u4")
         assert (found[i]["start"], found[i]["n_tokens"], found[i]["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
     assert len(found) == len(texts)
@@ -232,6 +250,52 @@ def test_salvage_skips_damage():
     assert list(warc.salvage(b"")) == []
 
 
+def warc_record(k: int, body: bytes) -> bytes:
+    import hashlib
+
+    head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{k}>\r\nWARC-Payload-Digest: sha256:{hashlib.sha256(body).hexdigest()}\r\nContent-Length: {len(body)}\r\n\r\n"
+    return head.encode() + body + b"\r\n\r\n"
+
+
+def test_salvage_inside_members():
+    import gzip
+
+    one, two, three = (warc_record(k, bytes([96 + k]) * 3000) for k in (1, 2, 3))
+    big = warc_record(4, " ".join(words(400_000, 4)).encode())
+    ids = lambda found: [x["record_id"][10:-1] if x["kind"] == "record" else "gap" for x in found]
+    assert ids(warc.salvage(gzip.compress(one + two.replace(b"bbb", b"bxb", 1) + three))) == ["1", "gap", "3"]
+    packed = gzip.compress(one + big + two)
+    assert ids(warc.salvage(packed + gzip.compress(three))) == ["1", "4", "2", "3"]
+    assert ids(warc.salvage(packed[: len(packed) // 2] + gzip.compress(three) + two)) == ["1", "gap", "3", "2"]
+    broken = bytearray(packed)
+    broken[-5] ^= 255  # the member's check sum
+    assert ids(warc.salvage(bytes(broken) + gzip.compress(three)))[:3] == ["1", "4", "2"]
+    assert ids(warc.salvage(gzip.compress(b"no archive") + one)) == ["gap", "1"]
+    assert ids(warc.salvage(gzip.compress(b"") + one)) == ["1"]
+
+
+def test_warc_of_odd_pages(spark, tmp_path):
+    body = "x" * 200
+    rows = [(1, "u", None), (2, None, body), (2, "v", body), (3, "w", body), (None, "n", body), (4, "t", "short"), (5, "t", "short")]
+    pages = spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, html string, digest string")
+    warc.write(pages, f"file://{tmp_path}/odd")
+    found = warc.read(spark, f"file://{tmp_path}/odd").collect()
+    assert sorted((r["record_id"], r["record_type"], r["refers_to"]) for r in found) == sorted(
+        [
+            ("<urn:page:1>", "response", None),
+            ("<urn:page:2>", "response", None),
+            ("<urn:page:2>", "response", None),
+            ("<urn:page:3>", "revisit", "<urn:page:2>"),
+            ("<urn:page:null>", "revisit", "<urn:page:2>"),
+            ("<urn:page:4>", "response", None),
+            ("<urn:page:5>", "response", None),
+        ],
+        key=str,
+    )
+    warc.write(pages.limit(0), f"file://{tmp_path}/none")
+    assert warc.read(spark, f"file://{tmp_path}/none").where("kind = 'record'").count() == 0
+
+
 def test_pipeline_keeps_columns_and_the_last_stage_packs(spark):
     table = spark.read.parquet(f"{DATA}/documents.parquet")
     out = table
