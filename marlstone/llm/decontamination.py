@@ -28,15 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.llm import textbatch as tb
-from marlstone.session import ship, small, stored
+from marlstone.session import bounded, ship, stored
 
 WINDOW = 10
 #: Words of items in one automaton: at most some 100 MB in a Python worker.
 BLOCK_WORDS = 100_000
 #: A document with a larger share of hit words goes whole.
 MAX_COVERAGE = 0.5
-#: Documents with hits whose spans may go to every task; more are joined by shuffle.
-BROADCAST_ROWS = 500_000
 _SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -288,7 +286,7 @@ def _clean_blocks(docs: DataFrame, shared: list[Broadcast], max_coverage: float)
     spans = stored(united.groupBy(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).agg(F.flatten(F.collect_set("spans")).alias("spans")).select("_doc", "_key", merged("spans").alias("_spans")))
     whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")  # boxed, so no name can clash
     boxed = docs.select(whole, docs["text"].alias("text"), docs["doc_id"].cast("long").alias("doc"), F.xxhash64(docs["text"]).alias("key"))
-    hit = boxed.join(small(spans, BROADCAST_ROWS), F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")), "left").select("row", "text", "_spans")
+    hit = boxed.join(bounded(spans), F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")), "left").select("row", "text", "_spans")
 
     def run(batches):
         for batch in batches:

@@ -27,14 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import textbatch as tb
-from marlstone.session import ship, small, stored, table
+from marlstone.session import bounded, ship, stored, table
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 30, 5
 CHECKS, LOT, TOLERANCE = 64, 16, 1e-5
 BLOCK = 256
-#: Rows of a side that may go to every task; larger ones are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
 _RNG = np.random.default_rng(7)
 _FACTOR = _RNG.integers(1, 1 << 31, BANDS * ROWS + CHECKS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SHIFT = _RNG.integers(0, 1 << 32, BANDS * ROWS + CHECKS, dtype=np.uint32)
@@ -157,7 +155,7 @@ def buckets(classes: DataFrame) -> DataFrame:
     keyed = classes.select("class", "bands").mapInArrow(_band_rows, "key long, band int, class long")
     shared = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    member = keyed.join(small(shared, BROADCAST_ROWS), "key").select("key", "band", "class", blocks.alias("blocks"), F.pmod(F.xxhash64("class", "key"), blocks).cast("int").alias("block"))
+    member = keyed.join(bounded(shared), "key").select("key", "band", "class", blocks.alias("blocks"), F.pmod(F.xxhash64("class", "key"), blocks).cast("int").alias("block"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     return member.select("key", "band", "class", "block", other.alias("other")).select("key", "band", "class", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
 
@@ -351,7 +349,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("class").take(pa.array(same)), part.column("copies").take(pa.array(same)), pa.array(packed, pa.binary())], names=["class", "copies", "shingles"])
 
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text").join(small(wanted, BROADCAST_ROWS), same)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text").join(bounded(wanted), same)
     return texts.mapInArrow(run, "class long, copies long, shingles binary").dropDuplicates(["class"])
 
 
@@ -369,11 +367,11 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     again = stored(known.groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).count().where("count > 1").drop("count"))
     whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")  # boxed, so no name can clash
     boxed = docs.select(whole, docs["doc_id"].cast("long").alias("_doc"), F.xxhash64(docs["text"]).alias("_key"))
-    rest = boxed.join(small(gone, BROADCAST_ROWS), ["_doc", "_key"], "left_anti")
+    rest = boxed.join(bounded(gone), ["_doc", "_key"], "left_anti")
     if again.isEmpty():
         return rest.select("row.*")
-    repeated = rest.join(small(again, BROADCAST_ROWS), ["_doc", "_key"], "left_semi").dropDuplicates(["_doc", "_key"])
-    return rest.join(small(again, BROADCAST_ROWS), ["_doc", "_key"], "left_anti").unionByName(repeated.select(*rest.columns)).select("row.*")
+    repeated = rest.join(bounded(again), ["_doc", "_key"], "left_semi").dropDuplicates(["_doc", "_key"])
+    return rest.join(bounded(again), ["_doc", "_key"], "left_anti").unionByName(repeated.select(*rest.columns)).select("row.*")
 
 
 def op4_jaccard_join(spark, sf_dir) -> DataFrame:

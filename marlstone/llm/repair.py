@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import textbatch as tb
 from marlstone.llm import tokens as tk
-from marlstone.session import shared_folder, ship, table
+from marlstone.session import bounded, shared_folder, ship, stored, table
 
 VOCABULARY, END = "word_bpe_49k.json", 2
 SHARD_TOKENS = 1_000_000
@@ -181,17 +181,10 @@ def read(spark, folder: str) -> DataFrame:
                 keys = pa.array(ids, mask=np.frombuffer(batch.column("missing")[i].as_py(), bool))
                 yield pa.RecordBatch.from_arrays([keys, pa.array(ends - n + batch.column("first")[i].as_py()), pa.array(n), pa.array(np.array(crc, np.int64))], schema=columns)
 
-    placed = shards.join(small_starts(starts), ["part", "shard"])
+    placed = shards.join(bounded(stored(starts)), ["part", "shard"])
     return placed.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def small_starts(starts: DataFrame, most_rows: int = 200_000) -> DataFrame:
-    """Three numbers for each shard go to every task while there are few; else they are joined by shuffle."""
-    from marlstone.session import small, stored
-
-    return small(stored(starts), most_rows)
-
-
 def op2_token_ids(spark, sf_dir) -> DataFrame:
     """All documents' ids written as grammars and read back."""
     folder = f"{shared_folder(spark)}/ids"

@@ -32,13 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.session import shared_folder, ship, small, stored, table
+from marlstone.session import bounded, shared_folder, ship, stored, table
 
 MIN_PAYLOAD = 100
 #: A file is read by one task as one value: this keeps it to some MB of usual pages.
 RECORDS_PER_FILE = 500
-#: Digests that occur more than once; up to so many go to every task, more are joined by shuffle.
-BROADCAST_ROWS = 500_000
 #: Bytes inflated at a time.
 PIECE = 1 << 20
 _MEMBER = re.compile(rb"\x1f\x8b\x08")
@@ -54,7 +52,7 @@ def write(pages: DataFrame, folder: str, records_per_file: int = RECORDS_PER_FIL
     body = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", body.alias("html"), F.sha2(body, 256).alias("digest"), F.octet_length(body).alias("bytes"))
     firsts = rows.where(F.col("bytes") >= MIN_PAYLOAD).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 AND first_id IS NOT NULL").drop("n")
-    rows = rows.join(small(stored(firsts), BROADCAST_ROWS), "digest", "left")
+    rows = rows.join(bounded(stored(firsts)), "digest", "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     header = F.concat_ws(
