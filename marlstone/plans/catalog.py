@@ -13,30 +13,25 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import chunks, text, timing, urls
 from marlstone.operators import items, runs, usage
-from marlstone.session import shared_folder, table
+from marlstone.plans.registry import REGISTRY, query
+from marlstone.session import shared_folder, ship, table
 from marlstone.sources import listings, pages, robots, transcripts
 from marlstone.streaming import known
 
 #: model, provider, price in, price out; 'error' has no price, 'view' only from another provider
 PRICES = (("click", "a", "1.00", "2.00"), ("purchase", "b", "3.00", "9.50"), ("signup", "b", "0.25", "1.25"), ("view", "b", "0.10", "0.40"))
 NOW = "2024-01-20 12:00:00"
-_REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        _REGISTRY[f.__name__] = (f, sql)
-        return f
-
-    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, (f, _) in _REGISTRY.items()}
+    from marlstone.plans import lifecycle, texts  # noqa: F401  (they register their queries)
+
+    return {name: f for name, (f, _) in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _REGISTRY.items() if sql}
+    queries()
+    return {name: sql for name, (_, sql) in REGISTRY.items() if sql}
 
 
 def _usage(spark, d):
@@ -102,11 +97,11 @@ def due_jobs(spark, d):
     return runs.due(_jobs(spark, d), F.lit("1997-01-01 00:00:00").cast("timestamp_ntz")).select("id", "job_id", F.col("next_run_at").cast("string").alias("next_run_at"))
 
 
-_PENDING = f"SELECT *, CASE WHEN (run_id IS NULL OR run_id <> 3) AND status = 'new' AND attempts = 0 THEN 'waiting' WHEN (run_id IS NULL OR run_id <> 3) AND status IN ('new', 'failed') AND attempts BETWEEN 1 AND 2 THEN 'retryable' END AS kind FROM ({_JOBS})"
+_PENDING = f"SELECT *, CASE WHEN run_id = 3 THEN NULL WHEN status = 'new' AND attempts = 0 THEN 'waiting' WHEN attempts < 3 AND (status = 'failed' OR (status = 'new' AND attempts >= 1)) THEN 'retryable' END AS kind FROM ({_JOBS})"
 
 
 def _pending(spark, d):
-    return _jobs(spark, d).withColumn("kind", runs.pending_kind(F.col("run_id"), F.col("status"), F.col("attempts"), 3))
+    return _jobs(spark, d).withColumn("kind", runs.pending_kind(F.col("run_id"), F.col("status"), F.col("attempts"), F.lit(3)))
 
 
 @query(f"SELECT id, kind FROM ({_PENDING}) WHERE kind IS NOT NULL ORDER BY next_run_at DESC NULLS LAST, id LIMIT 100")
@@ -142,8 +137,7 @@ def failure_streak(spark, d):
 
 @query("SELECT o_orderkey AS run_id, c_name AS job, c_mktsegment AS zone, o_orderstatus AS status FROM orders JOIN customer ON o_custkey = c_custkey ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20")
 def run_list_join(spark, d):
-    newest = table(spark, d, "orders").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
-    joined = newest.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    joined = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return joined.orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(20).select(F.col("o_orderkey").alias("run_id"), F.col("c_name").alias("job"), F.col("c_mktsegment").alias("zone"), F.col("o_orderstatus").alias("status"))
 
 
@@ -160,23 +154,24 @@ def first_occurrence(spark, d):
     return items.first_occurrence(candidates, "url_hash", "source", "doc_id")
 
 
-_KNOWN = "SELECT CAST(doc_id AS VARCHAR) AS h, CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN 'old' ELSE sha256(text) END AS c, CASE WHEN doc_id % 6 < 2 THEN 'new' WHEN doc_id % 6 < 4 THEN 'failed' ELSE 'summarized' END AS s, doc_id % 5 AS a FROM documents WHERE doc_id % 3 <> 0"
+_KNOWN = "SELECT CAST(doc_id AS VARCHAR) AS h, CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN 'old' ELSE sha256(text) END AS c, CASE WHEN doc_id % 6 < 2 THEN 'new' WHEN doc_id % 6 < 4 THEN 'failed' ELSE 'summarized' END AS s, doc_id % 5 AS a, CASE WHEN doc_id % 7 = 0 THEN 3 END AS r FROM documents WHERE doc_id % 3 <> 0"
 
 
-@query(f"""SELECT CASE WHEN h IS NULL THEN 'new' WHEN c IS NOT NULL AND c <> sha256(text) THEN 'changed' WHEN s = 'new' AND a = 0 THEN 'waiting' WHEN s IN ('new', 'failed') AND a BETWEEN 1 AND 2 THEN 'retry' ELSE 'dropped' END AS kind, count(*) AS items
+@query(f"""SELECT CASE WHEN h IS NULL THEN 'new' WHEN c IS NOT NULL AND c <> sha256(text) THEN 'changed' WHEN r = 3 THEN 'dropped' WHEN s = 'new' AND a = 0 THEN 'waiting' WHEN a < 3 AND (s = 'failed' OR (s = 'new' AND a >= 1)) THEN 'retryable' ELSE 'dropped' END AS kind, count(*) AS items
     FROM documents LEFT JOIN ({_KNOWN}) k ON CAST(doc_id AS VARCHAR) = h GROUP BY 1""")
 def known_join_classify(spark, d):
     docs, key = table(spark, d, "documents"), F.col("doc_id")
     content = urls.fingerprint(F.col("text"))
     status = F.when(key % 6 < 2, "new").when(key % 6 < 4, "failed").otherwise("summarized")
-    known = docs.where(key % 3 != 0).select(key.cast("string").alias("url_hash"), F.when(key % 4 == 0, None).when(key % 4 == 1, "old").otherwise(content).alias("content_hash"), status.alias("status"), (key % 5).alias("attempts"))
+    known = docs.where(key % 3 != 0).select(key.cast("string").alias("url_hash"), F.when(key % 4 == 0, None).when(key % 4 == 1, "old").otherwise(content).alias("content_hash"), status.alias("status"), (key % 5).alias("attempts"), F.when(key % 7 == 0, 3).cast("long").alias("run_id"))
     candidates = docs.select(key.cast("string").alias("url_hash"), content.alias("content_hash"))
-    return items.classify(candidates, known).groupBy("kind").agg(F.count("*").alias("items"))
+    return items.classify(candidates, known, 3).groupBy("kind").agg(F.count("*").alias("items"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def unknown_candidates(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    known = table(spark, d, "orders").where("o_orderstatus = 'P'")
+    return table(spark, d, "customer").join(known, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
@@ -184,9 +179,11 @@ def jobs_with_success(spark, d):
     return table(spark, d, "customer").join(table(spark, d, "orders").where("o_orderstatus = 'F'"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("SELECT source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) <= 5")
+@query("SELECT source, doc_id, 'new' AS kind FROM documents WHERE doc_id % 4 <> 0 QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) <= 5 UNION ALL SELECT source, doc_id, 'waiting' FROM documents WHERE doc_id % 4 = 0")
 def baseline_topn_per_source(spark, d):
-    return items.newest_per_source(table(spark, d, "documents").select("source", "doc_id", "n_chars"), "source", 5, F.desc("n_chars"), F.col("doc_id")).select("source", "doc_id")
+    kind = F.when(F.col("doc_id") % 4 == 0, "waiting").otherwise("new")
+    rows = table(spark, d, "documents").select("source", "doc_id", "n_chars", kind.alias("kind"))
+    return items.newest_new_per_source(rows, "source", 5, F.desc("n_chars"), F.col("doc_id")).select("source", "doc_id", "kind")
 
 
 @query("SELECT 0 AS origin, o_orderkey AS id, CAST(o_orderdate AS VARCHAR) AS published FROM orders UNION ALL SELECT 1, event_id, CAST(date_trunc('second', ts) AS VARCHAR) FROM events ORDER BY published DESC, origin, id LIMIT 200")
@@ -233,6 +230,7 @@ def teaser(spark, d):
 
 @query(r"SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^\pL\pN_\pM])(the|und)([^\pL\pN_\pM]|$)') AND NOT regexp_matches(lower(text), '(^|[^\pL\pN_\pM])les([^\pL\pN_\pM]|$)')")
 def keyword_filter(spark, d):
+    ship(spark)
     return table(spark, d, "documents").where(items.keyword_match(F.col("text"), any_=["the", "und", " "], exclude=["les"])).select("doc_id")
 
 
@@ -305,8 +303,9 @@ def page_fingerprints(spark, d):
     return pages.page_fingerprints(table(spark, d, "pages"))
 
 
-@query()
+@query("SELECT doc_id, nfc_normalize(replace(lower(text), 'ß', 'ss')) AS folded FROM documents")
 def folded_text(spark, d):
+    ship(spark)
     return table(spark, d, "documents").select("doc_id", text.fold("text").alias("folded"))
 
 
@@ -366,7 +365,7 @@ def transcript_tracks(spark, d):
     return transcripts.ranked_tracks(tracks, "de-AT").select("video", "position", "tier", "rank")
 
 
-@query()
+@query("SELECT sha256(text) AS url_hash, min(doc_id) AS seq, 'new' AS kind FROM documents WHERE text IS NOT NULL GROUP BY 1")
 def streamed_candidates(spark, d):
     # A pattern, since the table may be one file, and a stream's plain path must be a folder.
     docs = spark.readStream.schema(table(spark, d, "documents").schema).parquet(f"{d}/documents.*")

@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.functions.text import collapse, html_text, teaser
-from marlstone.functions.urls import canonical_url, fingerprint
+from marlstone.functions.timing import clamp_age
+from marlstone.functions.urls import VIDEO_ID, canonical_url, fingerprint
 from marlstone.session import ship
 
 MOST_ENTRIES = 500
+# Titles and states of videos that can't be watched.
+PLACEHOLDERS = ("[Private video]", "[Deleted video]")
+HIDDEN = ("private", "premium_only", "subscriber_only", "needs_auth")
 RSS = "channel STRUCT<item: ARRAY<STRUCT<title: STRING, link: STRING, description: STRING, pubDate: STRING>>>"
 ATOM = "entry ARRAY<STRUCT<title: STRUCT<_VALUE: STRING, _type: STRING>, link: ARRAY<STRUCT<_href: STRING, _rel: STRING>>, published: STRING, updated: STRING, summary: STRUCT<_VALUE: STRING, _type: STRING>>>"
 URLSET = "url ARRAY<STRUCT<loc: STRING, lastmod: STRING>>"
@@ -37,7 +41,10 @@ def resolved(links: pd.Series, bases: pd.Series) -> pd.Series:
 def http_link(link: Column, base: Column) -> Column:
     """The canonical web address of a link, or null."""
     whole = canonical_url(resolved(link, base))
-    return F.when(whole.rlike(r"^https?://[^/?#]"), whole)
+    host = r"^https?://(?:\[[0-9a-f:.]+\]|[^/?#:\[\]]+)"
+    port = F.regexp_extract(whole, host + r":([^/?#]*)", 1)
+    numbered = (port == "") | (port.rlike(r"^0*[1-9][0-9]{0,4}$") & (port.try_cast("int") <= 65535))
+    return F.when(whole.rlike(host + r"(:[^/?#]*)?([/?#]|$)") & numbered, whole)
 
 
 def w3c_date(text: Column) -> Column:
@@ -85,11 +92,91 @@ def sitemap_children(maps: DataFrame) -> DataFrame:
     return first_of_each(rows.select("map_id", "position", http_link(F.col("e.loc"), F.col("base")).alias("link")).where("link IS NOT NULL"), "map_id").select("map_id", "position", "link")
 
 
+def followed(maps: DataFrame, fetched: DataFrame, most_depth: int = 2, most_children: int = 50) -> DataFrame:
+    """maps and the maps that their indexes lead to, by their bodies in fetched (url, body): map_id, base, body, depth.
+
+    An index's first `most_children` children are followed, to `most_depth` levels; a map is read
+    once for each map_id, and a child that wasn't fetched is skipped.
+    """
+    level = maps.select("map_id", "base", "body", F.lit(0).alias("depth"))
+    every = level
+    seen = level.select("map_id", F.col("base").alias("link"))
+    for depth in range(1, most_depth + 1):
+        # The children of one map fit its body, so ranking them is a sort of bounded size.
+        children = sitemap_children(level).selectExpr("*", "row_number() OVER (PARTITION BY map_id ORDER BY position) AS _r").where(F.col("_r") <= most_children)
+        new = children.select("map_id", "link").join(seen, ["map_id", "link"], "left_anti")
+        level = new.join(fetched.select(F.col("url").alias("link"), "body"), "link").select("map_id", F.col("link").alias("base"), "body", F.lit(depth).alias("depth"))
+        seen = seen.unionByName(new)
+        every = every.unionByName(level)
+    return every
+
+
+def inflated(body: Column, most: int = 50 << 20) -> Column:
+    """Text of a body that may be gzip; null if it is damaged or larger than `most` bytes."""
+    import zlib
+
+    @F.pandas_udf(T.StringType())
+    def plain(bodies: pd.Series) -> pd.Series:
+        def one(data):
+            if not data.startswith(b"\x1f\x8b"):
+                return data.decode("utf-8", "replace") if len(data) <= most else None
+            try:
+                out = zlib.decompressobj(31).decompress(data, most + 1)
+            except zlib.error:
+                return None
+            return out.decode("utf-8", "replace") if len(out) <= most else None
+
+        return bodies.map(lambda b: one(bytes(b)), na_action="ignore")
+
+    return plain(body)
+
+
+def sitemap_description(maps: DataFrame) -> DataFrame:
+    """Per map_id whether it is an index, its entries and newest date; bodies of neither kind are left out."""
+    rows = maps.select("map_id", F.from_xml("body", URLSET, _XML)["url"].alias("u"), F.from_xml("body", INDEX, _XML)["sitemap"].alias("s"), F.col("body").rlike(r"<(\w+:)?sitemapindex\b").alias("is_index"), F.col("body").rlike(r"<(\w+:)?urlset\b").alias("is_set"))
+    listed = F.filter(F.when(F.col("is_index"), F.col("s")).otherwise(F.col("u")), lambda e: F.coalesce(e["loc"], F.lit("")) != "")
+    dates = F.transform(listed, lambda e: w3c_date(e["lastmod"]))
+    return rows.where("is_index OR is_set").select("map_id", "is_index", F.coalesce(F.size(listed), F.lit(0)).cast("long").alias("entries"), F.array_max(dates).alias("newest"))
+
+
+def feed_description(entries: DataFrame) -> DataFrame:
+    """Entries and newest date of each feed."""
+    return entries.groupBy("feed_id").agg(F.count("*").alias("entries"), F.max("published").alias("newest"))
+
+
 def sitemap_summary(entries: DataFrame) -> DataFrame:
     return entries.groupBy("map_id").agg(F.count("*").alias("entries"), F.max("lastmod").alias("newest"))
 
 
-def feed_entries(feeds: DataFrame) -> DataFrame:
+def video_listing(entries: DataFrame, most: int) -> DataFrame:
+    """Usable videos of each listing, newest first, then undated ones in their order, at most `most` of the listing's first.
+
+    entries: listing_id, position, id, title, availability, published. Entries without a usable id
+    or title, and hidden ones, are left out; the first of an id counts.
+    """
+    listed = entries.where(F.col("position") < most).withColumn("title", collapse(F.col("title")))
+    known = listed.where(F.col("id").rlike(VIDEO_ID) & (F.col("title") != "") & ~F.col("title").isin(*PLACEHOLDERS) & ~F.coalesce(F.col("availability").isin(*HIDDEN), F.lit(False)))
+    others = [c for c in known.columns if c not in ("listing_id", "id")]
+    once = known.groupBy("listing_id", "id").agg(F.min_by(F.struct(*others), F.col("position")).alias("x")).select("listing_id", "id", "x.*")
+    # A listing has at most `most` rows here.
+    rank = F.expr("row_number() OVER (PARTITION BY listing_id ORDER BY published DESC NULLS LAST, position)")
+    url = F.concat(F.lit("https://www.youtube.com/watch?v="), F.col("id"))
+    return once.select("listing_id", rank.alias("rank"), "id", url.alias("url"), "title", "published")
+
+
+def listing_summary(videos: DataFrame, shown: int = 5) -> DataFrame:
+    """Per listing its videos, the newest date and the titles of the first ones."""
+    titles = F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= shown, F.struct("rank", "title")))), lambda x: x["title"])
+    return videos.groupBy("listing_id").agg(F.count("*").alias("videos"), F.max("published").alias("newest"), titles.alias("titles"))
+
+
+def merged_sources(results: DataFrame, most_per_source: int) -> DataFrame:
+    """Candidates of all sources of a job in the order of its sources, each source's first `most_per_source`."""
+    rank = F.expr("row_number() OVER (PARTITION BY job_id, source_index ORDER BY position)")
+    return results.withColumn("_r", rank).where(F.col("_r") <= most_per_source).drop("_r")
+
+
+def feed_entries(feeds: DataFrame, now: Column | None = None, max_age_days: int | None = None) -> DataFrame:
     """Entries of RSS and Atom feeds, from (feed_id, base, body): feed_id, position, link, url_hash, title, published, teaser.
 
     A title or summary is HTML unless Atom says text. Without a title the link stands for it. The
@@ -105,4 +192,8 @@ def feed_entries(feeds: DataFrame) -> DataFrame:
     linked = items.unionByName(entries).withColumn("link", http_link(F.col("raw"), F.col("base"))).where("link IS NOT NULL")
     named = F.coalesce(F.nullif(collapse(F.col("title")), F.lit("")), F.col("link"))
     made = linked.select("feed_id", "position", "link", fingerprint(F.col("link")).alias("url_hash"), named.alias("title"), "published", teaser(F.col("summary")).alias("teaser"))
-    return first_of_each(made, "feed_id").select("feed_id", "position", "link", "url_hash", "title", "published", "teaser")
+    found = first_of_each(made, "feed_id").select("feed_id", "position", "link", "url_hash", "title", "published", "teaser")
+    if now is None or max_age_days is None:
+        return found
+    young, date = clamp_age(F.col("published"), now, max_age_days)
+    return found.where(young).withColumn("published", date)

@@ -1,58 +1,202 @@
-"""Web pages: links of a page as rows, and its text with a content hash."""
+"""Web pages: bytes to text, regions, links of a page as rows, and its text with a content hash."""
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-from urllib.parse import urljoin
+import codecs
+import re
+from urllib.parse import urljoin, urlsplit
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from marlstone.functions.text import html_text
-from marlstone.functions.urls import canonical_url, fingerprint, origin
+from marlstone.functions.text import BLOCK_TAGS, NON_TEXT_TAGS, html_text, readable, spans, visible_text
+from marlstone.functions.urls import canonical_url, fingerprint
 from marlstone.session import ship
 
+# Elements without an end, marks that tell an encoding, labels read as their superset, and
+# the tags that HTML may begin with.
+VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+BYTE_ORDER_MARKS = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
+SUPERSETS = {"ascii": "cp1252", "iso8859-1": "cp1252", "iso8859-9": "cp1254", "tis-620": "cp874", "iso8859-11": "cp874", "gb2312": "gb18030", "gbk": "gb18030", "shift_jis": "cp932", "euc_kr": "cp949"}
+WEB_ENCODING = r"utf-8|utf-16(-le|-be)?|gb18030|big5|big5hkscs|cp932|cp949|euc_jp|iso2022_jp|koi8-[ru]|cp866|cp874|cp125\d|iso8859-\d+|mac-(roman|cyrillic)"
+HTML_STARTS = ("!doctype html", "html", "head", "script", "iframe", "h1", "div", "font", "table", "a", "style", "title", "b", "body", "br", "p", "!--")
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_SELECTOR = re.compile(r"([A-Za-z][\w-]*|\*)?((?:[#.][\w-]+)*)")
+LINK = T.ArrayType(T.StructType([T.StructField("position", T.LongType()), T.StructField("link", T.StringType()), T.StructField("title", T.StringType())]))
 
-class _Anchors(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__()
-        self.found: list[str] = []
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        href = dict(attrs).get("href") if tag == "a" else None
-        if href:
-            self.found.append(href)
+def attributes(text: str) -> dict[str, str]:
+    """The attributes of a tag; the first of each name counts."""
+    import html
 
+    found: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(text):
+        found.setdefault(name.lower(), html.unescape(value.strip("\"'")))
+    return found
 
-def hrefs(html: str) -> list[str]:
-    reader = _Anchors()
-    reader.feed(html)
-    return reader.found
 
+def _matches(selector: str, name: str, text: str) -> bool:
+    """A tag, #id and .class, in any combination; alternatives are separated by commas."""
+    known = attributes(text)
+    for one in selector.split(","):
+        parts = _SELECTOR.fullmatch(one.strip())
+        if not parts or not one.strip():
+            raise ValueError(f"selector {one!r} is not a combination of a tag, #id and .class")
+        marks = re.findall(r"[#.][\w-]+", parts[2])
+        classes = known.get("class", "").split()
+        if parts[1] in (None, "*", name) and all(known.get("id") == m[1:] if m[0] == "#" else m[1:] in classes for m in marks):
+            return True
+    return False
 
-def _resolve(batches):
-    for pdf in batches:
-        rows = []
-        for page, url, html in pdf.itertuples(index=False):
-            for position, href in enumerate(hrefs(html or "")):
-                try:
-                    rows.append((page, url, position, urljoin(url or "", href.strip())))
-                except ValueError:  # such as an unclosed bracket
-                    continue
-        yield type(pdf)(rows, columns=["page_id", "page_url", "position", "link"])
 
+def regions(markup: str, selector: str) -> list[list[tuple[str, str, str]]]:
+    """The spans of each element that matches, in document order; matches inside a match stand by themselves too."""
+    found: list[list] = []
+    open_: list[tuple[str, list | None]] = []
+    for kind, name, text in spans(markup):
+        if kind == "open":
+            mine = [] if _matches(selector, name, text) else None
+            if mine is not None:
+                found.append(mine)
+            for _, region in open_:
+                if region is not None:
+                    region.append((kind, name, text))
+            if mine is not None:
+                mine.append((kind, name, text))
+            if name not in VOID_TAGS and name not in NON_TEXT_TAGS:
+                open_.append((name, mine))
+            continue
+        for _, region in open_:
+            if region is not None:
+                region.append((kind, name, text))
+        if kind == "close" and any(n == name for n, _ in open_):
+            while open_.pop()[0] != name:
+                pass
+    return found
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """Links of each page (page_id, url, html) to its own host: canonical, the first place of each, not the page itself."""
+
+def region_text(markup: str, selector: str | None) -> str | None:
+    """Readable text of the matches, joined by a space; null where nothing matches."""
+    if selector is None:
+        return visible_text(markup)
+    matched = regions(markup, selector)
+    if not matched:
+        return None
+    runs = ("".join(" " if name in BLOCK_TAGS else text if kind == "text" else "" for kind, name, text in region) for region in matched)
+    return " ".join(" ".join(runs).split())
+
+
+def anchors(markup: str, url: str, selector: str | None, same_host: bool) -> list[tuple[int, str, str]]:
+    """(position, absolute link, title) of the links in the regions, against the page's own base address."""
+    streams = [list(spans(markup))] if selector is None else regions(markup, selector)
+    base, host = url, None
+    for kind, name, text in spans(markup):
+        if kind == "open" and name == "base" and (href := attributes(text).get("href")):
+            base = urljoin(url, href)
+            break
+    found: list[list] = []
+    inside: list | None = None
+    try:
+        host = urlsplit(url).hostname
+        for stream in streams:
+            for kind, name, text in stream:
+                if name == "a":
+                    inside = None
+                    href = attributes(text).get("href") if kind == "open" else None
+                    if href:
+                        inside = [len(found), href.strip(), []]
+                        found.append(inside)
+                elif inside is not None:
+                    inside[2].append(text if kind == "text" else " " if name in BLOCK_TAGS else "")
+    except ValueError:
+        return []
+    out = []
+    for position, href, title in found:
+        try:
+            link = urljoin(base, href)
+            if urlsplit(link).scheme in ("http", "https") and (not same_host or urlsplit(link).hostname == host):
+                out.append((position, link, " ".join("".join(title).split())))
+        except ValueError:  # such as an unclosed bracket
+            continue
+    return out
+
+
+def page_links(pages: DataFrame, url_pattern: str | None = None, selector: str | None = None) -> DataFrame:
+    """Links of each page (page_id, url, html): canonical, the first place of each, not the page itself.
+
+    With a pattern links of any host that it is found in, else those of the page's own host. The
+    fragment of a route (`#/...`, `#!...`) stays. A link without words has its address as title.
+    """
     ship(pages.sparkSession)
-    raw = pages.select("page_id", "url", "html").mapInPandas(_resolve, "page_id long, page_url string, position long, link string")
-    links = raw.where(F.lower("link").rlike("^https?://")).select("page_id", "position", canonical_url(F.col("link")).alias("link"), canonical_url(F.col("page_url")).alias("page_url"))
-    kept = links.where((origin(F.col("link")) == origin(F.col("page_url"))) & (F.col("link") != F.col("page_url")))
-    return kept.groupBy("page_id", "link").agg(F.min("position").alias("position"))
 
+    @F.pandas_udf(LINK)
+    def links(urls: pd.Series, markup: pd.Series) -> pd.Series:
+        return pd.Series([anchors(h, u or "", selector, url_pattern is None) if h else [] for u, h in zip(urls, markup, strict=True)], dtype=object)
 
-def page_fingerprints(pages: DataFrame) -> DataFrame:
-    """Readable text of each page and its hash, by which a changed page is known."""
+    raw = pages.select("page_id", canonical_url(F.col("url")).alias("page_url"), F.explode(links("url", "html")).alias("x")).select("page_id", "page_url", "x.*")
+    route = F.regexp_extract("link", r"#([/!].*)$", 0)
+    found = raw.select("page_id", "position", "title", "page_url", F.concat(canonical_url(F.col("link")), route).alias("link")).where("link <> page_url")
+    if url_pattern is not None:
+        found = found.where(F.col("link").rlike(url_pattern))
+    first = found.groupBy("page_id", "link").agg(F.min(F.struct("position", "title")).alias("first"))
+    return first.select("page_id", "link", "first.position", F.coalesce(F.nullif(F.col("first.title"), F.lit("")), F.col("link")).alias("title"))
+
+
+def page_fingerprints(pages: DataFrame, selector: str | None = None) -> DataFrame:
+    """Readable text of each page and its hash, by which a changed page is known.
+
+    With a selector only of the regions that match; null text where none does. Empty text is valid.
+    """
     ship(pages.sparkSession)
-    text = pages.select("page_id", html_text("html").alias("text"))
+
+    @F.pandas_udf(T.StringType())
+    def inner(markup: pd.Series) -> pd.Series:
+        return markup.map(lambda h: region_text(h, selector), na_action="ignore")
+
+    text = pages.select("page_id", (html_text("html") if selector is None else readable(inner("html"))).alias("text"))
     return text.select("page_id", "text", fingerprint(F.col("text")).alias("content_hash"))
+
+
+def page_title(html: Column, fallback: Column) -> Column:
+    """The title of the document's head, else the fallback."""
+    inner = html_text(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1))
+    return F.coalesce(F.nullif(inner, F.lit("")), fallback)
+
+
+def web_encoding(label: str | None) -> str | None:
+    """The codec for an encoding's label as browsers read it, or None for an unknown or disallowed one."""
+    try:
+        name = codecs.lookup((label or "").strip().lower()).name
+    except LookupError:
+        return None
+    name = SUPERSETS.get(name, name)
+    return name if re.fullmatch(WEB_ENCODING, name) else None
+
+
+def decoded(content: bytes, content_type: str | None) -> str:
+    """Text by byte order mark, then the header's charset, then the document's own declaration, then UTF-8."""
+    for mark, name in BYTE_ORDER_MARKS:
+        if content.startswith(mark):
+            return content.decode(name, "replace").removeprefix("﻿")
+    told = re.search(r"charset\s*=\s*[\"']?([^\s;\"']+)", content_type or "", re.IGNORECASE)
+    name = web_encoding(told[1]) if told else None
+    if name is None:
+        inner = re.search(r"<meta[^>]*charset\s*=\s*[\"']?([^\s;\"'/>]+)", content[:1024].decode("latin-1"), re.IGNORECASE)
+        name = web_encoding(inner[1]) if inner else None
+        name = None if name and name.startswith("utf-16") else name
+    return content.decode("utf-16-le" if name == "utf-16" else name or "utf-8", "replace")
+
+
+@F.pandas_udf(T.StringType())
+def html_decoded(contents: pd.Series, content_types: pd.Series) -> pd.Series:
+    return pd.Series([None if c is None else decoded(bytes(c), t) for c, t in zip(contents, content_types, strict=True)], dtype=object)
+
+
+def is_html(content_type: Column, text: Column) -> Column:
+    """By the content type; without one, by how the text begins."""
+    kind = F.lower(F.trim(F.substring_index(content_type, ";", 1)))
+    starts = "|".join(re.escape(x) for x in HTML_STARTS)
+    sniffed = F.lower(F.left(text, F.lit(1024))).rlike(rf"^[\s\x{{feff}}]*<(?:(?:{starts})[\s>]|!--)")
+    return F.when(F.coalesce(kind, F.lit("")) != "", kind.isin("text/html", "application/xhtml+xml")).otherwise(sniffed)

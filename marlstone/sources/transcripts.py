@@ -36,18 +36,18 @@ def ranked_tracks(tracks: DataFrame, language: str, most: int = MOST_TRACKS) ->
     return once.withColumn("rank", rank).where(F.col("rank") <= most).drop("_marked", "_copy")
 
 
+_CUE = re.compile(r"^[^\n]*-->[^\n]*\n(.*?)(?:\n[ \t]*\n|\Z)", re.MULTILINE | re.DOTALL)
+
+
 def spoken(vtt: str) -> str:
     """The spoken text of one file: no tags, times or repeats of the line before."""
-    said: list[str] = []
-    for block in re.split(r"\n(?:[ \t]*\n)+", "\n".join(vtt.removeprefix("﻿").splitlines())):
-        head, arrow, cue = block.strip().partition("-->")
-        if not arrow or head.startswith(SILENT_BLOCKS):
-            continue
-        for line in cue.split("\n")[1:]:
-            words = " ".join(html.unescape(re.sub(r"<[^>]*>", "", line)).split())
-            if words and words != (said[-1] if said else None):
-                said.append(words)
-    return " ".join(said)
+    plain = re.sub(r"\r\n?|[\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", "\n", vtt.removeprefix("\ufeff"))
+    # Blocks that begin with a silent word hold no cue; a longer word, as of a cue's name, is none.
+    silent = re.compile(rf"(?:^|\n[ \t]*\n)(?:{'|'.join(SILENT_BLOCKS)})(?=\s)(?:[^\n]|\n(?![ \t]*\n))*")
+    cues = _CUE.findall(silent.sub("\n\n", plain))
+    lines = pd.Series([" ".join(html.unescape(re.sub(r"<[^>]*>", "", line)).split()) for cue in cues for line in cue.split("\n")], dtype=object)
+    lines = lines[lines != ""]
+    return " ".join(lines[lines != lines.shift()])
 
 
 @F.pandas_udf(T.StringType())

@@ -1,6 +1,7 @@
 """Every query of the catalog against DuckDB on the smallest tables, and the operators' edge cases."""
 
 import datetime as dt
+import numbers
 from pathlib import Path
 
 import duckdb
@@ -19,7 +20,7 @@ DATA = Path("/root/testdata/sf0.001")
 
 def rows(frame: pd.DataFrame) -> list[tuple]:
     frame = frame[sorted(frame.columns)]
-    plain = lambda v: None if v is None or v is pd.NaT or v is pd.NA or v != v else float(f"{v:.9g}") if isinstance(v, (int, float)) and not isinstance(v, bool) else v
+    plain = lambda v: None if v is None or v is pd.NaT or v is pd.NA or v != v else float(f"{v:.9g}") if isinstance(v, numbers.Number) and not isinstance(v, bool) else v
     return sorted((tuple(plain(v) for v in row) for row in frame.itertuples(index=False, name=None)), key=repr)
 
 
