@@ -1,6 +1,6 @@
 """Hashed text features and logistic regression in NumPy, for models trained on a bounded sample.
 
-Features are presences: whether a word, or a run of 3 or 5 characters (code points) that has white
+Features are presences: whether a word, or a run of 5 characters (code points) that has white
 space at its start at most, occurs in the text. Every feature whose presence differs significantly
 between the classes gets a weight, however many they are; the neutral ones get none, so a long text
 doesn't gather noise from them. A model is its weighted features alone, so it is small to send.
@@ -17,8 +17,12 @@ from marlstone.llm import textbatch as tb
 
 BITS = 20
 #: Characters in a run.
-GRAMS = (3, 5)
+GRAMS = (5,)
 DIMS = (1 + len(GRAMS)) << BITS
+#: Text bytes whose features are made at a time.
+SLICE = 1 << 20
+#: Texts that must hold a feature for it to get a weight.
+LEAST_TEXTS = 3
 #: Least |z| of a feature's difference between the classes.
 LEAST_Z = 4.0
 
@@ -56,18 +60,38 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def descend(row: np.ndarray, col: np.ndarray, val: np.ndarray, dims: int, y: np.ndarray, l2: float, rounds: int) -> tuple[np.ndarray, float]:
-    """Weights and bias of an L2-penalised logistic regression, by Adam on the full sample."""
-    w = np.zeros(dims + 1)
-    m, v = np.zeros(dims + 1), np.zeros(dims + 1)
-    n = max(len(y), 1)
+def _sums(index: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The slots of an ascending index that occur, and where each begins."""
+    first = np.searchsorted(index, np.arange(size + 1))
+    full = np.flatnonzero(np.diff(first))
+    return full, first[full]
+
+
+def descend(row: np.ndarray, col: np.ndarray, dims: int, extra: np.ndarray, y: np.ndarray, l2: float, rounds: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights of features, weights of further columns, and bias of an L2-penalised logistic regression.
+
+    (row, col) are the presences, by ascending row. Adam on the full sample; sums run over
+    presences ordered by row and by column.
+    """
+    n, k = len(y), extra.shape[1]
+    by_col = np.argsort(col, kind="stable")
+    row_by_col = row[by_col]
+    rows, at_row = _sums(row, n)
+    cols, at_col = _sums(col[by_col], dims)
+    w = np.zeros(dims + k + 1)
+    m, v = np.zeros(len(w)), np.zeros(len(w))
     for t in range(1, rounds + 1):
-        p = sigmoid(np.bincount(row, val * w[col], n)[:n] + w[-1])
-        e = (p - y) / n
-        g = np.append(np.bincount(col, val * e[row], dims)[:dims] + l2 * w[:-1], e.sum())
+        margin = extra @ w[dims:-1] + w[-1]
+        if len(row):
+            margin[rows] += np.add.reduceat(w.astype(np.float32)[col], at_row)
+        e = (sigmoid(margin) - y) / max(n, 1)
+        g = np.append(l2 * w[:-1], e.sum())
+        g[dims:-1] += extra.T @ e
+        if len(row):
+            g[cols] += np.add.reduceat(e.astype(np.float32)[row_by_col], at_col)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.1 * (1 - t / (rounds + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-    return w[:-1], float(w[-1])
+    return w[:dims], w[dims:-1], float(w[-1])
 
 
 @dataclass
@@ -102,7 +126,7 @@ class Model:
         return sigmoid(self.a * self.margin(row, feature, n, extra) + self.b)
 
 
-def fit(row: np.ndarray, feature: np.ndarray, y: np.ndarray, extra: np.ndarray, l2: float = 1e-3, rounds: int = 200) -> Model:
+def fit(row: np.ndarray, feature: np.ndarray, y: np.ndarray, extra: np.ndarray, l2: float = 1e-3, rounds: int = 100) -> Model:
     """A model of y from distinct (row, feature) and further columns; a class without rows gives its prior."""
     n, ones = len(y), float(y.sum())
     share = (ones + 1) / (n + 2)
@@ -112,17 +136,13 @@ def fit(row: np.ndarray, feature: np.ndarray, y: np.ndarray, extra: np.ndarray,
     c = np.bincount(feature, minlength=DIMS)
     p = c / n
     z = np.abs(c1 / ones - (c - c1) / (n - ones)) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / ones + 1 / (n - ones)))
-    z[(c < 3) | (c == n)] = 0
+    z[(c < LEAST_TEXTS) | (c == n)] = 0
     chosen = np.flatnonzero(z >= LEAST_Z)
     place = np.full(DIMS, -1)
     place[chosen] = np.arange(len(chosen))
     kept = place[feature] >= 0
-    k = extra.shape[1]
-    rows = np.concatenate([row[kept], np.tile(np.arange(n), k)])
-    cols = np.concatenate([place[feature[kept]], np.repeat(np.arange(k), n) + len(chosen)])
-    vals = np.concatenate([np.ones(int(kept.sum())), extra.T.ravel()])
-    w, bias = descend(rows, cols, vals, len(chosen) + k, y, l2, rounds)
-    return Model(chosen, w[: len(chosen)], bias, w[len(chosen) :], fitted=True)
+    w, more, bias = descend(row[kept], place[feature[kept]].astype(np.int32), len(chosen), extra, y, l2, rounds)
+    return Model(chosen, w, bias, more, fitted=True)
 
 
 def fit_calibrated(row: np.ndarray, feature: np.ndarray, y: np.ndarray, extra: np.ndarray, fold: np.ndarray) -> tuple[Model, np.ndarray]:
@@ -136,6 +156,7 @@ def fit_calibrated(row: np.ndarray, feature: np.ndarray, y: np.ndarray, extra: n
         margin[fold == k] = part.margin(row, feature, n, extra)[fold == k]
     model = fit(row, feature, y, extra)
     if len(np.unique(y)) == 2:
-        a, b = descend(np.arange(n), np.zeros(n, int), margin, 1, y, 1e-4, 300)
+        none = np.zeros(0, np.int32)
+        _, a, b = descend(none, none, 0, margin[:, None], y, 1e-4, 300)
         model.a, model.b = float(max(a[0], 1e-3)), b
     return model, sigmoid(model.a * margin + model.b)

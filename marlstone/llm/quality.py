@@ -66,7 +66,7 @@ def judge(docs: DataFrame, model: linear.Model, threshold: float = THRESHOLD) ->
 
     def run(batches):
         for batch in batches:
-            for part in tb.slices(batch):
+            for part in tb.slices(batch, most=linear.SLICE):
                 column = part.column("text")
                 base = statistics(column)
                 p = shared.value.probability(*linear.features(column, lower=False), len(column), np.zeros((len(column), 0)))

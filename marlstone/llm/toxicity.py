@@ -72,7 +72,7 @@ def score(docs: DataFrame, models: list[linear.Model], chain: Sequence[str] = CH
 
     def run(batches):
         for batch in batches:
-            for part in tb.slices(batch):
+            for part in tb.slices(batch, most=linear.SLICE):
                 p, bad = rejected(shared.value, part.column("text"), threshold)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(x) for x in p.T], pa.array(bad)], names=names)
 
@@ -97,7 +97,7 @@ def keep(docs: DataFrame, models: list[linear.Model], threshold: float = THRESHO
 
     def run(batches):
         for batch in batches:
-            for part in tb.slices(batch):
+            for part in tb.slices(batch, most=linear.SLICE):
                 yield part.filter(pa.array(~rejected(shared.value, part.column("text"), threshold)[1]))
 
     return docs.mapInArrow(run, T.StructType(docs.schema.fields))

@@ -44,7 +44,7 @@ def train(docs: DataFrame, chosen: DataFrame, names: Sequence[str], lower: bool,
 
     def extract(batches):
         for batch in batches:
-            for part in tb.slices(batch):
+            for part in tb.slices(batch, most=linear.SLICE):
                 row, feature = linear.present(*linear.features(part.column("text"), lower))
                 first = np.searchsorted(row, np.arange(part.num_rows + 1))
                 kept = [feature[first[i] : first[i + 1]].astype(np.int32).tobytes() for i in range(part.num_rows)]
@@ -56,11 +56,16 @@ def train(docs: DataFrame, chosen: DataFrame, names: Sequence[str], lower: bool,
             for x in batch.to_pylist():
                 rows.setdefault(x["doc_id"], x)
         rows = [rows[k] for k in sorted(rows)]
-        found = [np.frombuffer(x["features"], np.int32).astype(np.int64) for x in rows]
-        row = np.repeat(np.arange(len(rows)), [len(x) for x in found])
-        feature = np.concatenate([*found, np.zeros(0, np.int64)])
-        fold = tb.mix(np.array([x["doc_id"] for x in rows], np.int64).view(np.uint64)) % np.uint64(3)
-        model = learn(row, feature, {n: np.array([x[n] for x in rows], float) for n in names}, fold.astype(int))
+        found = [np.frombuffer(x["features"], np.int32) for x in rows]
+        row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in found])
+        feature = np.concatenate([*found, np.zeros(0, np.int32)])
+        often = (np.bincount(feature, minlength=linear.DIMS) >= linear.LEAST_TEXTS)[feature]  # others can't get a weight
+        row, feature = row[often], feature[often]
+        fold_of = [x["doc_id"] for x in rows]
+        labels = {n: np.array([x[n] for x in rows], float) for n in names}
+        del rows, found
+        fold = tb.mix(np.array(fold_of, np.int64).view(np.uint64)) % np.uint64(3)
+        model = learn(row, feature, labels, fold.astype(int))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     kinds = ", ".join(f"{n} int" for n in names)
