@@ -92,7 +92,7 @@ def test_html_text_and_links(spark):
     page = '<p>a</p><script>x</script>wo<b>rd</b><a href="/q?utm_a=1">l</a><a href="http://other.org/">o</a><a href="/q">again</a>'
     frame = spark.createDataFrame([(1, "http://h.org/", page), (2, None, None)], "page_id long, url string, html string")
     assert frame.select(text.html_text("html")).first()[0] == "a wordloagain"
-    assert [tuple(r) for r in pages.page_links(frame).collect()] == [(1, "http://h.org/q", 0)]
+    assert [tuple(r) for r in pages.page_links(frame).collect()] == [(1, "http://h.org/q", 0, "l")]
 
 
 def test_folding_equates_sharp_s(spark):
