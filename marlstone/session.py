@@ -8,13 +8,14 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 PACKAGE = Path(__file__).resolve().parent
 #: A side of a join that takes more than this is shuffled, not sent to every task.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 24 << 20
+#: Bytes in memory for a byte in a Parquet file, about: keys here are hashes and ids, which hardly compress.
+EXPANSION = 2
 
 
 def session(cpus: str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -72,10 +73,10 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{PACKAGE.name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
+def stored(df: DataFrame, folder: str | None = None, **options: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts lineage, survives lost executors."""
     folder = folder or shared_folder(df.sparkSession)
-    df.write.mode("overwrite").parquet(folder)
+    df.write.mode("overwrite").options(**options).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
@@ -86,33 +87,10 @@ def forget(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def width(df: DataFrame) -> Column:
-    """About how many bytes a row of df takes in memory."""
-
-    def of(value: Column, kind: T.DataType) -> Column:
-        if isinstance(kind, (T.StringType, T.BinaryType)):
-            return F.octet_length(value)
-        if isinstance(kind, (T.ArrayType, T.MapType)):
-            return F.size(value) * 8
-        if isinstance(kind, T.StructType):
-            return F.lit(8 * (len(kind) + 1))
-        return F.lit(8)
-
-    return sum((F.coalesce(of(F.col(f"`{f.name}`"), f.dataType), F.lit(0)) for f in df.schema), F.lit(32)).cast("long")
-
-
 def bounded(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Marked for broadcast if all its rows take at most most_bytes, else as it is, for a shuffled join.
-
-    df must be stored: it is measured here and read again by the join.
-    """
-    total = df.agg(F.sum(width(df))).first()[0] or 0
-    return F.broadcast(df) if total <= most_bytes else df
-
-
-def small(df: DataFrame, most_rows: int) -> DataFrame:
-    """Marked for broadcast if it has at most most_rows rows, else as it is, for a shuffled join.
+    """Marked for broadcast if it takes at most most_bytes, else as it is, for a shuffled join.
 
-    df must be stored: it is counted here and read again by the join.
+    df must be stored: its size is that of its files, which Spark knows without a job.
     """
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+    files = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if files * EXPANSION <= most_bytes else df
