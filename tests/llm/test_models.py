@@ -19,7 +19,7 @@ DATA = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def tables(spark):
-    return spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    return spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
 
 
 def balanced(found, want):
