@@ -104,3 +104,17 @@ def test_streamed_candidates_and_chunks_cover_the_table(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     assert catalog.streamed_candidates(spark, str(DATA)).where("kind = 'new'").count() == docs.where("text IS NOT NULL").select("text").distinct().count()
     assert catalog.text_chunks(spark, str(DATA)).select("doc_id").distinct().count() == docs.where("trim(text) <> ''").select("doc_id").distinct().count()
+
+
+def test_stream_keeps_versions_over_batches(spark, tmp_path):
+    """Two runs of the stream: the second tells new, changed and known apart by what the first stored."""
+    from marlstone.streaming import known
+
+    schema = "seq long, url_hash string, content_hash string"
+    source, folder = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    for rows in ([(1, "a", "x"), (2, "a", "y"), (3, "b", None)], [(4, "a", "x"), (5, "b", "z"), (6, "c", "q")], [(7, "a", "w"), (8, "b", None), (9, "c", "q")], [(10, "a", "w")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        known.follow(spark.readStream.schema(schema).parquet(source), folder).awaitTermination()
+    got = {r["seq"]: r["kind"] for r in known.decisions(spark, folder).collect()}
+    assert got == {1: "new", 3: "new", 4: "known", 5: "known", 6: "new", 7: "changed", 8: "known", 9: "known", 10: "known"}
+    assert known.decisions(spark, folder).where("stores").count() == 5
