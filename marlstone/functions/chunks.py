@@ -45,8 +45,8 @@ def split_text(text: str, max_tokens: int, overlap: int = 0) -> list[str]:
     New text of a chunk has at most max_tokens - overlap tokens, less the room of a separator
     where chunks overlap; a blank line follows each paragraph.
     """
-    if not 0 <= overlap < max_tokens:
-        raise ValueError(f"overlap must be at least 0 and below max_tokens, got {overlap} and {max_tokens}")
+    if overlap < 0 or max_tokens <= overlap:
+        raise ValueError("a chunk must have room for new text beside what it repeats")
     if not text.strip():
         return []
     if len(text) <= CHARS_PER_TOKEN * max_tokens:
