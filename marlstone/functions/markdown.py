@@ -7,7 +7,7 @@ import re
 from collections.abc import Collection
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,6 +129,19 @@ def section(heading: Column | str, bullets: Column) -> Column:
     return F.concat(F.lit("## "), head, F.lit("\n"), F.array_join(bullets, "\n"))
 
 
+def digest_sections(entries: DataFrame, key: str, language: str = "en") -> DataFrame:
+    """Per digest its closing section (the first entries) and that of the entries the answer didn't link (null without any).
+
+    entries: key, rank (from 1, in digest order), title, url, why_relevant, linked. A digest holds
+    the items of one run, which its limit bounds.
+    """
+    closer, more, _ = HEADINGS.get(language, HEADINGS["en"])
+    line = bullet(F.col("title"), F.col("url"), F.col("why_relevant"), language)
+    lines = lambda test: F.transform(F.array_sort(F.collect_list(F.when(test, F.struct(F.col("rank"), line.alias("line"))))), lambda x: x["line"])
+    made = entries.groupBy(key).agg(lines(F.col("rank") <= CLOSER_LOOK).alias("first"), lines(~F.col("linked")).alias("left"))
+    return made.select(key, section(closer, F.col("first")).alias("closing"), F.when(F.size("left") > 0, section(more, F.col("left"))).alias("more"))
+
+
 def usable_url(url: Column) -> Column:
     """An http(s) URL that can stand in Markdown as it is."""
     return F.lower(url).rlike(r"^https?://") & ~url.rlike(r"[\s\x00-\x20\x7f<>\\]")

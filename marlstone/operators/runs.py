@@ -130,3 +130,28 @@ def notification_details(notes: DataFrame, digests: DataFrame, runs: DataFrame,
 def first_error(errors: DataFrame, key: str, seq: str, error: str) -> DataFrame:
     """The error that was reported first."""
     return errors.groupBy(key).agg(F.min_by(error, seq).alias(error))
+
+
+def by_name(jobs: DataFrame, name: str) -> DataFrame:
+    """The job of exactly this name."""
+    return jobs.where(F.col("name") == name)
+
+
+def listed(jobs: DataFrame, enabled_only: bool = False) -> DataFrame:
+    return (jobs.where("enabled") if enabled_only else jobs).orderBy("name")
+
+
+def by_id(table: DataFrame, id_: int) -> DataFrame:
+    return table.where(F.col("id") == id_)
+
+
+def notifications_of(notes: DataFrame, key: str, value: int, status: str | None = None) -> DataFrame:
+    """Notifications of a job or run (key), by id, of one status or all."""
+    mine = notes.where(F.col(key) == value)
+    return (mine if status is None else mine.where(F.col("status") == status)).orderBy("id")
+
+
+def known_zones(rows: DataFrame, zone: str, zones: DataFrame) -> DataFrame:
+    """Rows whose zone isn't one of zones (zone) get UTC."""
+    known = F.broadcast(zones.select(F.col("zone").alias("_zone")).distinct())  # some hundreds of names
+    return rows.join(known, F.col(zone) == F.col("_zone"), "left").withColumn(zone, F.coalesce("_zone", F.lit("UTC"))).drop("_zone")

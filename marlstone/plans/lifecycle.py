@@ -355,3 +355,18 @@ def finished_runs(spark, d):
     killed = rows.where("id % 3 = 0").select("id", F.lit("failed").alias("status"), "stats", F.lit("killed").alias("error"), _at(NOW).alias("finished_at"))
     store.save_run({"runs": lifecycle.finish_run(store.read("runs"), killed)}, dry_run=True)
     return store.read("runs").select("id", "status")
+
+
+@query(f"SELECT id, name FROM ({_LOCKED}) WHERE name = 'Customer#000000012'")
+def job_by_name(spark, d):
+    return runs.by_name(_locked(spark, d), "Customer#000000012").select("id", "name")
+
+
+@query(f"SELECT id, name FROM ({_LOCKED}) WHERE enabled")
+def enabled_jobs(spark, d):
+    return runs.listed(_locked(spark, d), enabled_only=True).select("id", "name")
+
+
+@query(f"SELECT id, status FROM ({_NOTES}) WHERE run_id = 7 AND status <> 'x'")
+def notifications_of_run(spark, d):
+    return runs.notifications_of(_notes(spark, d), "run_id", 7).select("id", "status")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlstone.functions import markdown, text, timing, urls
-from marlstone.operators import answers, archive, items, usage
+from marlstone.operators import answers, archive, items, runs, usage
 from marlstone.plans import catalog
 from marlstone.plans.registry import query
 from marlstone.session import ship, table
@@ -260,3 +260,35 @@ def archive_directories(spark, d):
     made = archive.job_directories(rows)
     own = F.when(F.col("directory") == "nation", "nation").otherwise(F.concat(F.lit("nation-"), F.left(F.sha2("shown", 256), F.lit(8))))
     return made.select(F.col("shown").alias("name"), F.when(F.col("directory").rlike("^nation(-[0-9a-f]{8})?$"), own).alias("directory"))
+
+
+@query("""WITH e AS (SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS r, '- [' || p_name || '](https://h.org/' || p_partkey || ') — ' || p_type AS line, p_partkey % 3 = 0 AS linked FROM part)
+    SELECT p_brand, '## Worth a closer look' || chr(10) || string_agg(line, chr(10) ORDER BY r) FILTER (WHERE r <= 3) AS closing, '## More items' || chr(10) || string_agg(line, chr(10) ORDER BY r) FILTER (WHERE NOT linked) AS more FROM e GROUP BY p_brand""")
+def digest_sections(spark, d):
+    rank = F.expr("row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey)")
+    url = F.concat(F.lit("https://h.org/"), F.col("p_partkey").cast("string"))
+    rows = table(spark, d, "part").select("p_brand", rank.alias("rank"), F.col("p_name").alias("title"), url.alias("url"), F.col("p_type").alias("why_relevant"), (F.col("p_partkey") % 3 == 0).alias("linked"))
+    return markdown.digest_sections(rows, "p_brand")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 'plain' ELSE '# ' || source END AS body, doc_id % 3 <> 2 AS heading FROM documents")
+def unfenced_answers(spark, d):
+    title = F.concat(F.lit("# "), F.col("source"))
+    answer = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" ```markdown\n"), title, F.lit("\n``` \n"))).when(F.col("doc_id") % 3 == 1, title).otherwise("plain")
+    body = markdown.without_fence(answer)
+    return table(spark, d, "documents").select("doc_id", body.alias("body"), markdown.has_heading(body).alias("heading"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN repeat('ab ', 100) || 'c' END AS text, 'A & B' AS title, '2024-03-05 06:00:00' AS published, 'de' AS language FROM pages")
+def extracted_texts(spark, d):
+    inner = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<p>"), F.repeat(F.lit("ab "), 100), F.lit("</p>c"))).otherwise("short")
+    made = F.concat(F.lit('<html lang="de-AT"><head><title>A &amp; B</title><meta property="article:published_time" content="2024-03-05T08:00:00+02:00"></head><nav>x</nav><body>'), inner)
+    rows = table(spark, d, "pages").select("page_id", "url", made.alias("html"))
+    return pages.extracted(rows).select("page_id", "text", "title", F.date_format("published", "yyyy-MM-dd HH:mm:ss").alias("published"), "language")
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'view' THEN 'Europe/Berlin' ELSE 'UTC' END AS zone FROM events")
+def known_zones(spark, d):
+    zone = F.when(F.col("event_type") == "view", "Europe/Berlin").when(F.col("event_type") == "click", "Mars/Base")
+    zones = spark.createDataFrame([("Europe/Berlin",), ("UTC",)], "zone string")
+    return runs.known_zones(table(spark, d, "events").select("event_id", zone.alias("zone")), "zone", zones)

@@ -200,3 +200,24 @@ def is_html(content_type: Column, text: Column) -> Column:
     starts = "|".join(re.escape(x) for x in HTML_STARTS)
     sniffed = F.lower(F.left(text, F.lit(1024))).rlike(rf"^[\s\x{{feff}}]*<(?:(?:{starts})[\s>]|!--)")
     return F.when(F.coalesce(kind, F.lit("")) != "", kind.isin("text/html", "application/xhtml+xml")).otherwise(sniffed)
+
+
+def extracted(pages: DataFrame, least: int = 200, most: int = 200_000, most_input: int = 4_000_000) -> DataFrame:
+    """Readable text, title, date and language of pages (page_id, url, html).
+
+    A text of fewer than `least` characters isn't one (null), a longer one than `most` is cut, and
+    pages over `most_input` characters aren't read. The title falls back to the first heading, then
+    to the address; the date is that which the page declares; the language its root's.
+    """
+    ship(pages.sparkSession)
+    page = F.when(F.length("html") <= most_input, F.col("html"))
+    body = html_text(F.regexp_replace(page, r"(?is)<(head|nav)\b.*?</\1\s*>", " "))
+    heading = html_text(F.regexp_extract(page, r"(?is)<h1\b[^>]*>(.*?)</h1\s*>", 1))
+    declared = F.regexp_extract(page, r"(?is)<meta[^>]*article:published_time[^>]*content\s*=\s*[\"']([^\"']+)", 1)
+    timed = F.regexp_extract(page, r"(?is)<time[^>]*datetime\s*=\s*[\"']([^\"']+)", 1)
+    date = F.coalesce(F.try_to_timestamp(F.nullif(declared, F.lit(""))), F.try_to_timestamp(F.nullif(timed, F.lit(""))))
+    language = F.lower(F.regexp_extract(page, r"(?is)<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1))
+    return pages.select(
+        "page_id", F.left(F.when(F.length(body) >= least, body), F.lit(most)).alias("text"),
+        page_title(page, F.coalesce(F.nullif(heading, F.lit("")), F.col("url"))).alias("title"), date.alias("published"), F.nullif(language, F.lit("")).alias("language"),
+    )
