@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib.util
+
 from pyspark.sql import functions as F
 
 from marlstone.functions import markdown, text, timing, urls
@@ -9,9 +11,11 @@ from marlstone.operators import answers, archive, items, runs, usage
 from marlstone.plans import catalog
 from marlstone.plans.registry import query
 from marlstone.session import ship, table
-from marlstone.sources import discovery, listings, pages, transcripts
+from marlstone.sources import configs, discovery, listings, pages, transcripts
 
 NOW = "2024-01-20 12:00:00"
+#: Queries that read YAML are registered where its parser is installed.
+with_yaml = query if importlib.util.find_spec("yaml") else (lambda sql: lambda f: f)
 #: Usage rows, as catalog prices them.
 _TOTAL = catalog._report_sql("model")
 
@@ -292,3 +296,21 @@ def known_zones(spark, d):
     zone = F.when(F.col("event_type") == "view", "Europe/Berlin").when(F.col("event_type") == "click", "Mars/Base")
     zones = spark.createDataFrame([("Europe/Berlin",), ("UTC",)], "zone string")
     return runs.known_zones(table(spark, d, "events").select("event_id", zone.alias("zone")), "zone", zones)
+
+
+@with_yaml("SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'schedule.weekday,sources' WHEN 2 THEN 'name,schedule.frequency,schedule.time,sources' END AS problems, c_custkey % 4 = 3 AS broken, CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN 'yes' END AS name FROM customer")
+def job_files(spark, d):
+    key = F.col("c_custkey") % 4
+    good = F.concat(F.lit("name: "), F.col("c_name"), F.lit("\nschedule: {frequency: monthly, time: '07:30', day_of_month: 31}\nsources:\n  - {type: rss, url: http://h.org/}\n"))
+    body = F.when(key == 0, good).when(key == 1, "name: yes\nschedule: {frequency: weekly, time: '07:30'}\n").when(key == 2, "other: 1\n").otherwise("name: a\nname: b\n")
+    found = configs.jobs(table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("path"), body.alias("text")))
+    return found.select(F.col("path").cast("long").alias("id"), F.array_join("problems", ",").alias("problems"), F.col("problem").isNotNull().alias("broken"), F.get_json_object("document", "$.name").alias("name"))
+
+
+@with_yaml("SELECT 'n' || n_nationkey AS provider, m AS model, CAST(1.25 + n_nationkey AS DOUBLE) AS price_in, m = 'b' AS repeated FROM nation, (SELECT unnest(['a', 'b', 'b']) AS m)")
+def model_files(spark, d):
+    price = (F.col("n_nationkey") + 1.25).cast("string")
+    one = lambda m: F.concat(F.lit(f"  - {{id: {m}, price_out: 2, price_in: "), price, F.lit("}\n"))
+    body = F.concat(F.lit("models:\n"), one("a"), one("b"), one("b"))
+    files = table(spark, d, "nation").select(F.concat(F.lit("/models.d/n"), F.col("n_nationkey").cast("string"), F.lit(".yaml")).alias("path"), body.alias("text"))
+    return configs.models(files).select("provider", "model", F.col("price_in").cast("double").alias("price_in"), "repeated")
