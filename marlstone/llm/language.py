@@ -141,7 +141,7 @@ def predict(docs: DataFrame, model: Languages) -> DataFrame:
     def run(batches):
         model = shared.value
         for batch in batches:
-            for part in tb.slices(batch, most=max(1 << 18, (1 << 24) // max(4, len(model.names)))):
+            for part in tb.slices(batch, most=max(1 << 18, (1 << 22) // max(4, len(model.names)))):
                 pi, _, letter = infer(model, part.column("text"))
                 known = letter & (pi.sum(1) > 0)
                 top = pi.argmax(1) if len(model.names) else np.zeros(len(pi), int)

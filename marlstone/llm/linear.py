@@ -110,7 +110,7 @@ class Model:
     def weights(self) -> np.ndarray:
         """Weights by feature number, made once in each process."""
         if not hasattr(self, "_weights"):
-            self._weights = np.zeros(DIMS)
+            self._weights = np.zeros(DIMS, np.float32)
             self._weights[self.index] = self.values
         return self._weights
 

@@ -142,7 +142,7 @@ def sum_by(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Zero-copy pieces of a batch of about `most` text bytes each; a longer text makes one of its own."""
     if not batch.num_rows:
         return

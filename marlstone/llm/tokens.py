@@ -20,7 +20,7 @@ import pyarrow as pa
 
 from marlstone.llm import textbatch as tb
 
-MOST_PARTS = 600_000
+MOST_PARTS = 400_000
 _OTHER, _LETTER, _DIGIT, _PUNCTUATION, _SPACE, _APOSTROPHE = range(6)
 _CLASS = np.zeros(256, np.uint8)
 for _b in range(33, 127):
