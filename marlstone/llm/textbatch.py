@@ -6,6 +6,7 @@ here, so a run of UTF-8 bytes is a run of code points too.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +24,7 @@ LOWER = np.where((_BYTE >= 65) & (_BYTE <= 90), _BYTE + 32, _BYTE).astype(np.uin
 #: 1 where a code point starts
 STARTS = ((_BYTE & 0xC0) != 0x80).astype(np.uint8)
 
+_LIBC = ctypes.CDLL(None)
 _RANDOM = np.random.default_rng(20240501)
 _BYTE_KEY = _RANDOM.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -142,6 +144,13 @@ def sum_by(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between tasks, beside the JVM of their executor."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_LIBC, "malloc_trim", None):
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Zero-copy pieces of a batch of about `most` text bytes each; a longer text makes one of its own."""
     if not batch.num_rows:
@@ -152,3 +161,4 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) ->
         to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + most, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    give_back()
