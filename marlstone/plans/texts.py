@@ -283,12 +283,26 @@ def unfenced_answers(spark, d):
     return table(spark, d, "documents").select("doc_id", body.alias("body"), markdown.has_heading(body).alias("heading"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN repeat('ab ', 100) || 'c' END AS text, 'A & B' AS title, '2024-03-05 06:00:00' AS published, 'de' AS language FROM pages")
+EXTRACTED_SQL = """
+WITH parts AS (
+  SELECT page_id, url, page_id % 7 = 0 AS dated, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS language, html,
+    regexp_extract(html, '<title>(.*?)</title>', 1) AS title, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS art FROM pages),
+lines AS (
+  SELECT *, list_transform(string_split(regexp_replace(regexp_replace(replace(art, chr(10), ' '), '</?(?:h1|p|br)>', chr(10), 'g'), '<[^>]*>', '', 'g'), chr(10)),
+    lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(x, '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \t\r]+', ' ', 'g'))) AS line FROM parts),
+whole AS (SELECT *, array_to_string(list_filter(line, lambda x: x <> ''), chr(10)) AS text FROM lines)
+SELECT page_id, CASE WHEN length(text) >= 200 THEN text END AS text, trim(replace(title, '&amp;', '&')) AS title,
+  CASE WHEN dated THEN '2024-03-05 00:00:00' END AS published, language, CASE WHEN length(text) < 200 THEN 'too_short' END AS problem
+FROM whole
+"""
+
+
+@query(EXTRACTED_SQL)
 def extracted_texts(spark, d):
-    inner = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<p>"), F.repeat(F.lit("ab "), 100), F.lit("</p>c"))).otherwise("short")
-    made = F.concat(F.lit('<html lang="de-AT"><head><title>A &amp; B</title><meta property="article:published_time" content="2024-03-05T08:00:00+02:00"></head><nav>x</nav><body>'), inner)
-    rows = table(spark, d, "pages").select("page_id", "url", made.alias("html"))
-    return pages.extracted(rows).select("page_id", "text", "title", F.date_format("published", "yyyy-MM-dd HH:mm:ss").alias("published"), "language")
+    """Every page; every seventh declares a date in its head."""
+    dated = F.replace(F.col("html"), F.lit("</head>"), F.lit('<meta property="article:published_time" content="2024-03-05T08:00:00+02:00"></head>'))
+    rows = table(spark, d, "pages").select("page_id", "url", F.when(F.col("page_id") % 7 == 0, dated).otherwise(F.col("html")).alias("html"))
+    return pages.extracted(rows).select("page_id", "text", "title", F.date_format("published", "yyyy-MM-dd HH:mm:ss").alias("published"), "language", "problem")
 
 
 @query("SELECT event_id, CASE WHEN event_type = 'view' THEN 'Europe/Berlin' ELSE 'UTC' END AS zone FROM events")
