@@ -1,13 +1,17 @@
 """Hashed text features and logistic regression in NumPy, for models trained on a bounded sample.
 
-Features are presences: whether a word, or a run of 5 characters (code points) that has white
+Features are presences: whether a word, or a run of 3 or 5 characters (code points) that has white
 space at its start at most, occurs in the text. Every feature whose presence differs significantly
 between the classes gets a weight, however many they are; the neutral ones get none, so a long text
 doesn't gather noise from them. A model is its weighted features alone, so it is small to send.
+
+A sample is held once, as the distinct features of its texts one after another, and read in slices: counts,
+margins and gradients need little memory beside it. Sums are in double precision.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,10 +21,12 @@ from marlstone.llm import textbatch as tb
 
 BITS = 20
 #: Characters in a run.
-GRAMS = (5,)
+GRAMS = (3, 5)
 DIMS = (1 + len(GRAMS)) << BITS
 #: Text bytes whose features are made at a time.
 SLICE = 1 << 20
+#: Presences that are summed up at a time.
+PRESENCES = 1 << 20
 #: Texts that must hold a feature for it to get a weight.
 LEAST_TEXTS = 3
 #: Least |z| of a feature's difference between the classes.
@@ -60,35 +66,94 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _sums(index: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The slots of an ascending index that occur, and where each begins."""
-    first = np.searchsorted(index, np.arange(size + 1))
-    full = np.flatnonzero(np.diff(first))
-    return full, first[full]
-
-
-def descend(row: np.ndarray, col: np.ndarray, dims: int, extra: np.ndarray, y: np.ndarray, l2: float, rounds: int) -> tuple[np.ndarray, np.ndarray, float]:
+@dataclass
+class Sample:
+    """Distinct features of texts: those of text i are feature[first[i]:first[i + 1]]."""
+
+    feature: np.ndarray
+    first: np.ndarray
+
+    @classmethod
+    def of(cls, texts: dict[int, bytes]) -> Sample:
+        """From int32 features of each text, by ascending key; the texts are taken out of the dictionary."""
+        keys = sorted(texts)
+        first = np.concatenate([[0], np.cumsum([len(texts[k]) // 4 for k in keys], dtype=np.int64)]).astype(np.int64)
+        feature = np.empty(first[-1], np.int32)
+        for k, at in zip(keys, first, strict=False):
+            one = np.frombuffer(texts.pop(k), np.int32)
+            feature[at : at + len(one)] = one
+        return cls(feature, first)
+
+    def __len__(self) -> int:
+        return len(self.first) - 1
+
+    def slices(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row, feature) of about `PRESENCES` presences at a time, by ascending row."""
+        at = 0
+        while at < len(self):
+            to = max(at + 1, int(np.searchsorted(self.first, self.first[at] + PRESENCES, "right")) - 1)
+            yield np.repeat(np.arange(at, to), np.diff(self.first[at : to + 1])), self.feature[self.first[at] : self.first[to]]
+            at = to
+
+    def counts(self, weight: np.ndarray) -> np.ndarray:
+        """The sum of the rows' weights for each feature."""
+        out = np.zeros(DIMS)
+        for row, feature in self.slices():
+            out += np.bincount(feature, weight[row], DIMS)
+        return out
+
+    def only(self, kept: np.ndarray) -> Sample:
+        """With the features alone that kept holds for, by number."""
+        sizes, parts = np.zeros(len(self), np.int64), [np.zeros(0, np.int32)]
+        for row, feature in self.slices():
+            stay = kept[feature]
+            sizes += np.bincount(row[stay], minlength=len(self))
+            parts.append(feature[stay])
+        return Sample(np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
+
+    def margins(self, weights: np.ndarray) -> np.ndarray:
+        """The sum of the features' weights for each text."""
+        out = np.zeros(len(self))
+        for row, feature in self.slices():
+            out += np.bincount(row, weights[feature], len(self))
+        return out
+
+
+def _groups(index: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Slices of an ascending index that cut no group: begin, end, the groups' numbers and where each begins in the slice."""
+    found, at = [], 0
+    while at < len(index):
+        to = min(at + PRESENCES, len(index))
+        if to < len(index):
+            cut = int(np.searchsorted(index, index[to], "left"))
+            to = cut if cut > at else int(np.searchsorted(index, index[to], "right"))
+        heads = np.flatnonzero(np.diff(index[at:to], prepend=-1))
+        found.append((at, to, index[at:to][heads].astype(np.int64), heads))
+        at = to
+    return found
+
+
+def descend(row: np.ndarray, col: np.ndarray, dims: int, extra: np.ndarray, y: np.ndarray, used: np.ndarray, l2: float, rounds: int) -> tuple[np.ndarray, np.ndarray, float]:
     """Weights of features, weights of further columns, and bias of an L2-penalised logistic regression.
 
-    (row, col) are the presences, by ascending row. Adam on the full sample; sums run over
-    presences ordered by row and by column.
+    (row, col) are the presences, by ascending row; only the used rows count. Adam on the full sample; sums
+    run over presences ordered by row and by column, a slice of whole groups at a time.
     """
-    n, k = len(y), extra.shape[1]
-    by_col = np.argsort(col, kind="stable")
-    row_by_col = row[by_col]
-    rows, at_row = _sums(row, n)
-    cols, at_col = _sums(col[by_col], dims)
+    n, k = max(int(used.sum()), 1), extra.shape[1]
+    order = np.argsort(col, kind="stable").astype(np.int32)
+    row_by_col = row[order]
+    by_row, by_col = _groups(row), _groups(col[order])
     w = np.zeros(dims + k + 1)
     m, v = np.zeros(len(w)), np.zeros(len(w))
     for t in range(1, rounds + 1):
         margin = extra @ w[dims:-1] + w[-1]
-        if len(row):
-            margin[rows] += np.add.reduceat(w.astype(np.float32)[col], at_row)
-        e = (sigmoid(margin) - y) / max(n, 1)
+        for at, to, number, heads in by_row:
+            margin[number] += np.add.reduceat(w[col[at:to]], heads)
+        e = np.where(used, sigmoid(margin) - y, 0.0) / n
         g = np.append(l2 * w[:-1], e.sum())
         g[dims:-1] += extra.T @ e
-        if len(row):
-            g[cols] += np.add.reduceat(e.astype(np.float32)[row_by_col], at_col)
+        for at, to, number, heads in by_col:
+            g[number] += np.add.reduceat(e[row_by_col[at:to]], heads)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.1 * (1 - t / (rounds + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
     return w[:dims], w[dims:-1], float(w[-1])
@@ -110,7 +175,7 @@ class Model:
     def weights(self) -> np.ndarray:
         """Weights by feature number, made once in each process."""
         if not hasattr(self, "_weights"):
-            self._weights = np.zeros(DIMS, np.float32)
+            self._weights = np.zeros(DIMS)
             self._weights[self.index] = self.values
         return self._weights
 
@@ -126,37 +191,37 @@ class Model:
         return sigmoid(self.a * self.margin(row, feature, n, extra) + self.b)
 
 
-def fit(row: np.ndarray, feature: np.ndarray, y: np.ndarray, extra: np.ndarray, l2: float = 1e-3, rounds: int = 100) -> Model:
-    """A model of y from distinct (row, feature) and further columns; a class without rows gives its prior."""
-    n, ones = len(y), float(y.sum())
+def fit(sample: Sample, y: np.ndarray, extra: np.ndarray, used: np.ndarray | None = None, l2: float = 1e-3, rounds: int = 200) -> Model:
+    """A model of y from the used texts' features and further columns; a class without rows gives its prior."""
+    used = np.ones(len(y), bool) if used is None else used
+    n, ones = int(used.sum()), float(y[used].sum())
     share = (ones + 1) / (n + 2)
     if not 0 < ones < n:
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(share / (1 - share))), np.zeros(extra.shape[1]))
-    c1 = np.bincount(feature, y[row], DIMS)
-    c = np.bincount(feature, minlength=DIMS)
+    c1, c = sample.counts(y * used), sample.counts(used.astype(float))
     p = c / n
     z = np.abs(c1 / ones - (c - c1) / (n - ones)) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / ones + 1 / (n - ones)))
     z[(c < LEAST_TEXTS) | (c == n)] = 0
     chosen = np.flatnonzero(z >= LEAST_Z)
-    place = np.full(DIMS, -1)
+    place = np.full(DIMS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    kept = place[feature] >= 0
-    w, more, bias = descend(row[kept], place[feature[kept]].astype(np.int32), len(chosen), extra, y, l2, rounds)
+    kept = sample.only(place >= 0)
+    row = np.repeat(np.arange(len(kept), dtype=np.int32), np.diff(kept.first))
+    w, more, bias = descend(row, place[kept.feature], len(chosen), extra, y, used, l2, rounds)
     return Model(chosen, w, bias, more, fitted=True)
 
 
-def fit_calibrated(row: np.ndarray, feature: np.ndarray, y: np.ndarray, extra: np.ndarray, fold: np.ndarray) -> tuple[Model, np.ndarray]:
+def fit_calibrated(sample: Sample, y: np.ndarray, extra: np.ndarray, fold: np.ndarray) -> tuple[Model, np.ndarray]:
     """A model of all rows, calibrated on margins of models that didn't see the row; and those rows' probabilities."""
     n = len(y)
     margin = np.zeros(n)
     for k in np.unique(fold):
-        inside = fold[row] != k
-        number = np.cumsum(fold != k) - 1
-        part = fit(number[row[inside]], feature[inside], y[fold != k], extra[fold != k])
-        margin[fold == k] = part.margin(row, feature, n, extra)[fold == k]
-    model = fit(row, feature, y, extra)
+        part = fit(sample, y, extra, fold != k)
+        outside = sample.margins(part.weights) + part.bias + extra @ part.extra
+        margin[fold == k] = outside[fold == k]
+    model = fit(sample, y, extra)
     if len(np.unique(y)) == 2:
         none = np.zeros(0, np.int32)
-        _, a, b = descend(none, none, 0, margin[:, None], y, 1e-4, 300)
+        _, a, b = descend(none, none, 0, margin[:, None], y, np.ones(n, bool), 1e-4, 300)
         model.a, model.b = float(max(a[0], 1e-3)), b
     return model, sigmoid(model.a * margin + model.b)

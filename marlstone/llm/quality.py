@@ -55,7 +55,7 @@ def statistics(column: pa.Array) -> dict[str, np.ndarray]:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = training.ROWS_PER_CLASS) -> linear.Model:
-    learn = lambda r, f, y, k: linear.fit_calibrated(r, f, y["quality"], np.zeros((len(k), 0)), k)[0]
+    learn = lambda s, y, k: linear.fit_calibrated(s, y["quality"], np.zeros((len(k), 0)), k)[0]
     return training.train(docs, training.sample(labels, ["quality"], rows_per_class), ["quality"], False, learn)
 
 

@@ -39,10 +39,10 @@ def odds(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def learn_chain(row: np.ndarray, feature: np.ndarray, labels: dict[str, np.ndarray], fold: np.ndarray, chain: Sequence[str] = CHAIN) -> list[linear.Model]:
+def learn_chain(sample: linear.Sample, labels: dict[str, np.ndarray], fold: np.ndarray, chain: Sequence[str] = CHAIN) -> list[linear.Model]:
     models, extra = [], np.zeros((len(fold), 0))
     for name in chain:
-        model, outside = linear.fit_calibrated(row, feature, labels[name], extra, fold)
+        model, outside = linear.fit_calibrated(sample, labels[name], extra, fold)
         models.append(model)
         extra = np.column_stack([extra, odds(outside)])
     return models
@@ -52,7 +52,7 @@ def train(docs: DataFrame, labels: DataFrame, chain: Sequence[str] = CHAIN, rows
     if "low_quality" in chain:
         labels = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), *[c for c in labels.columns if c in chain])
     chain = list(chain)
-    return training.train(docs, training.sample(labels, chain, rows_per_class), chain, True, lambda r, f, y, k: learn_chain(r, f, y, k, chain))
+    return training.train(docs, training.sample(labels, chain, rows_per_class), chain, True, lambda s, y, k: learn_chain(s, y, k, chain))
 
 
 def probabilities(models: list[linear.Model], column: pa.Array) -> np.ndarray:

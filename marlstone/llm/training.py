@@ -32,7 +32,7 @@ def sample(labels: DataFrame, names: Sequence[str], rows_per_class: int = ROWS_P
 
 
 def train(docs: DataFrame, chosen: DataFrame, names: Sequence[str], lower: bool, learn: Callable[..., object]) -> object:
-    """learn(row, feature, labels by name, fold) over the sample's texts, run in one task.
+    """learn(sample of features, labels by name, fold) over the sample's texts, run in one task.
 
     The sample's bound also bounds what that task and the driver get: distinct features of each
     text, and the model. Repeated documents count once; documents without text train nothing.
@@ -51,21 +51,17 @@ def train(docs: DataFrame, chosen: DataFrame, names: Sequence[str], lower: bool,
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[part.column(n) for n in names], pa.array(kept, pa.binary())], names=["doc_id", *names, "features"])
 
     def fit(batches):
-        rows = {}
+        texts, labels = {}, {}
         for batch in batches:
             for x in batch.to_pylist():
-                rows.setdefault(x["doc_id"], x)
-        rows = [rows[k] for k in sorted(rows)]
-        found = [np.frombuffer(x["features"], np.int32) for x in rows]
-        row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in found])
-        feature = np.concatenate([*found, np.zeros(0, np.int32)])
-        often = (np.bincount(feature, minlength=linear.DIMS) >= linear.LEAST_TEXTS)[feature]  # others can't get a weight
-        row, feature = row[often], feature[often]
-        fold_of = [x["doc_id"] for x in rows]
-        labels = {n: np.array([x[n] for x in rows], float) for n in names}
-        del rows, found
-        fold = tb.mix(np.array(fold_of, np.int64).view(np.uint64)) % np.uint64(3)
-        model = learn(row, feature, labels, fold.astype(int))
+                if x["doc_id"] not in texts:
+                    texts[x["doc_id"]], labels[x["doc_id"]] = x["features"], [x[n] for n in names]
+        keys = sorted(texts)
+        fold = tb.mix(np.array(keys, np.int64).view(np.uint64)) % np.uint64(3)
+        y = np.array([labels[k] for k in keys], float).reshape(len(keys), len(names))
+        held = linear.Sample.of(texts)
+        held = held.only(held.counts(np.ones(len(keys))) >= linear.LEAST_TEXTS)  # others can't get a weight
+        model = learn(held, {n: y[:, k] for k, n in enumerate(names)}, fold.astype(int))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     kinds = ", ".join(f"{n} int" for n in names)

@@ -70,13 +70,33 @@ def test_chain_probabilities_by_hand(spark, tables):
             q = min(max(p[-1], 1e-4), 1 - 1e-4)
             extra.append(math.log(q / (1 - q)))
         want.append(p)
-    assert np.abs(toxicity.probabilities(models, pa.array(texts)) - np.array(want)).max() < 1e-5
+    assert np.abs(toxicity.probabilities(models, pa.array(texts)) - np.array(want)).max() < 1e-9
 
 
 def test_character_runs_are_code_points():
     row, feature = linear.features(pa.array(["äöüßé", "abcd efghi"]), lower=True)
     runs = Counter(row[feature >= 1 << linear.BITS].tolist())
-    assert runs == {0: 1, 1: 2}  # the whole word; " efgh" and "efghi"
+    assert runs == {0: 3 + 1, 1: 6 + 2}  # of 3: three; two, " ef" and three; of 5: the whole word; " efgh" and "efghi"
+
+
+def test_weights_equal_a_plain_descent():
+    r = np.random.default_rng(4)
+    x = (r.random((60, 9)) < 0.4).astype(float)
+    y, used, extra = (x[:, 0] + x[:, 3] + r.random(60) > 1.2).astype(float), r.random(60) < 0.8, r.normal(size=(60, 2))
+    row, col = np.nonzero(x)
+    old = linear.PRESENCES
+    try:
+        for linear.PRESENCES in (7, old):
+            w, more, bias = linear.descend(row.astype(np.int32), col.astype(np.int32), 9, extra, y, used, 1e-3, 50)
+            full, v, m, s = np.column_stack([x, extra, np.ones(60)]), np.zeros(12), np.zeros(12), np.zeros(12)
+            for t in range(1, 51):
+                e = np.where(used, 1 / (1 + np.exp(-full @ v)) - y, 0) / used.sum()
+                g = full.T @ e + 1e-3 * np.append(v[:-1], 0)
+                m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
+                v = v - 0.1 * (1 - t / 51) * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-9)
+            assert np.abs(np.concatenate([w, more, [bias]]) - v).max() < 1e-9
+    finally:
+        linear.PRESENCES = old
 
 
 def plain_quality(text):
