@@ -46,7 +46,7 @@ def split_text(text: str, max_tokens: int, overlap: int = 0) -> list[str]:
     where chunks overlap; a blank line follows each paragraph.
     """
     if overlap < 0 or max_tokens <= overlap:
-        raise ValueError("a chunk must have room for new text beside what it repeats")
+        raise ValueError("the overlap must be 0 or more and leave room for new text in a chunk")
     if not text.strip():
         return []
     if len(text) <= CHARS_PER_TOKEN * max_tokens:

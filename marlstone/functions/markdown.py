@@ -2,97 +2,122 @@
 
 from __future__ import annotations
 
-import html
 import re
-from collections.abc import Collection
+from collections.abc import Collection, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marlstone.functions import commonmark
+
 MOST_PASSES = 16
 CLOSER_LOOK = 3
-# What looks like a URL, the characters that may end an allowed one, and headings by language.
-URL_RUN = r"(?:[a-z][a-z0-9+.-]{0,31}://|www\.)[^\s<>\"'`()\[\]]*"
-URL_END = r"[.,;:!?]*(?:[\s)\]>\"'<`]|\Z)"
+# What ends a URL in running text, what may follow one, headings by language.
+URL_STOPS = "<>\"'`()[]"
+URL_TAILS = ".,;:!?"
 HEADINGS = {"en": ("Worth a closer look", "More items", "(untitled)"), "de": ("Einen genaueren Blick wert", "Weitere Einträge", "(ohne Titel)")}
-# Markdown's links, definitions, autolinks and tags, and attributes that hold an address.
-_TOKEN = re.compile(
-    r"(?P<inline>(?P<bang>!?)\[(?P<words>[^\[\]\n]{0,1000})\]\([ \t]*(?P<to><[^<>\n]{0,2000}>|(?:[^\s()<>]|\([^\s()<>]*\)){0,2000})(?:[ \t]+(?:\"[^\"\n]*\"|'[^'\n]*'))?[ \t]*\))"
-    r"|(?P<definition>^ {0,3}\[[^\[\]\n]{1,999}\]:[ \t]*(?P<target><[^<>\n]*>|\S*)[^\n]*$)"
-    r"|(?P<auto><(?P<address>[a-z][a-z0-9+.-]{1,31}:[^\s<>]*)>)"
-    r"|(?P<tag><[A-Za-z/!][^<>]*>)"
-    rf"|(?P<run>{URL_RUN})",
-    re.IGNORECASE | re.MULTILINE,
-)
-_ADDRESSED = re.compile(r"<(?:a|img)\b|\b(?:href|src|srcset|action|formaction|poster|data|cite|background)\s*=", re.IGNORECASE)
+FALLBACKS = {
+    "en": ("The automatic summary of this run could not be written. Here are all {count} items, most relevant first.", "All items"),
+    "de": ("Die automatische Zusammenfassung dieses Laufs konnte nicht erstellt werden. Hier sind alle {count} Einträge, die relevantesten zuerst.", "Alle Einträge"),
+}
+ADDRESS_ATTRIBUTES = ("href", "src", "srcset", "action", "formaction", "poster", "data", "cite", "background")
+#: A scheme and two slashes, or www., and what follows up to white space or a stop.
+URL_RUN = rf"(?:[A-Za-z][A-Za-z0-9+.-]*://|[wW]{{3}}\.)[^\s{re.escape(URL_STOPS)}]*"
+_MARK = re.compile(r"://|www\.", re.IGNORECASE)
+_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
+_AFTER = re.compile(rf"[^\s{re.escape(URL_STOPS)}]*")
+_ADDRESSED = re.compile(rf"<(?:a|img)\b|\b(?:{'|'.join(ADDRESS_ATTRIBUTES)})\s*=", re.IGNORECASE)
 FILTERED = T.StructType([T.StructField("text", T.StringType()), T.StructField("removed", T.LongType()), T.StructField("linked", T.ArrayType(T.StringType()))])
-_LEFT = re.compile(r"\]\s*[(:\[]|<[A-Za-z/!]")
-
-
-def _bare(target: str) -> str:
-    return target[1:-1] if target[:1] == "<" and target[-1:] == ">" and len(target) > 1 else target
-
-
-def _one_pass(text: str, allowed: frozenset[str], longest_first: list[str]) -> tuple[str, int, list[str]]:
-    """One reading from left to right: the text, how many URLs went, and the link targets that stay."""
-    out, at, gone, linked = [], 0, 0, []
-    while found := _TOKEN.search(text, at):
-        kind, stays, instead = found.lastgroup, None, ""
-        kind = next(k for k in ("inline", "definition", "auto", "tag", "run") if found[k] is not None)
-        end = found.end()
-        if kind == "inline":
-            target, instead = _bare(found["to"]), found["words"]
-            stays = not found["bang"] and target in allowed
-            gone += not stays and bool(target)
-            linked += [target] * stays
-        elif kind == "definition":
-            stays = _bare(found["target"]) in allowed
-            gone += not stays
-        elif kind == "auto":
-            stays = found["address"] in allowed
-            gone += not stays
-            linked += [found["address"]] * stays
-        elif kind == "tag":
-            gone += bool(_ADDRESSED.search(found[0]))
+Edit = tuple[int, int, str, int]  # begin, end, what stands there instead, URLs that go
+
+
+def _runs(text: str, allowed: list[str]) -> Iterator[tuple[int, int]]:
+    """Where URLs stand in running text that aren't one of the allowed (longest first)."""
+    at = 0
+    while found := _MARK.search(text, at):
+        begin = found.start()
+        if found[0] == "://":
+            scheme = _SCHEME.search(text, at, begin)
+            if not scheme:
+                at = found.end()
+                continue
+            begin = scheme.start()
+        for url in allowed:
+            if text.startswith(url, begin):
+                tail = _AFTER.match(text, begin + len(url))
+                if not tail[0].strip(URL_TAILS) and text[tail.end() : tail.end() + 1] not in ("(", "["):
+                    at = tail.end()
+                    break
         else:
-            exact = (u for u in longest_first if text.startswith(u, found.start()) and re.compile(URL_END).match(text, found.start() + len(u)))
-            known = next(exact, None)
-            stays, end = known is not None, found.start() + len(known) if known else end
-            gone += known is None
-        out += [text[at : found.start()], text[found.start() : end] if stays else instead]
-        at = end
-    return "".join([*out, text[at:]]), gone, linked
-
-
-def _closed(text: str, removed: int) -> tuple[str, int, list[str]]:
-    """No brackets and no URL is left."""
-    text = re.sub(r"[\[\]<]", "", text)
-    while True:
-        text, n = re.subn(URL_RUN, "", text, flags=re.IGNORECASE)
-        if not n:
-            return text, removed, []
-        removed += n
+            at = _AFTER.match(text, found.end()).end()
+            yield begin, at
+
+
+def _edits(text: str, allowed: list[str]) -> tuple[list[Edit], set[str]]:
+    """What must go from a Markdown text as a reader would see it, and the allowed URLs that it links."""
+    made = commonmark.parse(text)
+    spelt = {url: url for url in allowed} | {commonmark.plain(url): url for url in allowed}
+    edits: list[Edit] = []
+    kept: list[tuple[int, int]] = []
+    linked: set[str] = set()
+    for d in made.definitions:
+        if d.target in spelt:
+            kept.append((d.start, d.end))
+        else:
+            edits.append((d.start, d.end, "", 1))
+    for n in made.nodes():
+        if n.kind in ("link", "auto") and (url := spelt.get(n.text)) and not n.title.startswith("mailto:"):
+            linked.add(url)
+            kept.append((n.inner[1] if n.kind == "link" else n.start, n.end))
+        elif n.kind == "link" and n.named:
+            continue  # its definition goes
+        elif n.kind in ("link", "image"):
+            edits.append((n.start, n.end, text[slice(*n.inner)], int(bool(n.text))))
+        elif n.kind == "auto":
+            edits.append((n.start, n.end, "", 1))
+        elif n.kind == "tag":
+            edits.append((n.start, n.end, "", int(bool(_ADDRESSED.search(n.text)))))
+    for block in made.blocks():
+        for line, places in block.lines if block.kind == "html" else ():
+            for m in re.finditer(r"<[^<>]*>?", line):
+                edits.append((places[m.start()], places[m.end() - 1] + 1, "", int(bool(_ADDRESSED.search(m[0])))))
+    edits += [(a, b, "", 1) for a, b in _runs(text, allowed) if not any(x <= a and b <= y and text[a:b].rstrip(">)") in spelt for x, y in kept)]
+    return edits, linked
+
+
+def _edited(text: str, edits: list[Edit]) -> tuple[str, int]:
+    """The text after the outermost edits; those inside them are left to the next reading."""
+    out, at, gone = [], 0, 0
+    for begin, end, instead, n in sorted(edits, key=lambda e: (e[0], -e[1])):
+        if begin >= at:
+            out += [text[at:begin], instead]
+            at, gone = end, gone + n
+    return "".join([*out, text[at:]]), gone
 
 
 def filter_urls(text: str, allowed: Collection[str]) -> tuple[str, int, list[str]]:
     """The Markdown without any URL that isn't exactly allowed, how many went, and the targets still linked.
 
-    Links keep their words, images theirs; definitions, autolinks, tags and bare URLs go. What is
-    left may make a new construct, so readings repeat until nothing changes. If brackets that no
-    reading knows are left beside the kept links, or it doesn't settle, all brackets go.
+    The text is parsed as CommonMark, so links, images, definitions, autolinks and tags are judged as they
+    would be rendered, wherever they stand; URLs in running text and in code are judged too. Links keep their
+    words, images theirs; definitions, autolinks, tags and bare URLs go. All other characters, brackets too,
+    stay. What is left may make a new construct, so readings repeat until nothing changes; if
+    that takes more than `MOST_PASSES`, all brackets, tags and URLs go.
     """
-    known, removed = frozenset(allowed), 0
-    ordered = sorted(known, key=len, reverse=True)
+    ordered, removed = sorted(set(allowed), key=len, reverse=True), 0
     for _ in range(MOST_PASSES):
-        new, n, linked = _one_pass(text, known, ordered)
+        edits, linked = _edits(text, ordered)
+        if not edits:
+            return text, removed, sorted(linked)
+        text, n = _edited(text, edits)
         removed += n
-        if new == text:
-            rest = _TOKEN.sub("", text)
-            return (text, removed, sorted(set(linked))) if not _LEFT.search(rest) else _closed(text, removed)
-        text = new
-    return _closed(text, removed)
+    text = text.translate(dict.fromkeys(map(ord, "[]<")))
+    while edits := [(a, b, "", 1) for a, b in _runs(text, [])]:
+        text, n = _edited(text, edits)
+        removed += n
+    return text, removed, []
 
 
 @F.pandas_udf(FILTERED)
@@ -142,6 +167,27 @@ def digest_sections(entries: DataFrame, key: str, language: str = "en") -> DataF
     return made.select(key, section(closer, F.col("first")).alias("closing"), F.when(F.size("left") > 0, section(more, F.col("left"))).alias("more"))
 
 
+def guarded(text: Column) -> Column:
+    """A line that begins no heading, list, quote, rule or fence."""
+    return F.regexp_replace(F.regexp_replace(text, r"^([#>+=~-])", r"\\$1"), r"^(\d{1,9})([.)])", r"$1\\$2")
+
+
+def fallback_digests(entries: DataFrame, key: str, language: str = "en") -> DataFrame:
+    """The digest of each key when no answer was usable: all entries with what they say, then the closing section.
+
+    entries: key, rank (from 1, in digest order), title, url, headline, why_relevant. A digest holds the items
+    of one run, which its limit bounds.
+    """
+    intro, heading = FALLBACKS.get(language, FALLBACKS["en"])
+    why = guarded(escaped(F.col("why_relevant")))
+    lines = F.struct(F.col("rank"), F.concat(bullet(F.col("title"), F.col("url"), F.col("headline"), language), F.lit("\n  "), why).alias("line"), bullet(F.col("title"), F.col("url"), F.col("why_relevant"), language).alias("short"))
+    made = entries.groupBy(key).agg(F.array_sort(F.collect_list(lines)).alias("x"), F.count("*").alias("n"))
+    told = F.replace(F.lit(intro), F.lit("{count}"), F.col("n").cast("string"))
+    of = lambda some, name: F.transform(some, lambda x: x[name])
+    closing = section(HEADINGS.get(language, HEADINGS["en"])[0], of(F.slice("x", 1, CLOSER_LOOK), "short"))
+    return made.select(key, F.concat(told, F.lit("\n\n"), section(heading, of(F.col("x"), "line")), F.lit("\n\n"), closing).alias("text"))
+
+
 def usable_url(url: Column) -> Column:
     """An http(s) URL that can stand in Markdown as it is."""
     return F.lower(url).rlike(r"^https?://") & ~url.rlike(r"[\s\x00-\x20\x7f<>\\]")
@@ -160,29 +206,8 @@ def has_heading(text: Column) -> Column:
 
 
 def rendered(text: str) -> str:
-    """Simple Markdown (headings, lists, paragraphs, links with http targets) as escaped HTML."""
-    blocks, items = [], []
-
-    def inline(line: str) -> str:
-        out, at = [], 0
-        for m in re.finditer(r"\[([^\[\]]*)\]\(<?(https?://[^\s()<>]*(?:\([^\s()<>]*\)[^\s()<>]*)*)>?\)", line):
-            out += [html.escape(line[at : m.start()]), f'<a href="{html.escape(m[2])}">{html.escape(m[1])}</a>']
-            at = m.end()
-        plain = "".join([*out, html.escape(line[at:])])
-        return re.sub(r"\\([\\`*_\[\]]|&lt;|&gt;|&amp;)", r"\1", plain)
-
-    for line in [*text.split("\n"), ""]:
-        if line.startswith("- "):
-            items.append(f"<li>{inline(line[2:])}</li>")
-            continue
-        if items:
-            blocks.append(f"<ul>{''.join(items)}</ul>")
-            items = []
-        if m := re.match(r"(#{1,6})\s+(.*)", line):
-            blocks.append(f"<h{len(m[1])}>{inline(m[2])}</h{len(m[1])}>")
-        elif line.strip():
-            blocks.append(f"<p>{inline(line.strip())}</p>")
-    return "\n".join(blocks)
+    """Markdown as HTML that may be sent: no raw HTML, no images, links to http, https and mailto only."""
+    return commonmark.html_of(commonmark.parse(text).root)
 
 
 @F.pandas_udf(T.StringType())

@@ -6,6 +6,10 @@ requests and judge what came back.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from itertools import count
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,9 +19,11 @@ from marlstone.functions.chunks import split_text
 from marlstone.functions.markdown import without_fence
 from marlstone.functions.text import CHARS_PER_TOKEN
 from marlstone.functions.timing import half_up
-from marlstone.session import ship
+from marlstone.session import ship, stored
 
 CHUNK_TOKENS, OVERLAP_TOKENS, MOST_CHUNKS, COMBINE_TOKENS = 3000, 200, 20, 3000
+#: What stands between the parts of a request.
+SEPARATOR = "\n\n"
 
 
 def _document(answer: Column) -> Column:
@@ -81,40 +87,66 @@ def usable_entries(items: DataFrame, summary: str, url_fits: Column) -> DataFram
     return items.where((F.col("status") == "summarized") & url_fits).withColumn("entry", valid).where("entry IS NOT NULL")
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def part_groups(lengths: pd.Series) -> pd.Series:
-    """The group of each part, from the lengths of the parts' texts.
+def cuts(sizes: Sequence[int], most: int, between: int = len(SEPARATOR)) -> list[int]:
+    """Where groups of consecutive parts begin, and the end: each is as long as fits, but of two parts at least.
 
-    A group closes once it has two parts and the next would take it over the limit; a part that is
-    left alone at the end joins the group before it.
+    A last part that would stand alone stays with those before it.
     """
+    ends = np.concatenate([[0], np.cumsum(np.asarray(sizes, np.int64) + between)])
+    at = [0]
+    while at[-1] < len(sizes):
+        fits = int(np.searchsorted(ends, ends[at[-1]] + between + most, "right")) - 1
+        at.append(min(max(fits, at[-1] + 2), len(sizes)))
+    if len(at) > 2 and at[-1] - at[-2] == 1:
+        del at[-2]
+    return at
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def part_groups(lengths: pd.Series) -> pd.Series:
+    """The group of each part, from the lengths of the parts' rendered blocks."""
 
     def one(sizes) -> list[int]:
-        group, members, total, out = 0, 0, 0, []
-        for size in sizes:
-            grown = total + 2 + int(size) if members else int(size)
-            if members >= 2 and -(-grown // CHARS_PER_TOKEN) > COMBINE_TOKENS:
-                group, members, grown = group + 1, 0, int(size)
-            members, total = members + 1, grown
-            out.append(group)
-        if members == 1 and group:
-            out[-1] = group - 1
-        return out
+        begins = cuts(sizes, CHARS_PER_TOKEN * COMBINE_TOKENS)
+        return np.repeat(np.arange(len(begins) - 1), np.diff(begins)).tolist()
 
     return lengths.map(one, na_action="ignore")
 
 
-def grouped_parts(parts: DataFrame, key: str, number: str, text: str) -> DataFrame:
-    """Partial summaries in groups to combine: key, group, the text of the group's parts in order.
+def grouped_parts(parts: DataFrame, key: str, number: str, summary: str) -> DataFrame:
+    """Partial summaries (key, number from 1, summary) in groups to combine: key, group, first, parts, content.
 
-    An item has at most `MOST_CHUNKS` parts, so its array is small.
+    A group's content is its parts' blocks as a request shows them, `Part n:` and the summary; blocks
+    with their numbers are what is measured. An item has at most `MOST_CHUNKS` parts, so its array is small.
     """
     ship(parts.sparkSession)
-    whole = parts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(number).alias("n"), F.col(text).alias("t")))).alias("p"))
+    block = F.concat(F.lit("Part "), F.col(number).cast("string"), F.lit(":\n"), F.coalesce(F.col(summary), F.lit("")))
+    whole = parts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(number).alias("n"), block.alias("t")))).alias("p"))
     dealt = whole.withColumn("g", part_groups(F.transform("p", lambda x: F.length(x["t"]))))
     rows = dealt.select(key, F.explode(F.arrays_zip("p", "g")).alias("x")).groupBy(key, F.col("x.g").alias("group"))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.col("x.p"))), lambda x: x["t"]), "\n\n")
-    return rows.agg(F.count("*").alias("parts"), joined.alias("text"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.col("x.p"))), lambda x: x["t"]), SEPARATOR)
+    return rows.agg(F.min("x.p.n").alias("first"), F.count("*").alias("parts"), joined.alias("content"))
+
+
+def combined(parts: DataFrame, key: str, number: str, summary: str, combine: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """One summary of each item, made of its partial ones in rounds, and all requests that took.
+
+    combine answers a round's requests (key, group, first, parts, content, round) with their `summary`; the
+    answers, numbered by group, are the next round's parts. Each round has at most half as many parts, so there are as
+    many rounds as the logarithm of `MOST_CHUNKS`; each is stored. An item of one part keeps it without a request.
+    """
+    waiting = parts.select(F.col(key), F.col(number).cast("int").alias("_n"), F.col(summary).alias("summary"))
+    done, asked = None, None
+    for turn in count(1):
+        sizes = waiting.groupBy(key).agg(F.count("*").alias("_parts"))
+        single = waiting.join(sizes.where("_parts = 1"), key, "left_semi").select(key, "summary")
+        done = single if done is None else done.union(single)
+        requests = grouped_parts(waiting.join(sizes.where("_parts > 1"), key, "left_semi"), key, "_n", "summary").withColumn("round", F.lit(turn))
+        answered = stored(combine(requests).select(key, "group", "first", "parts", "content", "round", "summary"))
+        asked = answered if asked is None else asked.union(answered)
+        if answered.isEmpty():
+            return done, asked
+        waiting = answered.select(key, (F.col("group") + 1).cast("int").alias("_n"), "summary")
 
 
 def summary_requests(items: DataFrame, key: str, text: str) -> DataFrame:

@@ -118,20 +118,33 @@ def digest_bullets(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), markdown.bullet(F.col("p_name"), url, F.concat(F.col("p_brand"), F.lit(" www.x.y"))).alias("line"))
 
 
-@query("SELECT p_partkey AS id, 'See [a](https://h.org/' || p_partkey || ') and b, https://h.org/' || p_partkey || '. ' AS body, CAST(3 AS BIGINT) AS removed, TRUE AS is_linked FROM part")
+@query("""
+WITH t AS (SELECT doc_id, doc_id % 6 AS k, 'https://h.org/' || doc_id AS url, 'x' || regexp_replace(coalesce(text, ''), '[^A-Za-z ]', ' ', 'g') AS plain FROM documents)
+SELECT doc_id, plain || ' see [a](' || url || ') and note [1] (2024). ' || CASE k WHEN 0 THEN 'b' WHEN 1 THEN 'i' WHEN 2 THEN '' WHEN 3 THEN ' ' || url || '.' WHEN 4 THEN 'w' ELSE 'a [b]' END AS body,
+  CAST(k <> 4 AS BIGINT) AS removed, TRUE AS is_linked FROM t""")
 def filtered_urls(spark, d):
-    url = F.concat(F.lit("https://h.org/"), F.col("p_partkey").cast("string"))
-    body = F.concat(F.lit("See [a]("), url, F.lit(") and [b](http://bad.org/), "), url, F.lit(". <http://worse.org/>"), url, F.lit("0x"))
+    """Whole texts with a link, a footnote beside a bracket, and one of six things that must go."""
     ship(spark)
-    found = table(spark, d, "part").select(F.col("p_partkey").alias("id"), markdown.filtered(body, F.array(url)).alias("f"), url.alias("url"))
-    return found.select("id", F.col("f.text").alias("body"), F.col("f.removed").alias("removed"), F.array_contains("f.linked", F.col("url")).alias("is_linked"))
-
-
-@query("SELECT p_partkey AS id, '<h2>' || p_brand || '</h2>' || chr(10) || '<ul><li><a href=\"https://h.org/' || p_partkey || '\">' || p_name || '</a></li></ul>' AS html FROM part")
+    url, key = F.concat(F.lit("https://h.org/"), F.col("doc_id").cast("string")), F.col("doc_id") % 6
+    plain = F.concat(F.lit("x"), F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]", " "))
+    more = F.when(key == 0, "[b](http://bad.org/)").when(key == 1, F.concat(F.lit("![i]("), url, F.lit(")"))).when(key == 2, "<http://bad.org/>")
+    more = more.when(key == 3, F.concat(url, F.lit("x "), url, F.lit("."))).when(key == 4, "<b>w</b>").otherwise("[a [b]](https:bad.org)")
+    body = F.concat(plain, F.lit(" see [a]("), url, F.lit(") and note [1] (2024). "), more)
+    found = table(spark, d, "documents").select("doc_id", markdown.filtered(body, F.array(url)).alias("f"), url.alias("url"))
+    return found.select("doc_id", F.col("f.text").alias("body"), F.col("f.removed").alias("removed"), F.array_contains("f.linked", F.col("url")).alias("is_linked"))
+
+
+@query("""
+SELECT doc_id, '<h1>' || source || '</h1>' || chr(10) || '<p>x' || regexp_replace(coalesce(text, ''), '[^A-Za-z ]', ' ', 'g') || 'y <em>e</em> <strong>s</strong> <code>c</code> &lt;z</p>' || chr(10)
+  || '<blockquote>' || chr(10) || '<p>q</p>' || chr(10) || '</blockquote>' || chr(10) || '<ol>' || chr(10) || '<li>a</li>' || chr(10) || '<li>b' || chr(10) || '<ul>' || chr(10) || '<li><a href="https://h.org/' || doc_id
+  || '" rel="noopener noreferrer">' || source || '</a></li>' || chr(10) || '</ul></li>' || chr(10) || '</ol>' AS html FROM documents""")
 def rendered_markdown(spark, d):
-    body = F.concat(F.lit("## "), F.col("p_brand"), F.lit("\n- ["), F.col("p_name"), F.lit("](https://h.org/"), F.col("p_partkey").cast("string"), F.lit(")\n"))
+    """Whole texts as a paragraph among a heading, emphasis, code, a quote and nested lists."""
     ship(spark)
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), markdown.markdown_html(body).alias("html"))
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]", " ")
+    link = F.concat(F.lit("["), F.col("source"), F.lit("](https://h.org/"), F.col("doc_id").cast("string"), F.lit(")"))
+    body = F.concat(F.lit("# "), F.col("source"), F.lit("\n\nx"), plain, F.lit("y *e* **s** `c` <z\n\n> q\n\n1. a\n2. b\n   - "), link, F.lit("\n"))
+    return table(spark, d, "documents").select("doc_id", markdown.markdown_html(body).alias("html"))
 
 
 @query("SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN CAST(round(event_id % 100 / 100.0, 2) AS DOUBLE) END AS relevance, CASE WHEN event_id % 5 <> 0 THEN 'failed' WHEN event_id % 100 >= 60 THEN 'relevant' ELSE 'skipped_irrelevant' END AS status FROM events")
@@ -161,8 +174,17 @@ def summary_requests(spark, d):
 
 @query()
 def summary_groups(spark, d):
-    parts = answers.summary_requests(table(spark, d, "documents"), "doc_id", "text")
-    return answers.grouped_parts(parts, "doc_id", "part", "content")
+    """Each part's summary, here its beginning, in groups to combine."""
+    parts = answers.summary_requests(table(spark, d, "documents"), "doc_id", "text").withColumn("summary", F.left("content", F.lit(5000)))
+    return answers.grouped_parts(parts, "doc_id", "part", "summary")
+
+
+@query()
+def combined_summaries(spark, d):
+    """One summary of each document in rounds; a round's answer is, for want of a model, the beginning of its request."""
+    parts = answers.summary_requests(table(spark, d, "documents"), "doc_id", "text").withColumn("summary", F.left("content", F.lit(5000)))
+    found, _ = answers.combined(parts, "doc_id", "part", "summary", lambda asked: asked.withColumn("summary", F.left("content", F.lit(9000))))
+    return found
 
 
 @query("SELECT p_partkey AS id, 'h-' || CAST(p_partkey AS VARCHAR) AS youtube, CASE WHEN p_partkey % 2 = 0 THEN 'PL' || p_partkey END AS list, 'v' || p_partkey AS video FROM part")
@@ -229,11 +251,23 @@ def decoded_pages(spark, d):
     return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", pages.html_decoded(body, kind).alias("text"))
 
 
-@query("SELECT event_id AS id, event_id % 256 NOT IN (0, 10, 127) AND event_id % 256 < 224 AS is_public FROM events")
+@query("""
+WITH a AS (
+  SELECT event_id AS id, event_id % 5 AS k, event_id // 5 % 8 AS f, event_id * 37 % 256 AS o1, event_id * 101 % 256 AS o2, event_id * 7 % 256 AS o3 FROM events),
+b AS (
+  SELECT *, NOT (o1 IN (0, 10, 127) OR o1 >= 224 OR (o1 = 100 AND o2 BETWEEN 64 AND 127) OR (o1 = 169 AND o2 = 254) OR (o1 = 172 AND o2 BETWEEN 16 AND 31)
+    OR (o1 = 192 AND (o2 = 168 OR (o2 = 0 AND o3 IN (0, 2)) OR (o2 = 88 AND o3 = 99))) OR (o1 = 198 AND (o2 IN (18, 19) OR (o2 = 51 AND o3 = 100)))
+    OR (o1 = 203 AND o2 = 0 AND o3 = 113)) AS open FROM a)
+SELECT id, CASE WHEN k < 3 THEN open WHEN k = 3 THEN f >= 6 ELSE FALSE END AS is_public FROM b""")
 def public_addresses(spark, d):
+    """IPv4 addresses all over the range, alone and inside IPv6, other IPv6 ones, and what is never public."""
     ship(spark)
-    ip = F.concat((F.col("event_id") % 256).cast("string"), F.lit(".8.8.8"))
-    return table(spark, d, "events").select(F.col("event_id").alias("id"), discovery.public_address(ip).alias("is_public"))
+    key = F.col("event_id")
+    four = F.concat_ws(".", *[(key * k % 256).cast("string") for k in (37, 101, 7)], F.lit("8"))
+    six = F.array(*map(F.lit, ("fec0::1", "5f00::1", "2001:db8::1", "fd00::1", "fe80::1", "ff02::1", "2001:4860:4860::8888", "2606:4700::1")))
+    other = F.when(key % 2 == 0, F.concat(F.lit("192.88.99."), (key % 256).cast("string"))).otherwise(F.concat(F.lit("host"), key.cast("string")))
+    ip = F.when(key % 5 == 0, four).when(key % 5 == 1, F.concat(F.lit("::ffff:"), four)).when(key % 5 == 2, F.concat(F.lit("64:ff9b::"), four)).when(key % 5 == 3, six[F.floor(key / 5) % 8]).otherwise(other)
+    return table(spark, d, "events").select(key.alias("id"), discovery.public_address(ip).alias("is_public"))
 
 
 @query("SELECT event_id AS id, CASE event_type WHEN 'error' THEN (event_id % 600 IN (408, 425, 429) OR event_id % 600 BETWEEN 500 AND 599) WHEN 'click' THEN TRUE ELSE FALSE END AS passing FROM events")
@@ -275,6 +309,18 @@ def digest_sections(spark, d):
     return markdown.digest_sections(rows, "p_brand")
 
 
+@query("""WITH e AS (SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS r, '- [' || p_name || '](https://h.org/' || p_partkey || ') — ' AS line, p_type, p_size FROM part)
+    SELECT p_brand, 'The automatic summary of this run could not be written. Here are all ' || count(*) || ' items, most relevant first.' || chr(10) || chr(10) || '## All items' || chr(10)
+      || string_agg(line || p_type || chr(10) || '  ' || CASE WHEN p_size % 2 = 0 THEN chr(92) || '# ' ELSE p_size || chr(92) || '. ' END || p_type, chr(10) ORDER BY r) || chr(10) || chr(10)
+      || '## Worth a closer look' || chr(10) || string_agg(line || CASE WHEN p_size % 2 = 0 THEN '# ' ELSE p_size || '. ' END || p_type, chr(10) ORDER BY r) FILTER (WHERE r <= 3) AS text FROM e GROUP BY p_brand""")
+def fallback_digests(spark, d):
+    rank = F.expr("row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey)")
+    url = F.concat(F.lit("https://h.org/"), F.col("p_partkey").cast("string"))
+    why = F.concat(F.when(F.col("p_size") % 2 == 0, "# ").otherwise(F.concat(F.col("p_size").cast("string"), F.lit(". "))), F.col("p_type"))
+    rows = table(spark, d, "part").select("p_brand", rank.alias("rank"), F.col("p_name").alias("title"), url.alias("url"), F.col("p_type").alias("headline"), why.alias("why_relevant"))
+    return markdown.fallback_digests(rows, "p_brand")
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 'plain' ELSE '# ' || source END AS body, doc_id % 3 <> 2 AS heading FROM documents")
 def unfenced_answers(spark, d):
     title = F.concat(F.lit("# "), F.col("source"))
@@ -312,19 +358,28 @@ def known_zones(spark, d):
     return runs.known_zones(table(spark, d, "events").select("event_id", zone.alias("zone")), "zone", zones)
 
 
-@with_yaml("SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'schedule.weekday,sources' WHEN 2 THEN 'name,schedule.frequency,schedule.time,sources' END AS problems, c_custkey % 4 = 3 AS broken, CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN 'yes' END AS name FROM customer")
+@with_yaml("""
+SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'schedule.weekday,sources' WHEN 2 THEN 'name,schedule.frequency,schedule.time,sources' END AS problems, c_custkey % 4 = 3 AS broken,
+  CASE c_custkey % 4 WHEN 0 THEN '0' || c_custkey WHEN 1 THEN 'yes' END AS name FROM customer""")
 def job_files(spark, d):
+    """Names that look like octal numbers and truth values stay texts; repeated keys break a file."""
     key = F.col("c_custkey") % 4
-    good = F.concat(F.lit("name: "), F.col("c_name"), F.lit("\nschedule: {frequency: monthly, time: '07:30', day_of_month: 31}\nsources:\n  - {type: rss, url: http://h.org/}\n"))
+    good = F.concat(F.lit("base: &b {frequency: monthly, day_of_month: 31}\nname: 0"), F.col("c_custkey").cast("string"), F.lit("\nschedule: {<<: *b, time: '07:30'}\nsources:\n  - {type: rss, url: http://h.org/}\n"))
     body = F.when(key == 0, good).when(key == 1, "name: yes\nschedule: {frequency: weekly, time: '07:30'}\n").when(key == 2, "other: 1\n").otherwise("name: a\nname: b\n")
     found = configs.jobs(table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("path"), body.alias("text")))
     return found.select(F.col("path").cast("long").alias("id"), F.array_join("problems", ",").alias("problems"), F.col("problem").isNotNull().alias("broken"), F.get_json_object("document", "$.name").alias("name"))
 
 
-@with_yaml("SELECT 'n' || n_nationkey AS provider, m AS model, CAST(1.25 + n_nationkey AS DOUBLE) AS price_in, m = 'b' AS repeated FROM nation, (SELECT unnest(['a', 'b', 'b']) AS m)")
+@with_yaml("""
+SELECT 'n' || c_custkey AS provider, CASE c_custkey % 5 WHEN 0 THEN 'm' || c_custkey WHEN 2 THEN 'm' || c_custkey WHEN 3 THEN 'shared' END AS model,
+  CASE WHEN c_custkey % 5 = 0 THEN CAST(c_custkey + 0.25 AS DOUBLE) END AS price, CASE WHEN c_custkey % 5 = 0 THEN CAST(1000 AS BIGINT) END AS context, c_custkey % 5 <> 0 AS wrong FROM customer""")
 def model_files(spark, d):
-    price = (F.col("n_nationkey") + 1.25).cast("string")
-    one = lambda m: F.concat(F.lit(f"  - {{id: {m}, price_out: 2, price_in: "), price, F.lit("}\n"))
-    body = F.concat(F.lit("models:\n"), one("a"), one("b"), one("b"))
-    files = table(spark, d, "nation").select(F.concat(F.lit("/models.d/n"), F.col("n_nationkey").cast("string"), F.lit(".yaml")).alias("path"), body.alias("text"))
-    return configs.models(files).select("provider", "model", F.col("price_in").cast("double").alias("price_in"), "repeated")
+    """Registry files: a right one, another's name, a negative price, an id that other files have, a repeated key."""
+    key = F.col("c_custkey") % 5
+    name = F.concat(F.lit("n"), F.col("c_custkey").cast("string"))
+    model = F.when(key == 3, "shared").otherwise(F.concat(F.lit("m"), F.col("c_custkey").cast("string")))
+    price = F.when(key == 2, "-1").otherwise((F.col("c_custkey") + 0.25).cast("string"))
+    entry = F.concat(F.lit("models:\n  "), model, F.lit(": {output_price_per_mtok: 2, context_window: 1000, input_price_per_mtok: "), price, F.lit("}\n"))
+    body = F.concat(F.lit("schema_version: 1\nprovider: "), F.when(key == 1, "other").otherwise(name), F.lit("\n"), entry, F.when(key == 4, "models: {}\n").otherwise(""))
+    found = configs.models(table(spark, d, "customer").select(F.concat(F.lit("/models.d/"), name, F.lit(".yaml")).alias("path"), body.alias("text")))
+    return found.select("provider", "model", F.col("input_price_per_mtok").cast("double").alias("price"), F.col("context_window").alias("context"), F.col("problem").isNotNull().alias("wrong"))
\ No newline at end of file

@@ -11,44 +11,71 @@ from pyspark.sql import types as T
 
 from marlstone.session import ship
 
+# Plain scalars of YAML 1.2's core, its tags, and the fields of a model's entry.
+NULLS, TRUE, FALSE = ("", "~", "null", "Null", "NULL"), ("true", "True", "TRUE"), ("false", "False", "FALSE")
+CORE_TAGS = ("tag:yaml.org,2002:str", "tag:yaml.org,2002:seq", "tag:yaml.org,2002:map")
+PRICES = ("input_price_per_mtok", "output_price_per_mtok")
+THINKING, THINKING_LEVELS, THINKING_PROVIDERS = ("thinking_level", "thinking_allowance_tokens", "keep_default_temperature"), ("minimal", "low", "medium", "high"), ("google",)
 PARSED = T.StructType([T.StructField("document", T.StringType()), T.StructField("problem", T.StringType())])
 
 
-def _loader():
-    """A safe loader with the scalars of YAML 1.2 (no `yes`, no dates) that refuses repeated keys."""
-    import re
-
-    import yaml
-
-    class Loader(yaml.SafeLoader):
-        yaml_implicit_resolvers: dict = {}
-
-        def construct_mapping(self, node, deep=False):
-            seen = set()
-            for key, _ in node.value:
-                name = self.construct_object(key, deep=True)
-                if name in seen:
-                    raise yaml.YAMLError(f"repeated key {name!r}")
-                seen.add(name)
-            return super().construct_mapping(node, deep)
-
-    for tag, pattern, first in (
-        ("bool", r"^(?:true|True|TRUE|false|False|FALSE)$", "tTfF"),
-        ("null", r"^(?:~|null|Null|NULL|)$", ["~", "n", "N", ""]),
-        ("int", r"^[-+]?[0-9]+$", "-+0123456789"),
-        ("float", r"^[-+]?(?:[0-9]+\.[0-9]*|\.[0-9]+|[0-9]+(?=[eE]))(?:[eE][-+]?[0-9]+)?$", "-+.0123456789"),
-    ):
-        Loader.add_implicit_resolver(f"tag:yaml.org,2002:{tag}", re.compile(pattern), list(first))
-    return yaml, Loader
+class Unreadable(ValueError):
+    """A document that isn't what these files may hold."""
+
+
+def scalar(text: str) -> object:
+    """A plain scalar: null, a truth value, a decimal number, else the text. `yes`, `0123` and dates are texts."""
+    if text in NULLS:
+        return None
+    if text in TRUE or text in FALSE:
+        return text in TRUE
+    digits = text[1:] if text[:1] in ("+", "-") else text
+    if digits.isascii() and digits.isdigit():
+        return text if digits[0] == "0" and len(digits) > 1 else int(text)
+    whole, point, rest = digits.lower().partition(".") if "." in digits else digits.lower().partition("e")
+    part, _, power = rest.partition("e") if point == "." else ("", "", rest)
+    counts = lambda d: not d or (d.isascii() and d.isdigit())
+    signed = whole or digits is text  # a sign before a bare point makes no number
+    if point and signed and counts(whole) and counts(part) and (whole or part) and (point == "." or power) and ("e" not in digits.lower() or counts(power.lstrip("+-")) and power.lstrip("+-")):
+        return float(text)
+    return text
+
+
+def value_of(node: object, around: tuple[int, ...] = ()) -> object:
+    """The value of a composed node: repeated keys, merges of what is no mapping, own tags and cycles are errors."""
+    if id(node) in around:
+        raise Unreadable("an alias holds itself")
+    inner = (*around, id(node))
+    kind = node.tag.rpartition(":")[2]
+    if node.tag not in CORE_TAGS:
+        raise Unreadable(f"unknown tag {node.tag!r}")
+    if kind == "str":
+        return node.value if node.style else scalar(node.value)
+    if kind == "seq":
+        return [value_of(x, inner) for x in node.value]
+    own, merged = {}, {}
+    for key, held in node.value:
+        name = value_of(key, inner)
+        if name == "<<" and not key.style:
+            for base in held.value if held.tag.endswith(":seq") else [held]:
+                if not (made := value_of(base, inner)) or not isinstance(made, dict):
+                    raise Unreadable("a merge needs a mapping")
+                merged = made | merged
+            continue
+        if isinstance(name, (dict, list)) or name in own:
+            raise Unreadable(f"key {name!r} is repeated or no scalar")
+        own[name] = value_of(held, inner)
+    return merged | own
 
 
 def parsed(text: str) -> tuple[str | None, str | None]:
     """A YAML text as JSON, or what is wrong with it."""
-    yaml, loader = _loader()
+    import yaml
+
     try:
-        found = yaml.load(text, loader)  # noqa: S506  (a safe loader)
-        return json.dumps(found, ensure_ascii=False, sort_keys=True), None
-    except (yaml.YAMLError, TypeError, ValueError, RecursionError) as e:
+        node = yaml.compose(text, Loader=yaml.BaseLoader)
+        return json.dumps(None if node is None else value_of(node), ensure_ascii=False, sort_keys=True), None
+    except (yaml.YAMLError, Unreadable, TypeError, ValueError, RecursionError) as e:
         return None, str(e).split("\n")[0][:200]
 
 
@@ -79,17 +106,51 @@ def jobs(files: DataFrame) -> DataFrame:
     return read.withColumn("problems", F.when(F.col("document").isNotNull(), job_problems(F.col("document"))))
 
 
+def _model_problem(entry: Column, provider: Column) -> Column:
+    """The first thing that is wrong with a model's entry (JSON); null if nothing is."""
+    document = F.try_parse_json(entry)
+    kind = lambda name: F.schema_of_variant(F.try_variant_get(document, f"$.{name}", "variant"))
+    price = lambda name: F.coalesce(F.get_json_object(entry, f"$.{name}").try_cast("decimal(38,12)") >= 0, F.lit(False))
+    given = lambda name: F.array_contains(F.json_object_keys(entry), name)
+    positive = lambda name: (kind(name) == "BIGINT") & (F.try_variant_get(document, f"$.{name}", "bigint") > 0)
+    wrong = [(f"{n}: a price of 0 or more is needed", ~price(n)) for n in PRICES]
+    wrong += [("context_window: a positive whole number is needed", ~positive("context_window"))]
+    wrong += [(f"{n}: a positive whole number is needed", given(n) & (kind(n) != "VOID") & ~positive(n)) for n in ("max_output_tokens", "thinking_allowance_tokens")]
+    wrong += [("thinking_level: unknown", given("thinking_level") & (kind("thinking_level") != "VOID") & ~F.get_json_object(entry, "$.thinking_level").isin(*THINKING_LEVELS))]
+    wrong += [("keep_default_temperature: true or false is needed", given("keep_default_temperature") & (kind("keep_default_temperature") != "BOOLEAN"))]
+    wrong += [(f"{n}: not for this provider", given(n) & ~provider.isin(*THINKING_PROVIDERS)) for n in THINKING]
+    wrong += [("thinking_allowance_tokens: needs thinking_level", F.get_json_object(entry, "$.thinking_allowance_tokens").isNotNull() & F.get_json_object(entry, "$.thinking_level").isNull())]
+    known = F.array(*map(F.lit, (*PRICES, "context_window", "max_output_tokens", *THINKING)))
+    made = F.when(F.json_object_keys(entry).isNull(), "a mapping is needed").when(F.size(F.array_except(F.json_object_keys(entry), known)) > 0, "unknown field")
+    for problem, test in wrong:
+        made = made.when(F.coalesce(test, F.lit(True)), problem)
+    return made
+
+
 def models(files: DataFrame) -> DataFrame:
-    """Models of all files (path, text with a list `models`): provider, model, price_in, price_out, repeated.
+    """Models of registry files (path, text): path, provider, model, prices, context_window, max_output_tokens and problem.
 
-    The provider is the file's name; a model id that stands more than once is marked, and is an
-    error to whoever joins on it.
+    A file is a mapping of schema_version 1, its own name as provider, and models by id. A file that isn't has
+    one row without a model; a model whose entry is wrong, or whose id another file has too, keeps its row with
+    the problem and no prices. Rows without a problem are the price dimension.
     """
     ship(files.sparkSession)
-    listed = "array<struct<id:string,price_in:string,price_out:string>>"
-    provider = F.regexp_extract("path", r"([^/]+)\.ya?ml$", 1)
-    rows = files.select(provider.alias("provider"), yaml_json("text")["document"].alias("d")).select("provider", F.explode(F.from_json(F.get_json_object("d", "$.models"), listed)).alias("m"))
-    prices = [F.col(f"m.{c}").try_cast("decimal(18,6)").alias(c) for c in ("price_in", "price_out")]
-    made = rows.select("provider", F.col("m.id").alias("model"), *prices)
-    times = made.groupBy("provider", "model").agg(F.count("*").alias("_n"))
-    return made.join(times, ["provider", "model"]).withColumn("repeated", F.col("_n") > 1).drop("_n")
+    stem = F.regexp_extract("path", r"([^/]+)\.ya?ml$", 1)
+    read = files.select("path", stem.alias("provider"), yaml_json("text").alias("y")).select("path", "provider", F.col("y.document").alias("d"), F.col("y.problem").alias("unread"))
+    get = lambda name: F.get_json_object("d", f"$.{name}")
+    keys = F.array_sort(F.json_object_keys("d"))
+    problem = (
+        F.when(F.col("unread").isNotNull(), F.col("unread"))
+        .when(F.coalesce(keys != F.array(F.lit("models"), F.lit("provider"), F.lit("schema_version")), F.lit(True)), "schema_version, provider and models are needed")
+        .when(F.coalesce(get("schema_version") != "1", F.lit(True)), "schema_version must be 1")
+        .when(F.coalesce(get("provider") != F.col("provider"), F.lit(True)), "provider isn't the file's name")
+        .when(F.json_object_keys(get("models")).isNull(), "models must be a mapping")
+    )
+    entries = F.when(problem.isNull(), F.map_entries(F.from_json(get("models"), "map<string,string>")))
+    rows = read.select("path", "provider", problem.alias("of_file"), entries.alias("entries")).select("path", "provider", "of_file", F.explode_outer("entries").alias("m")).where("of_file IS NOT NULL OR m IS NOT NULL")
+    entry = F.col("m.value")
+    made = rows.select("path", "provider", F.col("m.key").alias("model"), entry.alias("entry"), F.when(F.col("of_file").isNotNull(), F.col("of_file")).otherwise(_model_problem(entry, F.col("provider"))).alias("problem"))
+    files_of = made.where("model IS NOT NULL").groupBy("model").agg(F.min("path").alias("_first"), F.count("*").alias("_n"))
+    joined = made.join(files_of, "model", "left").withColumn("problem", F.coalesce("problem", F.when(F.col("_n") > 1, F.concat(F.lit("also defined in another file, first in "), F.col("_first")))))
+    good = lambda name, kind: F.when(F.col("problem").isNull(), F.get_json_object("entry", f"$.{name}").cast(kind)).alias(name)
+    return joined.select("path", "provider", "model", *[good(n, "decimal(38,12)") for n in PRICES], good("context_window", "long"), good("max_output_tokens", "long"), "problem")

@@ -2,6 +2,7 @@
 
 import html.parser
 import json
+import random
 from urllib.parse import urljoin, urlsplit
 
 import pytest
@@ -101,12 +102,32 @@ def test_part_groups_hold_two_or_more(spark):
     assert [r[0] for r in frame.select(answers.part_groups("n")).collect()] == [[0, 0, 0], [0, 0, 1, 1, 1], [0], [0, 0, 1, 1, 1]]
 
 
-def test_markdown_filter_is_a_fixed_point():
-    allowed = ["http://a.org/x"]
-    for body in ("[[a](bad)](http://a.org/x)", "[a [b]](https:host)", "<a href='http://a.org/x'>t</a>", "![i](http://a.org/x)", "http://a.org/x. http://a.org/xy", "[r]: http://bad.org\n[r]"):
-        kept, _, linked = markdown.filter_urls(body, allowed)
-        assert markdown.filter_urls(kept, allowed)[0] == kept and set(linked) <= set(allowed)
-        assert "bad" not in kept.replace("bad)", "bad)") or "](" not in kept
+def test_rounds_end_in_one_summary(spark):
+    """Against a plain loop, with texts from none to many parts and sizes near the limit."""
+    r = random.Random(5)
+    made = {k: ["w" * r.choice([1, 3000, 5990, 6100, 13000]) for _ in range(r.choice([1, 2, 3, 7, 20]))] for k in range(12)}
+    rows = [(k, n, t) for k, ts in made.items() for n, t in enumerate(ts, 1)]
+    answer = lambda content: content[:4000] + str(len(content))
+    combine = lambda asked: asked.withColumn("summary", F.concat(F.left("content", F.lit(4000)), F.length("content").cast("string")))
+    found, asked = answers.combined(spark.createDataFrame(rows, "k int, n int, s string"), "k", "n", "s", combine)
+    want, calls = {}, 0
+    for k, parts in made.items():
+        while len(parts) > 1:
+            groups, current = [], []
+            for n, part in enumerate(parts, 1):
+                block = f"Part {n}:\n{part}"
+                if len(current) >= 2 and len("\n\n".join([*current, block])) > 12_000:
+                    groups.append(current)
+                    current = []
+                current.append(block)
+            if len(current) == 1 and groups:
+                groups[-1] += current
+            else:
+                groups.append(current)
+            calls += len(groups)
+            parts = [answer("\n\n".join(g)) for g in groups]
+        want[k] = parts[0]
+    assert {x["k"]: x["summary"] for x in found.collect()} == want and asked.count() == calls
 
 
 def test_links_equal_a_plain_parser(spark):
@@ -149,5 +170,6 @@ def test_text_and_addresses(spark):
     assert row(listings.http_link(F.lit("http://h.org:0/"), F.lit("")), listings.http_link(F.lit("http://h.org:99999/"), F.lit("")), listings.http_link(F.lit("/x"), F.lit("http://h.org:8080/"))) == (None, None, "http://h.org:8080/x")
     assert row(text.cost_text(F.lit(3), F.lit("0.12345").cast("decimal(18,6)"), F.lit(False), F.lit(1)))[0] == "≥ $0.1234 (1 call without price)"
     assert [discovery.is_public(a) for a in ("8.8.8.8", "10.0.0.1", "::ffff:127.0.0.1", "2002:7f00:1::1", "2001:4860:4860::8888", "x")] == [True, False, False, False, True, False]
+    assert [discovery.is_public(a) for a in ("192.88.99.1", "fec0::1", "5f00::1", "64:ff9b::10.0.0.1", "64:ff9b::8.8.8.8", "fe80::1%eth0", "192.0.0.9", "::1", "2001:20::1")] == [False] * 4 + [True, False, True, False, True]
     assert transcripts.spoken("WEBVTT\n\nNOTE x\ny\n\nNOTEBOOK-1\n00:00 --> 00:01\n<i>a</i> &amp; b\na & b\n") == "a & b"
     assert row(statistics.stat_count(F.lit('{"a": true, "b": 3}'), "a"), statistics.stat_count(F.lit('{"a": true, "b": 3}'), "b")) == (None, 3)
