@@ -357,6 +357,34 @@ def finished_runs(spark, d):
     return store.read("runs").select("id", "status")
 
 
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey = 5 THEN '2024-02-01 01:00:00' END AS locked_until FROM customer")
+def claims_of_jobs(spark, d):
+    """A job claimed twice, of which the first wins, and one claimed and released by its own token only."""
+    jobs = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit(True).alias("enabled"), _at(NOW).alias("next_run_at"), F.lit(None).cast("timestamp_ntz").alias("locked_until"))
+    store = Store(spark, shared_folder(spark))
+    store.save({"jobs": jobs})
+    now, tokens = _at("2024-02-01 00:00:00"), [_at(f"2024-02-01 0{k}:00:00") for k in (1, 2)]
+    outcome = [store.claim(5, now, tokens[0], still_due=True), store.claim(5, now, tokens[1]), store.claim(6, now, tokens[1]), store.release(6, tokens[0]), store.release(6, tokens[1])]
+    if outcome != [True, False, True, False, True]:
+        raise RuntimeError(f"locks were given out wrongly: {outcome}")
+    return store.read("jobs").select("id", F.date_format("locked_until", "yyyy-MM-dd HH:mm:ss").alias("locked_until"))
+
+
+@query("""
+WITH a AS (SELECT o_custkey AS job_id, o_orderdate AS day, min(o_orderkey) AS first FROM orders WHERE o_orderkey % 3 > 0 GROUP BY ALL),
+b AS (SELECT o_custkey AS job_id, o_orderdate AS day, min(o_orderkey) AS first FROM orders GROUP BY ALL),
+n AS (SELECT b.*, row_number() OVER (ORDER BY first) AS r FROM b ANTI JOIN a ON a.job_id = b.job_id AND a.day = b.day)
+SELECT row_number() OVER (ORDER BY first) AS id, job_id, strftime(day, '%Y-%m-%d') AS url_hash FROM a UNION ALL SELECT (SELECT count(*) FROM a) + r, job_id, strftime(day, '%Y-%m-%d') FROM n""")
+def inserted_by_bucket(spark, d):
+    """Two batches put into a keyed table; the second holds the first again."""
+    store = Store(spark, shared_folder(spark))
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("job_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("url_hash"), F.col("o_orderkey").alias("seq"))
+    store.create_keyed("items", rows.drop("seq").schema, ["job_id", "url_hash"])
+    store.insert_absent("items", rows.where("seq % 3 > 0"), "seq")
+    store.insert_absent("items", rows, "seq")
+    return store.read("items")
+
+
 @query(f"SELECT id, name FROM ({_LOCKED}) WHERE name = 'Customer#000000012'")
 def job_by_name(spark, d):
     return runs.by_name(_locked(spark, d), "Customer#000000012").select("id", "name")
