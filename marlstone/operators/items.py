@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.text import casefold, collapse_ends, fold, fold_text, whole_word
 from marlstone.functions.timing import half_up
+from marlstone.operators.ordering import previous
 from marlstone.operators.runs import pending_kind
 
 
@@ -108,6 +109,6 @@ def digest_order(items: DataFrame) -> DataFrame:
 
 
 def drop_adjacent_repeats(lines: DataFrame, group: str, order: str, text: str) -> DataFrame:
-    """Lines that differ from the line before them in their group."""
-    before = F.lag(text).over(Window.partitionBy(group).orderBy(order))
-    return lines.withColumn("_before", before).where(~F.col(text).eqNullSafe(F.col("_before")) | F.col("_before").isNull()).drop("_before")
+    """Lines that differ from the line before them in their group, which may be of any size."""
+    placed = previous(lines, "_before", text, [group], order)
+    return placed.where(F.coalesce(F.col(text) != F.col("_before"), F.lit(True))).select(*lines.columns)

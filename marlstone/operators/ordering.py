@@ -36,3 +36,19 @@ def running_total(df: DataFrame, name: str, value: str, keys: list[str], *order:
     same = [placed[k].eqNullSafe(offsets[k]) for k in [*keys, "_part"]]
     joined = placed.join(offsets, same).select(*[placed[c] for c in placed.columns], offsets["_before"])
     return joined.withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
+
+
+def previous(df: DataFrame, name: str, value: str, keys: list[str], *order: str) -> DataFrame:
+    """df with the value of the row before it in its group, null for the first, for groups of any size.
+
+    Rows are dealt into ranges of (keys, order); a range's first row of a group takes the last value of the group's range
+    before it, so a hot group is sorted by many tasks.
+    """
+    dealt = stored(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    ends = dealt.groupBy(*keys, "_part").agg(F.max_by(F.struct(value), F.struct(*order)).alias("_last"))  # rows: groups plus ranges
+    carried = ends.select(*keys, "_part", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_part")).alias("_carried"))
+    own = F.lag(F.struct(value)).over(Window.partitionBy(*keys, "_part").orderBy(*order))
+    placed = dealt.withColumn("_own", own)
+    same = [placed[k].eqNullSafe(carried[k]) for k in [*keys, "_part"]]
+    joined = placed.join(carried, same).select(*[placed[c] for c in placed.columns], carried["_carried"])
+    return joined.withColumn(name, F.coalesce("_own", "_carried")[value]).drop("_part", "_own", "_carried")

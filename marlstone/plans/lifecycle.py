@@ -12,6 +12,7 @@ from marlstone.operators import dedupe, items, lifecycle, runs, statistics, usag
 from marlstone.plans.registry import query
 from marlstone.session import shared_folder, table
 from marlstone.state import Store
+from marlstone.streaming import items as stream
 
 NOW = "2024-01-20 12:00:00"
 JOBS, BASELINE, MOST = 50, 5, 40
@@ -370,6 +371,25 @@ def claims_of_jobs(spark, d):
     return store.read("jobs").select("id", F.date_format("locked_until", "yyyy-MM-dd HH:mm:ss").alias("locked_until"))
 
 
+@query("""
+SELECT o_custkey AS job_id, CAST(o_orderkey AS VARCHAR) AS url_hash, CAST(o_orderkey AS BIGINT) AS seq, 'new' AS kind, CAST(1 AS BIGINT) AS attempts FROM orders UNION ALL
+SELECT o_custkey, CAST(o_orderkey AS VARCHAR), 1000000000000 + o_orderkey, CASE o_orderkey % 4 WHEN 1 THEN 'retryable' WHEN 3 THEN 'changed' ELSE 'dropped' END, CASE WHEN o_orderkey % 4 = 1 THEN 2 ELSE 1 END FROM orders""")
+def streamed_items(spark, d):
+    """Reports, then outcomes of most items, then all reports again, some of another version; the stream is started three times."""
+    key = F.col("o_orderkey")
+    orders, folder = table(spark, d, "orders"), shared_folder(spark)
+    base = [F.col("o_custkey").alias("job_id"), key.cast("string").alias("url_hash")]
+    content = F.concat(F.lit("c"), (key % 2).cast("string"))
+    outcome = F.when(key % 4 == 0, "summarized").when(key % 2 == 1, "failed")
+    first = orders.select(*base, key.cast("long").alias("seq"), F.lit(stream.REPORTED).alias("event"), content.alias("content_hash"))
+    then = orders.where(key % 4 != 2).select(*base, (key + 500_000_000_000).alias("seq"), outcome.alias("event"), F.lit(None).cast("string").alias("content_hash"))
+    again = orders.select(*base, (key + 1_000_000_000_000).alias("seq"), F.lit(stream.REPORTED).alias("event"), F.when(key % 4 == 3, "z").otherwise(content).alias("content_hash"))
+    for part in (first, then, again):
+        part.write.mode("append").parquet(f"{folder}/events")
+        stream.follow(spark.readStream.schema(stream.EVENTS).parquet(f"{folder}/events"), folder).awaitTermination()
+    return stream.decisions(spark, folder)
+
+
 @query("""
 WITH a AS (SELECT o_custkey AS job_id, o_orderdate AS day, min(o_orderkey) AS first FROM orders WHERE o_orderkey % 3 > 0 GROUP BY ALL),
 b AS (SELECT o_custkey AS job_id, o_orderdate AS day, min(o_orderkey) AS first FROM orders GROUP BY ALL),
