@@ -173,19 +173,26 @@ class Model:
 
     @property
     def weights(self) -> np.ndarray:
-        """Weights by feature number, made once in each process."""
-        if not hasattr(self, "_weights"):
-            self._weights = np.zeros(DIMS)
-            self._weights[self.index] = self.values
-        return self._weights
+        """Weights by feature number; large, so for training only."""
+        out = np.zeros(DIMS)
+        out[self.index] = self.values
+        return out
+
+    @property
+    def weighted(self) -> np.ndarray:
+        """Whether a feature has a weight, by number: made once in each process, a byte each."""
+        if not hasattr(self, "_weighted"):
+            self._weighted = np.zeros(DIMS, bool)
+            self._weighted[self.index] = True
+        return self._weighted
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_weights"}
+        return {k: v for k, v in self.__dict__.items() if k != "_weighted"}
 
     def margin(self, row: np.ndarray, feature: np.ndarray, n: int, extra: np.ndarray) -> np.ndarray:
-        used = np.flatnonzero(self.weights[feature])
+        used = np.flatnonzero(self.weighted[feature])
         r, f = present(row[used], feature[used])
-        return np.bincount(r, self.weights[f], n)[:n] + self.bias + extra @ self.extra
+        return np.bincount(r, self.values[np.searchsorted(self.index, f)], n)[:n] + self.bias + extra @ self.extra
 
     def probability(self, row: np.ndarray, feature: np.ndarray, n: int, extra: np.ndarray) -> np.ndarray:
         return sigmoid(self.a * self.margin(row, feature, n, extra) + self.b)
