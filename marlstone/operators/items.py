@@ -98,6 +98,21 @@ def keyword_match(text: Column, any_: Sequence[str] = (), all_: Sequence[str] =
     return found
 
 
+def keyword_hits(text: Column, any_: Sequence[str] = (), all_: Sequence[str] = (), exclude: Sequence[str] = ()) -> Column:
+    """The terms that occur, as they are written in the rules: any, all, then excluded ones, the first of each folded form."""
+    first: dict[str, str] = {}
+    for term in (*any_, *all_, *exclude):
+        if term.strip():
+            first.setdefault(fold_text(term.strip()), term.strip())
+    hits = [F.when(keyword_match(text, any_=[term]), F.lit(term)) for term in first.values()]
+    return F.filter(F.array(*hits), lambda t: t.isNotNull()) if hits else F.array().cast("array<string>")
+
+
+def ordered_distinct(values: Column) -> Column:
+    """Each value of an array once, where it first stands."""
+    return F.array_distinct(values)
+
+
 def relevance_gate(items: DataFrame, score: str, least: str) -> DataFrame:
     """Items whose stored (rounded) relevance reaches the limit."""
     return items.withColumn("relevance", half_up(F.col(score))).where(F.col("relevance") >= F.lit(least).cast("decimal(10,2)"))

@@ -132,6 +132,11 @@ def first_error(errors: DataFrame, key: str, seq: str, error: str) -> DataFrame:
     return errors.groupBy(key).agg(F.min_by(error, seq).alias(error))
 
 
+def unfinished(runs: DataFrame) -> DataFrame:
+    """Runs that are still running, or were killed, by id."""
+    return runs.where(F.col("status") == "running").orderBy("id")
+
+
 def by_name(jobs: DataFrame, name: str) -> DataFrame:
     """The job of exactly this name."""
     return jobs.where(F.col("name") == name)

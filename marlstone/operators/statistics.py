@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.functions.text import strip_control
+
 MOST_ERRORS, MOST_MESSAGE_CHARS = 100, 500
 # The stages of a run, in order.
 STAGES = ("load_job", "fetch_sources", "deduplicate", "keyword_prefilter", "extract_text", "score_relevance", "summarize_item", "synthesize_digest", "persist", "notify", "finalize")
@@ -43,6 +45,12 @@ def digest_problems(entries: DataFrame, taken: DataFrame, summaries: DataFrame)
     return joined.select(*key, reason.alias("reason")).where("reason IS NOT NULL")
 
 
+def source_errors(fetches: DataFrame) -> DataFrame:
+    """Errors of sources that failed, from fetches (run_id, source, error_class, message; null class: none), as `stored_errors` takes them."""
+    failed = fetches.where(F.col("error_class").isNotNull())
+    return failed.select("run_id", F.lit("fetch_sources").alias("stage"), "error_class", F.lit(None).cast("long").alias("item_id"), "source", strip_control(F.col("message"), MOST_MESSAGE_CHARS).alias("message"))
+
+
 def stage_number(stage: Column) -> Column:
     """The place of a stage in a run; unknown ones come last."""
     return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, STAGES)), stage), F.lit(0)), F.lit(len(STAGES) + 1))

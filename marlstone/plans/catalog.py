@@ -24,7 +24,7 @@ NOW = "2024-01-20 12:00:00"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from marlstone.plans import lifecycle, texts  # noqa: F401  (they register their queries)
+    from marlstone.plans import lifecycle, stages, texts  # noqa: F401  (they register their queries)
 
     return {name: f for name, (f, _) in REGISTRY.items()}
 

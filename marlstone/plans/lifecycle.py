@@ -248,13 +248,14 @@ def run_statistics(spark, d):
     return statistics.run_statistics(statistics.outcomes(*_outcomes(spark, d)))
 
 
-_TAKEN = "SELECT DISTINCT l_orderkey % 200 AS run_id, l_partkey AS item_id, CASE WHEN l_partkey % 5 = 0 THEN 'skipped_keyword' ELSE 'new' END AS status FROM lineitem"
+_TAKEN = "SELECT DISTINCT (l_orderkey + 1) % 200 AS run_id, l_partkey AS item_id, CASE WHEN l_partkey % 5 = 0 THEN 'skipped_keyword' ELSE 'new' END AS status FROM lineitem"
 
 
 @query(f"""SELECT run_id, item_id FROM ({_TAKEN}) t WHERE status <> 'skipped_keyword' AND item_id % 7 <> 0 AND NOT EXISTS (SELECT 1 FROM ({_BOTH}) r WHERE r.run_id = t.run_id AND r.item_id = t.item_id AND r.status IN ('skipped_irrelevant', 'failed'))
     AND NOT EXISTS (SELECT 1 FROM ({_SUMS}) s WHERE s.run_id = t.run_id AND s.item_id = t.item_id)""")
 def unprocessed_of_runs(spark, d):
-    key = (F.col("l_orderkey") % 200).alias("run_id")
+    """Items taken by another run than the one that has their outcomes, where they meet."""
+    key = ((F.col("l_orderkey") + 1) % 200).alias("run_id")
     taken = table(spark, d, "lineitem").select(key, F.col("l_partkey").alias("item_id"), F.when(F.col("l_partkey") % 5 == 0, "skipped_keyword").otherwise("new").alias("status")).distinct()
     return statistics.unprocessed(taken, *_outcomes(spark, d), taken.where("item_id % 7 = 0")).select("run_id", "item_id")
 

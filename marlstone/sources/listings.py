@@ -20,6 +20,8 @@ PLACEHOLDERS = ("[Private video]", "[Deleted video]")
 HIDDEN = ("private", "premium_only", "subscriber_only", "needs_auth")
 RSS = "channel STRUCT<item: ARRAY<STRUCT<title: STRING, link: STRING, description: STRING, pubDate: STRING>>>"
 ATOM = "entry ARRAY<STRUCT<title: STRUCT<_VALUE: STRING, _type: STRING>, link: ARRAY<STRUCT<_href: STRING, _rel: STRING>>, published: STRING, updated: STRING, summary: STRUCT<_VALUE: STRING, _type: STRING>>>"
+RDF = "item ARRAY<STRUCT<title: STRING, link: STRING, description: STRING, date: STRING>>"
+JSON_FEED = "items ARRAY<STRUCT<id: STRING, url: STRING, external_url: STRING, title: STRING, summary: STRING, content_text: STRING, content_html: STRING, date_published: STRING, date_modified: STRING>>"
 URLSET = "url ARRAY<STRUCT<loc: STRING, lastmod: STRING>>"
 INDEX = "sitemap ARRAY<STRUCT<loc: STRING, lastmod: STRING>>"
 _XML = {"attributePrefix": "_", "valueTag": "_VALUE", "mode": "PERMISSIVE", "ignoreNamespace": "true"}
@@ -111,20 +113,31 @@ def followed(maps: DataFrame, fetched: DataFrame, most_depth: int = 2, most_chil
     return every
 
 
-def inflated(body: Column, most: int = 50 << 20) -> Column:
-    """Text of a body that may be gzip; null if it is damaged or larger than `most` bytes."""
+def gunzipped(data: bytes, most: int) -> bytes | None:
+    """The contents of all gzip members, one after another; None if one is damaged or they are larger than most."""
     import zlib
 
+    out, rest = b"", data
+    while rest.strip(b"\0"):
+        member = zlib.decompressobj(31)
+        try:
+            out += member.decompress(rest, most + 1 - len(out))
+        except zlib.error:
+            return None
+        if len(out) > most or not member.eof:
+            return None
+        rest = member.unused_data
+    return out
+
+
+def inflated(body: Column, most: int = 50 << 20) -> Column:
+    """Text of a body that may be gzip, of any number of members; null if it is damaged or larger than `most` bytes."""
+
     @F.pandas_udf(T.StringType())
     def plain(bodies: pd.Series) -> pd.Series:
-        def one(data):
-            if not data.startswith(b"\x1f\x8b"):
-                return data.decode("utf-8", "replace") if len(data) <= most else None
-            try:
-                out = zlib.decompressobj(31).decompress(data, most + 1)
-            except zlib.error:
-                return None
-            return out.decode("utf-8", "replace") if len(out) <= most else None
+        def one(data: bytes) -> str | None:
+            text = gunzipped(data, most) if data[:2] == b"\x1f\x8b" else data if len(data) <= most else None
+            return None if text is None else text.decode("utf-8", "replace").removeprefix("\ufeff")
 
         return bodies.map(lambda b: one(bytes(b)), na_action="ignore")
 
@@ -139,9 +152,18 @@ def sitemap_description(maps: DataFrame) -> DataFrame:
     return rows.where("is_index OR is_set").select("map_id", "is_index", F.coalesce(F.size(listed), F.lit(0)).cast("long").alias("entries"), F.array_max(dates).alias("newest"))
 
 
-def feed_description(entries: DataFrame) -> DataFrame:
-    """Entries and newest date of each feed."""
-    return entries.groupBy("feed_id").agg(F.count("*").alias("entries"), F.max("published").alias("newest"))
+def feed_format(body: Column) -> Column:
+    """rss, rdf, atom or json; null for what is no feed."""
+    root = lambda name: body.rlike(rf"^\s*(?:<\?[^>]*\?>\s*|<!--(?s:.*?)-->\s*|<![A-Za-z][^>]*>\s*)*<(?:\w+:)?{name}[\s>]")
+    return F.when(root("rss"), "rss").when(root("RDF"), "rdf").when(root("feed"), "atom").when(F.get_json_object(body, "$.version").startswith("https://jsonfeed.org/version/"), "json")
+
+
+def feed_description(feeds: DataFrame) -> DataFrame:
+    """What each feed (feed_id, base, body) is: format, broken (none, or nothing readable in it), entries and newest date."""
+    per = feed_entries(feeds).groupBy("feed_id").agg(F.count("*").alias("entries"), F.max("published").alias("newest"))
+    told = feeds.select("feed_id", feed_format(F.col("body")).alias("format"), F.from_xml(F.col("body"), RSS, _XML)["channel"].isNotNull().alias("_channel"))
+    joined = told.join(per, "feed_id", "left")
+    return joined.select("feed_id", "format", (F.col("format").isNull() | (F.col("entries").isNull() & ~((F.col("format") == "rss") & F.col("_channel")))).alias("broken"), F.coalesce("entries", F.lit(0)).alias("entries"), "newest")
 
 
 def sitemap_summary(entries: DataFrame) -> DataFrame:
@@ -177,7 +199,7 @@ def merged_sources(results: DataFrame, most_per_source: int) -> DataFrame:
 
 
 def feed_entries(feeds: DataFrame, now: Column | None = None, max_age_days: int | None = None) -> DataFrame:
-    """Entries of RSS and Atom feeds, from (feed_id, base, body): feed_id, position, link, url_hash, title, published, teaser.
+    """Entries of RSS (1.0 too), Atom and JSON feeds, from (feed_id, base, body): feed_id, position, link, url_hash, title, published, teaser.
 
     A title or summary is HTML unless Atom says text. Without a title the link stands for it. The
     date is the published one, else the updated one. The first entry of each link counts.
@@ -189,7 +211,12 @@ def feed_entries(feeds: DataFrame, now: Column | None = None, max_age_days: int
     atom = feeds.select("feed_id", "base", F.posexplode(F.from_xml(F.col("body"), ATOM, _XML)["entry"]).alias("position", "e"))
     own = F.filter("e.link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
     entries = atom.select("feed_id", "base", "position", F.get(own, F.lit(0))["_href"].alias("raw"), plain(F.col("e.title")).alias("title"), F.coalesce(w3c_date(F.col("e.published")), w3c_date(F.col("e.updated"))).alias("published"), plain(F.col("e.summary")).alias("summary"))
-    linked = items.unionByName(entries).withColumn("link", http_link(F.col("raw"), F.col("base"))).where("link IS NOT NULL")
+    rdf = feeds.where(feed_format(F.col("body")) == "rdf").select("feed_id", "base", F.posexplode(F.from_xml(F.col("body"), RDF, _XML)["item"]).alias("position", "e"))
+    older = rdf.select("feed_id", "base", "position", F.col("e.link").alias("raw"), html_text(F.col("e.title")).alias("title"), w3c_date(F.col("e.date")).alias("published"), html_text(F.col("e.description")).alias("summary"))
+    listed = feeds.where(feed_format(F.col("body")) == "json").select("feed_id", "base", F.posexplode(F.from_json("body", JSON_FEED)["items"]).alias("position", "e"))
+    said = F.coalesce(F.col("e.summary"), F.col("e.content_text"), html_text(F.col("e.content_html")))
+    json = listed.select("feed_id", "base", "position", F.coalesce(F.col("e.url"), F.col("e.external_url"), F.col("e.id")).alias("raw"), F.col("e.title").alias("title"), F.coalesce(w3c_date(F.col("e.date_published")), w3c_date(F.col("e.date_modified"))).alias("published"), said.alias("summary"))
+    linked = items.unionByName(entries).unionByName(older).unionByName(json).withColumn("link", http_link(F.col("raw"), F.col("base"))).where("link IS NOT NULL")
     named = F.coalesce(F.nullif(collapse(F.col("title")), F.lit("")), F.col("link"))
     made = linked.select("feed_id", "position", "link", fingerprint(F.col("link")).alias("url_hash"), named.alias("title"), "published", teaser(F.col("summary")).alias("teaser"))
     found = first_of_each(made, "feed_id").select("feed_id", "position", "link", "url_hash", "title", "published", "teaser")
