@@ -37,6 +37,8 @@ from marlstone.session import bounded, shared_folder, ship, stored, table
 MIN_PAYLOAD = 100
 #: A file is read by one task as one value: this keeps it to some MB of usual pages.
 RECORDS_PER_FILE = 500
+#: Pages under so many bytes (None: any) go so many to a file at most, so no file is beyond some 500 MB but for one page of its own.
+SIZE_CLASSES = ((1 << 20, RECORDS_PER_FILE), (1 << 24, 30), (None, 1))
 #: Bytes inflated at a time.
 PIECE = 1 << 20
 _MEMBER = re.compile(rb"\x1f\x8b\x08")
@@ -47,8 +49,8 @@ _DIGEST = re.compile(r"sha256:([0-9a-f]{64})$")
 RECORD = "path string, kind string, offset long, inner_offset long, length long, reason string, record_id string, record_type string, refers_to string, target_uri string, payload_bytes long, payload_digest string"
 
 
-def write(pages: DataFrame, folder: str, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Write a record for each row (page_id, url, html) into WARC files under folder."""
+def write(pages: DataFrame, folder: str, size_classes: tuple = SIZE_CLASSES) -> None:
+    """Write a record for each row (page_id, url, html) into WARC files under folder, large pages into files of few records."""
     body = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", body.alias("html"), F.sha2(body, 256).alias("digest"), F.octet_length(body).alias("bytes"))
     firsts = rows.where(F.col("bytes") >= MIN_PAYLOAD).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 AND first_id IS NOT NULL").drop("n")
@@ -70,7 +72,11 @@ def write(pages: DataFrame, folder: str, records_per_file: int = RECORDS_PER_FIL
         F.concat(F.lit("Content-Length: "), F.when(revisit, 0).otherwise(F.col("bytes"))),
     )
     value = F.concat(header, F.lit("\r\n\r\n"), F.when(revisit, "").otherwise(F.col("html"))).alias("value")
-    rows.select(value).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(folder)
+    least = 0
+    for limit, records in size_classes:
+        mine = (F.col("bytes") >= least) & (F.lit(True) if limit is None else F.col("bytes") < limit)
+        rows.where(mine).select(value).write.mode("append").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records).text(folder)
+        least = limit
 
 
 class Source:
@@ -78,6 +84,7 @@ class Source:
 
     def __init__(self, held: bytearray | memoryview, pieces: Iterator[bytes] | None = None) -> None:
         self.held, self.pieces, self.before, self.ended = held, pieces, 0, pieces is None
+        self.known: dict[re.Pattern, int] = {}  # where a mark was last found; nothing lies between its search and it
 
     def reach(self, end: int) -> bool:
         """Whether there are bytes up to `end`; reads on as far as needed."""
@@ -97,13 +104,18 @@ class Source:
         return bytes(self.held[start - self.before : stop - self.before])
 
     def find(self, what: re.Pattern, start: int, size: int) -> int:
-        """Where `what` (of `size` bytes) first occurs at or after start, or -1."""
+        """Where `what` (of `size` bytes) first occurs at or after start, or -1; starts never fall."""
+        last = self.known.get(what)
+        if last is not None and (last == -1 or last >= start):
+            return last
         at = start
         while True:
             if found := what.search(self.held, at - self.before):
-                return self.before + found.start()
+                self.known[what] = self.before + found.start()
+                return self.known[what]
             at = max(start, self.end() - size + 1)
             if not self.reach(self.end() + 1):
+                self.known[what] = -1
                 return -1
 
     def drop(self, upto: int) -> None:

@@ -415,3 +415,24 @@ def test_warc_headers_of_any_length(spark, tmp_path):
     warc.write(pages, f"file://{tmp_path}/warc")
     found = sorted(warc.read(spark, f"file://{tmp_path}/warc").collect(), key=lambda r: r["record_id"])
     assert [(r["kind"], r["record_type"], r["target_uri"]) for r in found] == [("record", "response", url), ("record", "revisit", url), ("record", "response", "http://h.org/")]
+
+
+def test_salvage_time_grows_in_proportion():
+    import time
+
+    def took(n):
+        data = b"\x1f\x8b\x08junk" * n + b"WARC/1.0\r\nx" * n
+        began = time.perf_counter()
+        found = list(warc.salvage(data))
+        assert [(x["kind"], x["length"]) for x in found] == [("gap", len(data))]
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(20_000) < 8 * took(5_000) + 0.5
+
+
+def test_large_pages_have_files_of_their_own(spark, tmp_path):
+    pages = spark.createDataFrame([(k, "http://h.org/", "x" * size) for k, size in enumerate([10, 10, 200, 300, 5000, 6000])], "page_id long, url string, html string").coalesce(1)
+    warc.write(pages, f"file://{tmp_path}/warc", size_classes=((100, 500), (1000, 1), (None, 1)))
+    files = [p for p in Path(tmp_path, "warc").glob("part-*") if p.stat().st_size]
+    assert len(files) == 5 and sorted(r["payload_bytes"] for r in warc.read(spark, f"file://{tmp_path}/warc").collect()) == [10, 10, 200, 300, 5000, 6000]
