@@ -7,8 +7,9 @@ item, is a hit. Spans of hits are cut from a document; a document whose hit shar
 `max_coverage` goes whole.
 
 The automaton is broadcast, so its size is bounded: items are dealt by hash into blocks of about
-`BLOCK_WORDS` words. One block is the common case and needs no shuffle. With more blocks every
-block scans the documents and the hits are united per document.
+`BLOCK_WORDS` words, and up to `BLOCKS_AT_ONCE` blocks are sent together: their hits are united where the
+documents are read, in one scan without a shuffle. Beyond that, every such group of blocks scans the documents
+and the hits are united per document.
 
 Null and empty texts have no words and no hits. Items without words match nothing. An empty
 benchmark leaves all documents clean. Repeated rows each get their own result. Extra columns pass
@@ -19,11 +20,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +35,8 @@ from marlstone.session import bounded, ship, stored
 WINDOW = 10
 #: Words of items in one automaton: at most some 100 MB in a Python worker.
 BLOCK_WORDS = 100_000
+#: Blocks whose automata a task holds at a time, so a benchmark of ten blocks needs one scan of the documents.
+BLOCKS_AT_ONCE = 10
 #: A document with a larger share of hit words goes whole.
 MAX_COVERAGE = 0.5
 _SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -178,8 +182,24 @@ def digest(names: set[str]) -> str:
     return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
 
 
+def all_hits(blocks: list, w: tb.Words) -> tuple[np.ndarray, dict[int, set[str]]]:
+    """Which words any block's items hit, and the names of the items of all blocks by row."""
+    hit, items = np.zeros(len(w.start), bool), {}
+    for block in blocks:
+        own, names = hits(block, w)
+        hit |= own
+        for row, found in names.items():
+            items.setdefault(row, set()).update(found)
+    return hit, items
+
+
+def shared_groups(spark: SparkSession, benchmark: DataFrame, window: int, block_words: int, blocks_at_once: int) -> list[Broadcast]:
+    """Broadcasts of so many blocks' automata at a time: the documents are scanned once for each."""
+    return [spark.sparkContext.broadcast(list(group)) for group in batched(automata(benchmark, window, block_words), blocks_at_once)]
+
+
 def scans(docs: DataFrame, shared: list[Broadcast]) -> list[DataFrame]:
-    """Of each block per document: doc_id, n_words, hit spans of words, the sorted names of the items that occur and a hash of the text."""
+    """Of each group of blocks per document: doc_id, n_words, hit spans of words, the sorted names of the items that occur and a hash of the text."""
     schema = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>, text_key long"
     arrow = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string())), ("text_key", pa.int64())])
 
@@ -188,7 +208,7 @@ def scans(docs: DataFrame, shared: list[Broadcast]) -> list[DataFrame]:
             for batch in batches:
                 for part in tb.slices(batch):
                     w = tb.words(part.column("text"), tb.ALNUM, lower=True)
-                    hit, items = hits(shared.value, w)
+                    hit, items = all_hits(shared.value, w)
                     spans = [[] for _ in range(part.num_rows)]
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
                     for a, b in zip(edge[::2], edge[1::2], strict=True):
@@ -205,11 +225,11 @@ def scans(docs: DataFrame, shared: list[Broadcast]) -> list[DataFrame]:
     return [source.mapInArrow(scan(one), schema) for one in shared]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, blocks_at_once: int = BLOCKS_AT_ONCE) -> DataFrame:
     """Per document: doc_id, n_words, hit spans of words and the sorted names of the items that occur."""
     spark = docs.sparkSession
     ship(spark)
-    found = scans(docs, [spark.sparkContext.broadcast(a) for a in automata(benchmark, window, block_words)])
+    found = scans(docs, shared_groups(spark, benchmark, window, block_words, blocks_at_once))
     if len(found) == 1:
         return found[0].drop("text_key")
     united = found[0]
@@ -242,16 +262,16 @@ def cut(text: bytes, start: np.ndarray, end: np.ndarray) -> str:
     return b"".join([*kept, text[a:]]).decode()
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, block_words: int = BLOCK_WORDS, blocks_at_once: int = BLOCKS_AT_ONCE) -> DataFrame:
     """The documents without hit spans; those over max_coverage are dropped. Same columns as docs.
 
-    A span is cut from its first word to its last. With one block of items no shuffle is needed.
-    With more, each block scans the uncut texts; a document's spans of all blocks are united, then
+    A span is cut from its first word to its last. Up to `blocks_at_once` blocks of items need one scan and no shuffle.
+    With more, each group of blocks scans the uncut texts; a document's spans of all groups are united, then
     cut and measured once, so the result doesn't depend on how items are dealt into blocks.
     """
     spark = docs.sparkSession
     ship(spark)
-    shared = [spark.sparkContext.broadcast(a) for a in automata(benchmark, window, block_words)]
+    shared = shared_groups(spark, benchmark, window, block_words, blocks_at_once)
     if len(shared) > 1:
         return _clean_blocks(docs, shared, max_coverage)
     at = docs.columns.index("text")
@@ -260,7 +280,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_cover
         for batch in batches:
             for part in tb.slices(batch):
                 w = tb.words(part.column("text"), tb.ALNUM, lower=True)
-                hit, items = hits(shared[0].value, w)
+                hit, items = all_hits(shared[0].value, w)
                 if not items:
                     yield part
                     continue

@@ -393,8 +393,8 @@ def test_decontamination_does_not_depend_on_blocks(spark):
     want = decontamination.clean(table, benchmark)
     rows = sorted(map(repr, want.collect()))
     assert len(rows) == 7  # of nine, the second and the last are over the limit
-    for block_words in (15, 20, 40):
-        found = decontamination.clean(table, benchmark, block_words=block_words)
+    for block_words, at_once in ((15, 1), (20, 2), (20, 10), (40, 10)):
+        found = decontamination.clean(table, benchmark, block_words=block_words, blocks_at_once=at_once)
         assert found.columns == table.columns and sorted(map(repr, found.collect())) == rows
 
 
