@@ -35,6 +35,8 @@ from marlstone.session import bounded, ship, stored
 WINDOW = 10
 #: Words of items in one automaton: at most some 100 MB in a Python worker.
 BLOCK_WORDS = 100_000
+#: Text bytes that are searched at a time.
+SLICE = 1 << 18
 #: Blocks whose automata a task holds at a time, so a benchmark of ten blocks needs one scan of the documents.
 BLOCKS_AT_ONCE = 10
 #: A document with a larger share of hit words goes whole.
@@ -206,7 +208,7 @@ def scans(docs: DataFrame, shared: list[Broadcast]) -> list[DataFrame]:
     def scan(shared):
         def run(batches):
             for batch in batches:
-                for part in tb.slices(batch):
+                for part in tb.slices(batch, most=SLICE):
                     w = tb.words(part.column("text"), tb.ALNUM, lower=True)
                     hit, items = all_hits(shared.value, w)
                     spans = [[] for _ in range(part.num_rows)]
@@ -278,7 +280,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_cover
 
     def run(batches):
         for batch in batches:
-            for part in tb.slices(batch):
+            for part in tb.slices(batch, most=SLICE):
                 w = tb.words(part.column("text"), tb.ALNUM, lower=True)
                 hit, items = all_hits(shared[0].value, w)
                 if not items:
@@ -310,7 +312,7 @@ def _clean_blocks(docs: DataFrame, shared: list[Broadcast], max_coverage: float)
 
     def run(batches):
         for batch in batches:
-            for part in tb.slices(batch):
+            for part in tb.slices(batch, most=SLICE):
                 w = tb.words(part.column("text"), tb.ALNUM, lower=True, hashed=False)
                 plain, bounds = tb.raw(part.column("text"))
                 texts, spans = part.column("text").to_pylist(), part.column("_spans").to_pylist()

@@ -32,6 +32,8 @@ from marlstone.session import ship, table
 
 WINDOW = 1024
 SHARD_TOKENS = 600_000
+#: Text bytes that are encoded at a time.
+SLICE = 1 << 18
 VOCABULARY, END = "byte_bpe_50k.json", 0
 K1, B = 1.2, 0.75
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -114,9 +116,10 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, window
 
     def run(batches):
         number = TaskContext.get().partitionId() << 32
+        tb.give_back()  # what an earlier stage left in this worker
         parts, size = [], 0
         for batch in batches:
-            for part in tb.slices(batch, most=1 << 20):
+            for part in tb.slices(batch, most=SLICE):
                 ids, lengths = tk.with_end(*tk.encoder(vocabulary).encode(part.column("text")), end)
                 parts.append((ids, lengths, part.column("doc_id")))
                 size += len(ids)
