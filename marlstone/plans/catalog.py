@@ -293,12 +293,21 @@ def nfc_text(spark, d):
     return table(spark, d, "documents").select("doc_id", text.nfc("text").alias("text"))
 
 
-@query()
+@query(r"""
+WITH a AS (
+  SELECT page_id, regexp_extract(url, '^https?://[^/?#]+') AS root, regexp_extract_all(html, '<a href="([^"]*)">', 1) AS h, regexp_extract_all(html, '(?s)<a href="[^"]*">(.*?)</a>', 1) AS t FROM pages),
+e AS (SELECT page_id, root || h[i] AS link, CAST(i - 1 AS BIGINT) AS position, replace(t[i], '&amp;', '&') AS title FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM a))
+SELECT page_id, link, min(position) AS position, arg_min(title, position) AS title FROM e GROUP BY page_id, link""")
 def page_links(spark, d):
     return pages.page_links(table(spark, d, "pages"))
 
 
-@query()
+@query(r"""
+WITH t AS (
+  SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)^.*?</head>', ''), '(?s)<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)>', '', 'g'), '</?(?:h1|p|br|ul|li|div|article|footer)\b[^>]*>', ' ', 'g') AS b FROM pages),
+u AS (SELECT page_id, replace(replace(replace(replace(regexp_replace(b, '<[^>]*>', '', 'g'), '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&') AS b FROM t),
+w AS (SELECT page_id, trim(regexp_replace(nfc_normalize(b), '\s+', ' ', 'g')) AS text FROM u)
+SELECT page_id, text, sha256(text) AS content_hash, CAST(NULL AS VARCHAR) AS problem FROM w""")
 def page_fingerprints(spark, d):
     return pages.page_fingerprints(table(spark, d, "pages"))
 
