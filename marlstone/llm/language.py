@@ -39,15 +39,23 @@ class Languages:
 
 
 def grams(w: tb.Words) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of all 4-grams of the words and the number of them before each word."""
-    data = np.concatenate([[32], np.where(_LETTERS[w.data], w.data, 32), [32] * 4]).astype(np.uint64)
+    """Cells of all 4-grams of the words and the number of them before each word.
+
+    A word has a space at either end, whatever stands beside it in its row or in the next one.
+    """
+    row = np.repeat(np.arange(len(w.bounds) - 1), np.diff(w.bounds))
+    data = np.full(len(w.data) + len(w.bounds) + 4, 32, np.uint64)
+    data[np.arange(len(w.data)) + row + 1] = np.where(_LETTERS[w.data], w.data, 32)  # a space before each row
     sizes = np.maximum(w.end - w.start - 1, 1)
-    at = tb.ranges(w.start, sizes)  # data is one to the right, so this is the byte before the word
+    at = tb.ranges(w.start + w.doc, sizes)  # the byte before the word
     gram = data[at]
     for k in (1, 2, 3):
         gram = gram << np.uint64(8) | data[at + k]
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    single = before[:-1][w.end - w.start == 1]
+    gram[single] = gram[single] & ~np.uint64(0xFF) | np.uint64(32)  # the fourth byte would be the next word's
     cell = (gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)
-    return cell.astype(np.int64), np.concatenate([[0], np.cumsum(sizes)])
+    return cell.astype(np.int64), before
 
 
 def held_out():
