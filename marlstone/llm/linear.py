@@ -74,14 +74,18 @@ class Sample:
     first: np.ndarray
 
     @classmethod
-    def of(cls, texts: dict[int, bytes]) -> Sample:
-        """From int32 features of each text, by ascending key; the texts are taken out of the dictionary."""
-        keys = sorted(texts)
-        first = np.concatenate([[0], np.cumsum([len(texts[k]) // 4 for k in keys], dtype=np.int64)]).astype(np.int64)
-        feature = np.empty(first[-1], np.int32)
-        for k, at in zip(keys, first, strict=False):
-            one = np.frombuffer(texts.pop(k), np.int32)
-            feature[at : at + len(one)] = one
+    def gathered(cls, flat: np.ndarray, spans: list[tuple[int, int]], least: int) -> Sample:
+        """From int32 features of texts in any order and where those of each text lie; only features that `least` texts have."""
+        counts = np.zeros(DIMS, np.int64)
+        for at in range(0, len(flat), PRESENCES):
+            counts += np.bincount(flat[at : at + PRESENCES], minlength=DIMS)
+        often = counts >= least
+        feature, first = np.empty(int(counts[often].sum()), np.int32), np.zeros(len(spans) + 1, np.int64)
+        for k, (begin, end) in enumerate(spans):
+            one = flat[begin:end]
+            one = one[often[one]]
+            first[k + 1] = first[k] + len(one)
+            feature[first[k] : first[k + 1]] = one
         return cls(feature, first)
 
     def __len__(self) -> int:
@@ -104,12 +108,16 @@ class Sample:
 
     def only(self, kept: np.ndarray) -> Sample:
         """With the features alone that kept holds for, by number."""
-        sizes, parts = np.zeros(len(self), np.int64), [np.zeros(0, np.int32)]
+        sizes = np.zeros(len(self), np.int64)
         for row, feature in self.slices():
-            stay = kept[feature]
-            sizes += np.bincount(row[stay], minlength=len(self))
-            parts.append(feature[stay])
-        return Sample(np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
+            sizes += np.bincount(row[kept[feature]], minlength=len(self))
+        first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        left, at = np.empty(first[-1], np.int32), 0
+        for _, feature in self.slices():
+            stay = feature[kept[feature]]
+            left[at : at + len(stay)] = stay
+            at += len(stay)
+        return Sample(left, first)
 
     def margins(self, weights: np.ndarray) -> np.ndarray:
         """The sum of the features' weights for each text."""

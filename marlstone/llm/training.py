@@ -51,16 +51,20 @@ def train(docs: DataFrame, chosen: DataFrame, names: Sequence[str], lower: bool,
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[part.column(n) for n in names], pa.array(kept, pa.binary())], names=["doc_id", *names, "features"])
 
     def fit(batches):
-        texts, labels = {}, {}
+        tb.give_back()  # what an earlier stage left in this worker
+        flat, spans, labels = bytearray(), {}, {}
         for batch in batches:
             for x in batch.to_pylist():
-                if x["doc_id"] not in texts:
-                    texts[x["doc_id"]], labels[x["doc_id"]] = x["features"], [x[n] for n in names]
-        keys = sorted(texts)
+                if x["doc_id"] not in spans:
+                    at = len(flat) // 4
+                    flat += x["features"]
+                    spans[x["doc_id"]], labels[x["doc_id"]] = (at, len(flat) // 4), [x[n] for n in names]
+        keys = sorted(spans)
         fold = tb.mix(np.array(keys, np.int64).view(np.uint64)) % np.uint64(3)
         y = np.array([labels[k] for k in keys], float).reshape(len(keys), len(names))
-        held = linear.Sample.of(texts)
-        held = held.only(held.counts(np.ones(len(keys))) >= linear.LEAST_TEXTS)  # others can't get a weight
+        held = linear.Sample.gathered(np.frombuffer(flat, np.int32), [spans[k] for k in keys], linear.LEAST_TEXTS)  # rarer ones can't get a weight
+        del flat
+        tb.give_back()
         model = learn(held, {n: y[:, k] for k, n in enumerate(names)}, fold.astype(int))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
