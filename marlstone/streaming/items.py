@@ -69,17 +69,18 @@ def decide(events: DataFrame, stale_after: int = STALE_AFTER) -> DataFrame:
             kind, old = overdue(old)
             made.append((*key, None, kind, old[2]))
         else:
-            for row in pd.concat(list(frames)).sort_values("seq", kind="stable").itertuples(index=False):
-                if row.event == REPORTED:
-                    kind, old = reported(old, None if pd.isna(row.content_hash) else row.content_hash)
-                    made.append((*key, row.seq, kind, old[2]))
+            rows = (row for frame in frames for row in zip(frame["seq"].tolist(), frame["event"].tolist(), frame["content_hash"].tolist(), strict=True))
+            for seq, event, content_hash in sorted(rows, key=lambda row: row[0]):
+                if event == REPORTED:
+                    kind, old = reported(old, None if pd.isna(content_hash) else content_hash)
+                    made.append((*key, seq, kind, old[2]))
                 else:
-                    old = finished(old, row.event)
+                    old = finished(old, event)
         if old is not None:
             state.update(old)
             if old[3]:
                 state.setTimeoutDuration(stale_after)
-        yield pd.DataFrame(made, columns=["job_id", "url_hash", "seq", "kind", "attempts"]).astype({"job_id": "Int64", "seq": "Int64", "attempts": "Int64"})
+        yield pd.DataFrame(made, columns=["job_id", "url_hash", "seq", "kind", "attempts"], dtype=object)
 
     rows = events.select("job_id", "url_hash", "seq", "event", "content_hash")
     return rows.groupBy("job_id", "url_hash").applyInPandasWithState(step, DECISIONS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
