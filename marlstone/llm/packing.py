@@ -33,7 +33,7 @@ from marlstone.session import ship, table
 WINDOW = 1024
 SHARD_TOKENS = 600_000
 #: Text bytes that are encoded at a time.
-SLICE = 1 << 18
+SLICE = 1 << 19
 VOCABULARY, END = "byte_bpe_50k.json", 0
 K1, B = 1.2, 0.75
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
