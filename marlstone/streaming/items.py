@@ -1,15 +1,17 @@
 """Items as a stream: the state of each (job_id, url_hash) decides what a report of it means.
 
-Events are reports of candidates and outcomes of items. Spark keeps one small value for each key in its state
-store, so an event reads and writes its own key's state only and the state holds each key once, however many batches
-there were. A key is taken by the decision that selects it; if no outcome comes within `stale_after`, a
-processing-time timer gives it another attempt, or gives it up after `MOST_ATTEMPTS`. Checkpoint and
-decisions lie in the shared folder: a stream that is started again goes on where it stopped, and a
-batch that is tried again writes its decisions once.
+Events are reports of candidates and outcomes of items. Keys are dealt by hash into `BUCKETS` buckets; Spark keeps the
+state of a bucket's keys as one value in its state store, each key once, however many batches there were. So Python is
+called once for a bucket and batch, not for each key, and a batch reads and writes the buckets of its events only. A key
+is taken by the decision that selects it; if no outcome comes within `stale_after`, a processing-time timer, the
+earliest of its bucket, gives it another attempt, or gives it up after `MOST_ATTEMPTS`. Checkpoint and decisions lie in
+the shared folder: a stream that is started again goes on where it stopped, and a batch that is tried again writes its
+decisions once.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,9 +24,14 @@ from marlstone.operators.runs import MOST_ATTEMPTS
 from marlstone.session import ship
 
 STALE_AFTER = 3_600_000
+#: A call of Python takes some milliseconds, so a full batch pays for so many calls at most, whatever its size.
+BUCKETS = 4_096
 REPORTED = "reported"
 EVENTS = "job_id long, url_hash string, seq long, event string, content_hash string"
-STATE = "content_hash string, status string, attempts long, taken boolean"
+#: A bucket's keys as JSON: job_id, url_hash, content_hash, status, attempts, taken, and when its timer runs out.
+STATE = "items string"
+#: Python sees numbers as texts: in a frame, a column of them with nulls would lose digits.
+TEXTS = ("job_id", "url_hash", "seq", "event", "content_hash")
 DECISIONS = "job_id long, url_hash string, seq long, kind string, attempts long"
 
 
@@ -54,44 +61,54 @@ def overdue(old: tuple) -> tuple[str, tuple]:
     return "given_up", (known, "failed", attempts, False)
 
 
-def decide(events: DataFrame, stale_after: int = STALE_AFTER) -> DataFrame:
+def decide(events: DataFrame, stale_after: int = STALE_AFTER, buckets: int = BUCKETS) -> DataFrame:
     """Decisions of a stream of events, one for each report and for each timer that ran out.
 
-    Events of a key count in the order of seq within a batch. Null hashes are unknown; a null key part is a key.
-    Further columns aren't read.
+    Events of a key count in the order of seq within a batch, those without one first. Null hashes are unknown; a null
+    key part is a key. Further columns aren't read. A stream must keep the number of buckets that it began with.
     """
     ship(events.sparkSession)
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old = tuple(state.get) if state.exists else None
-        made = []
-        if state.hasTimedOut:
-            kind, old = overdue(old)
-            made.append((*key, None, kind, old[2]))
-        else:
-            rows = (row for frame in frames for row in zip(frame["seq"].tolist(), frame["event"].tolist(), frame["content_hash"].tolist(), strict=True))
-            for seq, event, content_hash in sorted(rows, key=lambda row: row[0]):
-                if event == REPORTED:
-                    kind, old = reported(old, None if pd.isna(content_hash) else content_hash)
-                    made.append((*key, seq, kind, old[2]))
-                else:
-                    old = finished(old, event)
-        if old is not None:
-            state.update(old)
-            if old[3]:
-                state.setTimeoutDuration(stale_after)
+    def step(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentProcessingTimeMs()
+        known = {(job, url): (tuple(old), due) for job, url, *old, due in json.loads(state.get[0])} if state.exists else {}
+        rows = [] if state.hasTimedOut else [row for frame in frames for row in zip(*(frame[c].tolist() for c in TEXTS), strict=True)]
+        made, touched = [], {}
+        for job, url, seq, event, content_hash in sorted(((*r[:2], None if r[2] is None else int(r[2]), *r[3:]) for r in rows), key=lambda r: (r[2] is not None, r[2])):
+            key = job, url
+            old = touched[key] if key in touched else known.get(key, (None,))[0]
+            if event == REPORTED:
+                kind, old = reported(old, content_hash)
+                made.append((job, url, seq, kind, old[2]))
+            else:
+                old = finished(old, event)
+            touched[key] = old
+        for (job, url), (old, due) in known.items():
+            if due is not None and due <= now and (job, url) not in touched:
+                kind, old = overdue(old)
+                made.append((job, url, None, kind, old[2]))
+                touched[job, url] = old
+        known |= {key: (old, now + stale_after if old[3] else None) for key, old in touched.items() if old is not None}
+        if known:
+            if touched:
+                state.update((json.dumps([(*key, *old, due) for key, (old, due) in known.items()]),))
+            timers = [due for _, due in known.values() if due is not None]
+            if timers:
+                state.setTimeoutDuration(max(1, min(timers) - now))
+        made = [(None if job is None else int(job), *rest) for job, *rest in made]
         yield pd.DataFrame(made, columns=["job_id", "url_hash", "seq", "kind", "attempts"], dtype=object)
 
-    rows = events.select("job_id", "url_hash", "seq", "event", "content_hash")
-    return rows.groupBy("job_id", "url_hash").applyInPandasWithState(step, DECISIONS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    key = [F.col("job_id").cast("string").alias("job_id"), "url_hash"]
+    rows = events.select(F.pmod(F.xxhash64("job_id", "url_hash"), F.lit(buckets)).alias("bucket"), *key, F.col("seq").cast("string").alias("seq"), "event", "content_hash")
+    return rows.groupBy("bucket").applyInPandasWithState(step, DECISIONS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def follow(events: DataFrame, folder: str, stale_after: int = STALE_AFTER, every: str | None = None) -> StreamingQuery:
+def follow(events: DataFrame, folder: str, stale_after: int = STALE_AFTER, every: str | None = None, buckets: int = BUCKETS) -> StreamingQuery:
     """Decide a stream of events (EVENTS) into folder/decisions: what it holds now, or on with a batch `every` so often.
 
     Timers run out in batches: with `every` at any time, else together with the next events.
     """
-    writer = decide(events, stale_after).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/progress")
+    writer = decide(events, stale_after, buckets).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/progress")
     if every is not None:
         return writer.trigger(processingTime=every).start(f"{folder}/decisions")
     conf, name = events.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"

@@ -73,6 +73,18 @@ def test_timers_give_another_attempt_and_then_give_up(spark):
     assert found == [("u", 1, "new"), ("u", 2, "retryable"), ("u", 3, "given_up"), ("u", 3, "retryable"), ("v", 1, "new")]
 
 
+def test_state_and_calls_are_as_many_as_buckets(spark):
+    folder, jobs = shared_folder(spark), [1, None, 2**53 + 1]
+    for batch in range(2):
+        rows = [(job, f"u{n}", 2**53 + 1 + n, stream.REPORTED, "ab"[batch]) for job in jobs for n in range(40)]
+        spark.createDataFrame(rows, stream.EVENTS).write.mode("append").parquet(f"{folder}/events")
+        query = stream.follow(spark.readStream.schema(stream.EVENTS).parquet(f"{folder}/events"), folder, buckets=5)
+        query.awaitTermination()
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 5
+    want = [(job, f"u{n}", 2**53 + 1 + n, kind, 1) for job in jobs for n in range(40) for kind in ("new", "changed")]
+    assert sorted(map(tuple, stream.decisions(spark, folder).collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_archive_is_never_overwritten(spark, tmp_path):
     folder = f"file://{tmp_path}/archive"
     assert archive.archived(spark, folder) is None
