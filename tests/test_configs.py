@@ -50,3 +50,17 @@ def test_registry_files(spark):
     assert sorted(p for (p, m), r in found.items() if m is None) == ["/models.d/f.yaml", "/models.d/g.yaml", "/models.d/i.yaml"]
     twice = files.where("path LIKE '%/a.yaml'").union(files.where("path LIKE '%/a.yaml'").withColumn("path", F.lit("/models.d/z/a.yaml")))
     assert all("also defined" in r["problem"] for r in configs.models(twice).collect())
+
+
+def test_texts_are_parsed_once_by_many_tasks_and_verdicts_are_pyyamls(spark, monkeypatch):
+    import yaml
+
+    texts = ["a: 1", "a: &x 1\nb: &x 2\nc: *x", "a: b: c", "{a: [1, 2", "a: *gone", "a: \t1", "- \x07", "[" * 1500, ""]
+    fast = [configs.parsed(t) for t in texts]
+    monkeypatch.delattr(yaml, "CBaseLoader", raising=False)
+    assert fast == [configs.parsed(t) for t in texts]
+    files = spark.range(0, 400, 1, 1).selectExpr("concat('/m/n', id, '.yaml') AS path", "concat('schema_version: 1\nprovider: n', id, '\nmodels: {m', id, ': {input_price_per_mtok: 1, output_price_per_mtok: 2, context_window: 3}}') AS text")
+    made = configs.models(files)
+    assert made.where("problem IS NULL").count() == 400
+    assert "Python" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert configs.spread(files).select(F.spark_partition_id()).distinct().count() > 4
