@@ -2,10 +2,12 @@
 
 import gzip
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from marlstone.operators import answers, items, scoring
+from marlstone.session import ARROW_BYTES, ARROW_SETTING, ship
 from marlstone.sources import files, listings
 
 GOOD = '{"score": 0.5, "reason": "r", "key_points": ["p"]}'
@@ -102,3 +104,20 @@ def test_keyword_hits_fold_and_keep_their_order(spark):
     got = [r[0] for r in frame.select(items.keyword_hits(F.col("t"), any_=["straße", "Strasse", "x"], all_=[" und "], exclude=["cafe\u0301"])).collect()]
     assert got == [["straße", "und", "cafe\u0301"], [], []]
     assert frame.select(items.keyword_hits(F.col("t"))).first()[0] == []
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """A session that sets nothing gets the bound too: 40 MB of texts don't come as one batch."""
+    before = spark.conf.get(ARROW_SETTING, None)
+    spark.conf.unset(ARROW_SETTING)
+    try:
+        ship(spark)
+        rows = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
+        sizes = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+        assert sum(r["n"] for r in sizes) >= 40_000_000
+        assert max(r["n"] for r in sizes) < 2 * ARROW_BYTES
+        spark.conf.set(ARROW_SETTING, "1000000")
+        ship(spark)
+        assert spark.conf.get(ARROW_SETTING) == "1000000"  # a bound of the session's own stays
+    finally:
+        spark.conf.unset(ARROW_SETTING) if before is None else spark.conf.set(ARROW_SETTING, before)
