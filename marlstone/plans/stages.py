@@ -15,11 +15,12 @@ NOW = "2024-01-20 12:00:00"
 
 def _length_score(name: str):
     """A scorer for want of a model: the score is the request's length mod 101; some requests meet trouble, by the number they begin with."""
-    asked: dict[str, int] = {}
+    last: list = [None, -1]  # the last request and its turn: a request's tries follow one another
 
     def scorer(purpose: str, content: str) -> scoring.Reply:
         key = int(content.partition("\n")[0])
-        turn = asked[content] = asked.get(content, -1) + 1
+        last[:] = content, last[1] + 1 if content == last[0] else 0
+        turn = last[1]
         if name == "main" and key % 11 == 0:
             raise RuntimeError("out of order")
         repaired = content.endswith("alone.")

@@ -1,12 +1,14 @@
 """Scorers, source files and feeds on odd input."""
 
 import gzip
+import tracemalloc
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from marlstone.operators import answers, items, scoring
+from marlstone.plans import stages
 from marlstone.session import ARROW_BYTES, ARROW_SETTING, ship
 from marlstone.sources import files, listings
 
@@ -121,3 +123,23 @@ def test_batches_are_bounded_by_bytes(spark):
         assert spark.conf.get(ARROW_SETTING) == "1000000"  # a bound of the session's own stays
     finally:
         spark.conf.unset(ARROW_SETTING) if before is None else spark.conf.set(ARROW_SETTING, before)
+
+
+def test_stand_in_scorer_keeps_one_request():
+    """Its memory doesn't grow with the requests of a task."""
+    scorer = stages._length_score("spare").scorer
+    tracemalloc.start()
+    for key in range(1, 200):
+        scorer("relevance", f"{key}\n{'x' * 100_000}{key}")
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 2_000_000
+
+
+def test_stand_in_scorer_counts_tries():
+    scorer = stages._length_score("main").scorer
+    for content in ("7\na", "14\nb", "7\na"):
+        for _ in range(2):
+            with pytest.raises(scoring.Passing):
+                scorer("relevance", content)
+        assert scorer("relevance", content).output_tokens == 2
