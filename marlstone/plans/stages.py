@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import text
 from marlstone.operators import answers, archive, items, lifecycle, runs, scoring, statistics
 from marlstone.plans.registry import query
-from marlstone.session import shared_folder, ship, table
+from marlstone.session import shared_folder, ship, stored, table
 from marlstone.sources import discovery, files, listings, pages
 
 NOW = "2024-01-20 12:00:00"
@@ -82,8 +82,10 @@ def sitemap_files(spark, d):
     whole = F.lit("<urlset><url><loc>/a</loc></url></urlset>")
     body = F.when(key % 3 == 0, whole).when(key % 3 == 1, F.left(whole, F.lit(30))).otherwise(F.col("html"))
     rows = table(spark, d, "pages").select(key, F.regexp_replace(body, r"[\r\n]", " ").alias("value"))
-    rows.write.partitionBy("page_id").option("compression", "gzip").text(folder)
-    read = files.sitemaps(files.bodies(spark, folder), F.lit("http://h.org/"))
+    dealt = rows.repartition(4 * spark.sparkContext.defaultParallelism, "page_id")  # so many small files are written by all tasks
+    # Tasks move their own files into place: the driver would rename one after another.
+    dealt.write.partitionBy("page_id").option("compression", "gzip").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(folder)
+    read = files.sitemaps(stored(files.bodies(spark, folder)), F.lit("http://h.org/"))  # both sides below read it: files are opened once
     found = read.rows.select("path", "link", F.lit(None).cast("string").alias("message")).unionByName(read.problems.select("path", F.lit(None).cast("string").alias("link"), "message"))
     return found.select(F.regexp_extract("path", r"page_id=(\d+)", 1).cast("long").alias("page_id"), "link", "message")
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.operators import answers, items, scoring
-from marlstone.plans import stages
+from marlstone.plans import catalog, stages
 from marlstone.session import ARROW_BYTES, ARROW_SETTING, ship
 from marlstone.sources import files, listings
 
@@ -143,3 +143,15 @@ def test_stand_in_scorer_counts_tries():
             with pytest.raises(scoring.Passing):
                 scorer("relevance", content)
         assert scorer("relevance", content).output_tokens == 2
+
+
+def test_sitemap_files_are_opened_once(spark):
+    """Entries and problems come from the stored bodies, not each from the files again; the rows are those of the SQL."""
+    folder = "/root/testdata/sf0.001"
+    found = stages.sitemap_files(spark, folder)
+    assert "binaryfile" not in found._jdf.queryExecution().toString().lower()
+    duckdb = pytest.importorskip("duckdb")
+    with duckdb.connect() as base:
+        base.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet'")
+        want = base.execute(catalog.oracle_sql()["sitemap_files"]).fetchall()
+    assert sorted(map(tuple, found.collect())) == sorted(want)
