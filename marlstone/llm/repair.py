@@ -48,6 +48,23 @@ class Grammar:
     symbols_of_doc: np.ndarray
 
 
+def frequent(key: np.ndarray, cell: np.ndarray, times: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of all pairs that occur at least a quarter as often as the most frequent, their pairs, which each is, and counts.
+
+    A pair's cell counts it at least as often. So only cells of enough occurrences are sorted: as the fullest
+    cell may hold many pairs, those of a quarter of it show a frequency, and it shows whether more are needed.
+    """
+    inside = ~last[:-1]
+    least = max(LEAST_COUNT, int(times[1:].max(initial=0)) // 4)
+    while True:
+        often = np.flatnonzero((times >= least)[cell] & inside)
+        pairs, which, n = np.unique(key[often], return_inverse=True, return_counts=True)
+        enough = max(LEAST_COUNT, int(n.max(initial=0)) // 4)
+        if enough >= least:
+            return often, pairs, which, n
+        least = enough
+
+
 def compress(ids: np.ndarray, lengths: np.ndarray) -> Grammar:
     """The grammar of one shard; lengths are the documents' token counts."""
     symbols = ids.astype(np.int64)
@@ -61,8 +78,7 @@ def compress(ids: np.ndarray, lengths: np.ndarray) -> Grammar:
         cell = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _CELLS)).astype(np.int64)
         cell[last[:-1]] = 0  # counted together and never replaced
         times = np.bincount(cell, minlength=1 << _CELLS)
-        often = np.flatnonzero((times >= LEAST_COUNT)[cell] & ~last[:-1])
-        pairs, which, n = np.unique(key[often], return_inverse=True, return_counts=True)
+        often, pairs, which, n = frequent(key, cell, times, last)
         if not len(pairs) or n.max() < LEAST_COUNT:
             break
         chosen = n >= max(LEAST_COUNT, n.max() // 4)

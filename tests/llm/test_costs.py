@@ -1,13 +1,14 @@
 """What the operators' steps take: calls, sorted rows and memory, on small inputs."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from test_operators import library
 
-from marlstone.llm import tokens
+from marlstone.llm import repair, tokens
 
 
 class Counting:
@@ -51,3 +52,19 @@ def test_a_text_of_more_parts_than_are_remembered(monkeypatch):
     encoder = tokens.Encoder(tokens.encoder("byte_bpe_50k.json").file)
     for text in texts:
         assert encoder.encode(pa.array([text]))[0].tolist() == library("byte_bpe_50k.json").encode(text, add_special_tokens=False).ids
+
+
+def test_compression_sorts_few_pairs(monkeypatch):
+    r = np.random.default_rng(4)
+    ids = np.minimum((r.pareto(1.0, 60_000) * 3).astype(np.uint32), 5000)
+    lengths = np.full(60, 1000)
+    sizes, unique = [], np.unique
+    monkeypatch.setattr(repair.np, "unique", lambda x, **options: sizes.append(len(x)) or unique(x, **options))
+    g = repair.compress(ids, lengths)
+    monkeypatch.undo()
+    assert (repair.expand(g.symbols, g) == ids).all() and len(g.left) > 100
+    pairs = [p for begin in range(0, 60_000, 1000) for p in zip(ids[begin : begin + 999].tolist(), ids[begin + 1 : begin + 1000].tolist(), strict=True)]
+    most = max(Counter(pairs).values())
+    first = {(a, b) for a, b in zip(g.left.tolist(), g.right.tolist(), strict=True) if max(a, b) < g.base}
+    assert {p for p, n in Counter(pairs).items() if n >= max(repair.LEAST_COUNT, most // 4)} <= first
+    assert sum(sizes) < len(ids)
