@@ -23,8 +23,8 @@ BITS = 20
 #: Characters in a run.
 GRAMS = (3, 5)
 DIMS = (1 + len(GRAMS)) << BITS
-#: Text bytes whose features are made at a time.
-SLICE = 1 << 20
+#: Text bytes whose features are made at a time; each takes some 200 bytes of memory meanwhile.
+SLICE = 1 << 18
 #: Presences that are summed up at a time.
 PRESENCES = 1 << 20
 #: Texts that must hold a feature for it to get a weight.
@@ -68,25 +68,29 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Sample:
-    """Distinct features of texts: those of text i are feature[first[i]:first[i + 1]]."""
+    """Distinct features of texts: those of text i are number[feature[first[i]:first[i + 1]]]; number ascends."""
 
     feature: np.ndarray
     first: np.ndarray
+    number: np.ndarray
 
     @classmethod
     def gathered(cls, flat: np.ndarray, spans: list[tuple[int, int]], least: int) -> Sample:
         """From int32 features of texts in any order and where those of each text lie; only features that `least` texts have."""
-        counts = np.zeros(DIMS, np.int64)
+        counts = np.zeros(DIMS, np.int32)
         for at in range(0, len(flat), PRESENCES):
             counts += np.bincount(flat[at : at + PRESENCES], minlength=DIMS)
-        often = counts >= least
-        feature, first = np.empty(int(counts[often].sum()), np.int32), np.zeros(len(spans) + 1, np.int64)
+        number = np.flatnonzero(counts >= least)
+        feature, first = np.empty(int(counts[number].sum()), np.int32), np.zeros(len(spans) + 1, np.int64)
+        place = counts  # no longer needed
+        place[:] = -1
+        place[number] = np.arange(len(number))
         for k, (begin, end) in enumerate(spans):
-            one = flat[begin:end]
-            one = one[often[one]]
+            one = place[flat[begin:end]]
+            one = one[one >= 0]
             first[k + 1] = first[k] + len(one)
             feature[first[k] : first[k + 1]] = one
-        return cls(feature, first)
+        return cls(feature, first, number)
 
     def __len__(self) -> int:
         return len(self.first) - 1
@@ -100,14 +104,14 @@ class Sample:
             at = to
 
     def counts(self, weight: np.ndarray) -> np.ndarray:
-        """The sum of the rows' weights for each feature."""
-        out = np.zeros(DIMS)
+        """The sum of the rows' weights for each of the sample's features."""
+        out = np.zeros(len(self.number))
         for row, feature in self.slices():
-            out += np.bincount(feature, weight[row], DIMS)
+            out += np.bincount(feature, weight[row], len(out))
         return out
 
     def only(self, kept: np.ndarray) -> Sample:
-        """With the features alone that kept holds for, by number."""
+        """With the features alone that kept holds for, as they were counted."""
         sizes = np.zeros(len(self), np.int64)
         for row, feature in self.slices():
             sizes += np.bincount(row[kept[feature]], minlength=len(self))
@@ -117,10 +121,12 @@ class Sample:
             stay = feature[kept[feature]]
             left[at : at + len(stay)] = stay
             at += len(stay)
-        return Sample(left, first)
+        return Sample(left, first, self.number)
 
-    def margins(self, weights: np.ndarray) -> np.ndarray:
-        """The sum of the features' weights for each text."""
+    def margins(self, model: Model) -> np.ndarray:
+        """The sum of the model's weights for each text."""
+        weights = np.zeros(len(self.number))
+        weights[np.searchsorted(self.number, model.index)] = model.values
         out = np.zeros(len(self))
         for row, feature in self.slices():
             out += np.bincount(row, weights[feature], len(self))
@@ -179,13 +185,6 @@ class Model:
     b: float = 0.0
     fitted: bool = False
 
-    @property
-    def weights(self) -> np.ndarray:
-        """Weights by feature number; large, so for training only."""
-        out = np.zeros(DIMS)
-        out[self.index] = self.values
-        return out
-
     @property
     def weighted(self) -> np.ndarray:
         """Whether a feature has a weight, by number: made once in each process, a byte each."""
@@ -218,12 +217,12 @@ def fit(sample: Sample, y: np.ndarray, extra: np.ndarray, used: np.ndarray | Non
     z = np.abs(c1 / ones - (c - c1) / (n - ones)) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / ones + 1 / (n - ones)))
     z[(c < LEAST_TEXTS) | (c == n)] = 0
     chosen = np.flatnonzero(z >= LEAST_Z)
-    place = np.full(DIMS, -1, np.int32)
+    place = np.full(len(c), -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     kept = sample.only(place >= 0)
     row = np.repeat(np.arange(len(kept), dtype=np.int32), np.diff(kept.first))
     w, more, bias = descend(row, place[kept.feature], len(chosen), extra, y, used, l2, rounds)
-    return Model(chosen, w, bias, more, fitted=True)
+    return Model(sample.number[chosen], w, bias, more, fitted=True)
 
 
 def fit_calibrated(sample: Sample, y: np.ndarray, extra: np.ndarray, fold: np.ndarray) -> tuple[Model, np.ndarray]:
@@ -232,7 +231,7 @@ def fit_calibrated(sample: Sample, y: np.ndarray, extra: np.ndarray, fold: np.nd
     margin = np.zeros(n)
     for k in np.unique(fold):
         part = fit(sample, y, extra, fold != k)
-        outside = sample.margins(part.weights) + part.bias + extra @ part.extra
+        outside = sample.margins(part) + part.bias + extra @ part.extra
         margin[fold == k] = outside[fold == k]
     model = fit(sample, y, extra)
     if len(np.unique(y)) == 2:

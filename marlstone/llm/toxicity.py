@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from marlstone.llm import linear, training
 from marlstone.llm import textbatch as tb
+from marlstone.llm import tokens as tk
 from marlstone.session import ship, table
 
 CHAIN = ("low_quality", "toxic")
@@ -71,6 +72,7 @@ def score(docs: DataFrame, models: list[linear.Model], chain: Sequence[str] = CH
     names = ["doc_id", *[f"p_{c}" for c in chain], "rejected"]
 
     def run(batches):
+        tk.drop()
         for batch in batches:
             for part in tb.slices(batch, most=linear.SLICE):
                 p, bad = rejected(shared.value, part.column("text"), threshold)
@@ -96,6 +98,7 @@ def keep(docs: DataFrame, models: list[linear.Model], threshold: float = THRESHO
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches):
+        tk.drop()
         for batch in batches:
             for part in tb.slices(batch, most=linear.SLICE):
                 yield part.filter(pa.array(~rejected(shared.value, part.column("text"), threshold)[1]))

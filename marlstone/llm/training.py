@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import linear
 from marlstone.llm import textbatch as tb
+from marlstone.llm import tokens as tk
 from marlstone.session import ship
 
 #: Labelled rows of each value of each label that a model is trained on, at most.
@@ -43,6 +44,7 @@ def train(docs: DataFrame, chosen: DataFrame, names: Sequence[str], lower: bool,
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
 
     def extract(batches):
+        tk.drop()
         for batch in batches:
             for part in tb.slices(batch, most=linear.SLICE):
                 row, feature = linear.present(*linear.features(part.column("text"), lower))
@@ -51,7 +53,7 @@ def train(docs: DataFrame, chosen: DataFrame, names: Sequence[str], lower: bool,
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[part.column(n) for n in names], pa.array(kept, pa.binary())], names=["doc_id", *names, "features"])
 
     def fit(batches):
-        tb.give_back()  # what an earlier stage left in this worker
+        tk.drop()  # what an earlier stage left in this worker
         flat, spans, labels = bytearray(), {}, {}
         for batch in batches:
             for x in batch.to_pylist():

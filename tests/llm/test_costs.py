@@ -1,6 +1,7 @@
 """What the operators' steps take: calls, sorted rows and memory, on small inputs."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -8,7 +9,17 @@ import pyarrow as pa
 import pytest
 from test_operators import library
 
-from marlstone.llm import repair, tokens
+from marlstone.llm import linear, repair, tokens
+
+
+def peak(work) -> float:
+    """MB that NumPy and Python take on top at most."""
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
 
 
 class Counting:
@@ -68,3 +79,15 @@ def test_compression_sorts_few_pairs(monkeypatch):
     first = {(a, b) for a, b in zip(g.left.tolist(), g.right.tolist(), strict=True) if max(a, b) < g.base}
     assert {p for p, n in Counter(pairs).items() if n >= max(repair.LEAST_COUNT, most // 4)} <= first
     assert sum(sizes) < len(ids)
+
+
+def test_training_takes_memory_by_the_sample_s_features():
+    r = np.random.default_rng(2)
+    rows = [np.sort(r.choice(2000, 100, replace=False)) for _ in range(300)]
+    spans = [(100 * i, 100 * i + 100) for i in range(300)]
+    flat = np.concatenate(rows).astype(np.int32) * 1000
+    y = np.array([int(7 in x or 8 in x or 9 in x) for x in rows], float)
+    held = linear.Sample.gathered(flat, spans, linear.LEAST_TEXTS)
+    found = []
+    assert peak(lambda: found.append(linear.fit_calibrated(held, y, np.zeros((300, 0)), np.arange(300) % 3)[0])) < 10
+    assert {7000, 8000, 9000} & set(found[0].index.tolist())
