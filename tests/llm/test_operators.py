@@ -350,6 +350,19 @@ def test_lines_of_a_large_family_equal_brute_force(spark):
     assert [out[i] for i in range(len(texts))] == brute_lines(texts)
 
 
+def test_line_tokens_ascend_and_frequent_ones_are_last_in_a_prefix(spark):
+    made = [" ".join(words(12, 50) + words(30, 100 + i)) for i in range(200)]
+    sets = stored(lines.tokens(lines.split_lines(docs(spark, ["\n".join(made)]))))
+    rows = [r["tokens"] for r in sets.collect()]
+    assert all(t == sorted(set(t)) for t in rows)
+    shared = set.intersection(*map(set, rows))
+    flags = lines.frequent(sets)
+    assert len(shared) == 8 and sum(flags) == 8
+    found = [r["prefix"] for r in lines.ordered(sets, flags).collect()]
+    assert [len(p) for p in found] == [8] * 200 and not any(shared & {t % 2**lines.TOKEN_BITS for t in p} for p in found)
+    assert [r["prefix"] for r in lines.ordered(sets, bytes(len(flags))).collect()] == [t[:8] for t in rows]
+
+
 def kinds(n):
     """Ids below n by their part in the language model."""
     crc = lambda x: zlib.crc32(x.encode())
