@@ -1,13 +1,14 @@
 """The store: atomic commits, locks, keyed tables in buckets."""
 
 import threading
+import time
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.session import shared_folder
+from marlstone.session import CLEANUP, shared_folder, stored
 from marlstone.state import Conflict, Files, Store
 
 JOBS = "id long, enabled boolean, next_run_at timestamp, locked_until timestamp"
@@ -30,6 +31,19 @@ def together(*steps):
     return out
 
 
+def test_stored_leaves_no_shuffle_files(spark):
+    """They go when the write ends, not when the driver collects its garbage; the session's setting is as before."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    before, setting = held(), spark.conf.get(CLEANUP, None)
+    made = stored(spark.range(20_000).withColumn("k", F.xxhash64("id")).repartition(5, "k"))
+    until = time.time() + 20
+    while held() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not held() - before
+    assert made.count() == 20_000 and spark.conf.get(CLEANUP, None) == setting
+
+
 def test_one_of_many_publishes(spark):
     files = [Files(spark, shared_folder(spark))] * 6
     assert sorted(together(*[lambda f=f, k=k: f.publish("1.json", f"writer {k}") for k, f in enumerate(files)])) == [False] * 5 + [True]
