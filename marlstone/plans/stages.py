@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+import gzip
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import text
@@ -74,6 +82,40 @@ def feed_formats(spark, d):
     return told.join(links, "feed_id", "left").select(F.col("feed_id").alias("page_id"), (F.col("feed_id") % 5).alias("kind"), "link", F.date_format("newest", "yyyy-MM-dd HH:mm:ss").alias("newest"), "format")
 
 
+#: A folder has so many files at most, and there are so many folders at least: Spark lists over 32 folders by all tasks.
+FILES_IN_FOLDER, LEAST_FOLDERS = 1000, 64
+
+
+def _page_files(rows: DataFrame, folder: str) -> None:
+    """A gzip file for each row of page_id and value, under the shared folder.
+
+    Tasks write their files themselves where Arrow knows the store: Spark's writer moves each file and, without Hadoop's
+    native library, starts a process or more for each file's permissions.
+    """
+    named = rows.select(F.col("page_id").cast("string").alias("page_id"), "value")
+    dealt = named.repartition(max(LEAST_FOLDERS, 4 * rows.sparkSession.sparkContext.defaultParallelism), "page_id")
+    try:
+        fs.FileSystem.from_uri(folder)
+    except (pa.ArrowException, OSError):  # a store that only Spark opens; tasks move their own files into place there
+        dealt.write.partitionBy("page_id").option("compression", "gzip").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(folder)
+        return
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = fs.FileSystem.from_uri(folder)
+        own, n = f"{base}/{TaskContext.get().partitionId()}", 0
+        for frame in frames:
+            for key, value in zip(frame["page_id"], frame["value"], strict=True):
+                if n % FILES_IN_FOLDER == 0:
+                    store.create_dir(f"{own}-{n // FILES_IN_FOLDER}", recursive=True)
+                with store.open_output_stream(f"{own}-{n // FILES_IN_FOLDER}/page_id={key}-{n}.xml.gz", compression=None) as out:
+                    out.write(gzip.compress(f"{value or ''}\n".encode(), 6, mtime=0))
+                n += 1
+        yield pd.DataFrame({"files": [n]})
+
+    # In order, so a task that runs again writes the same files.
+    dealt.sortWithinPartitions("page_id", "value").mapInPandas(write, "files long").write.format("noop").mode("overwrite").save()
+
+
 @query("""
 SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'http://h.org/a' END AS link, CASE page_id % 3 WHEN 1 THEN 'no sitemap' WHEN 2 THEN 'no sitemap' END AS message FROM pages""")
 def sitemap_files(spark, d):
@@ -82,10 +124,11 @@ def sitemap_files(spark, d):
     whole = F.lit("<urlset><url><loc>/a</loc></url></urlset>")
     body = F.when(key % 3 == 0, whole).when(key % 3 == 1, F.left(whole, F.lit(30))).otherwise(F.col("html"))
     rows = table(spark, d, "pages").select(key, F.regexp_replace(body, r"[\r\n]", " ").alias("value"))
-    dealt = rows.repartition(4 * spark.sparkContext.defaultParallelism, "page_id")  # so many small files are written by all tasks
-    # Tasks move their own files into place: the driver would rename one after another.
-    dealt.write.partitionBy("page_id").option("compression", "gzip").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(folder)
-    read = files.sitemaps(stored(files.bodies(spark, folder)), F.lit("http://h.org/"))  # both sides below read it: files are opened once
+    ship(spark)
+    _page_files(rows, folder)
+    # Spark reads 32 small files in a task; a task goes through many such groups and writes one file of bodies.
+    bodies = files.bodies(spark, folder).coalesce(4 * spark.sparkContext.defaultParallelism)
+    read = files.sitemaps(stored(bodies), F.lit("http://h.org/"))  # both sides below read it: files are opened once
     found = read.rows.select("path", "link", F.lit(None).cast("string").alias("message")).unionByName(read.problems.select("path", F.lit(None).cast("string").alias("link"), "message"))
     return found.select(F.regexp_extract("path", r"page_id=(\d+)", 1).cast("long").alias("page_id"), "link", "message")
 

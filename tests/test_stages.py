@@ -155,3 +155,12 @@ def test_sitemap_files_are_opened_once(spark):
         base.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet'")
         want = base.execute(catalog.oracle_sql()["sitemap_files"]).fetchall()
     assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_page_files_are_written_by_tasks_into_few_folders(spark, tmp_path):
+    """One file for a row, repeated ids too, none in a folder of its own; the reader sees each body."""
+    made = [(i % 290, "é<x>" * (i % 5)) for i in range(300)] + [(None, None)]
+    stages._page_files(spark.createDataFrame(made, "page_id long, value string"), f"file://{tmp_path}/f")
+    found = files.bodies(spark, f"file://{tmp_path}/f").select(F.regexp_extract("path", r"page_id=(\d+)", 1), "body", "problem").collect()
+    assert sorted(tuple(x) for x in found) == sorted(("" if k is None else str(k), f"{v or ''}\n", None) for k, v in made)
+    assert len({p.parent for p in tmp_path.rglob("*.gz")}) <= stages.LEAST_FOLDERS
