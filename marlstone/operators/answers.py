@@ -117,7 +117,7 @@ def grouped_parts(parts: DataFrame, key: str, number: str, summary: str) -> Data
     """Partial summaries (key, number from 1, summary) in groups to combine: key, group, first, parts, content.
 
     A group's content is its parts' blocks as a request shows them, `Part n:` and the summary; blocks
-    with their numbers are what is measured. An item has at most `MOST_CHUNKS` parts, so its array is small.
+    with their numbers are what is measured. An item's array is no larger than its text.
     """
     ship(parts.sparkSession)
     block = F.concat(F.lit("Part "), F.col(number).cast("string"), F.lit(":\n"), F.coalesce(F.col(summary), F.lit("")))
@@ -133,7 +133,7 @@ def combined(parts: DataFrame, key: str, number: str, summary: str, combine: Cal
 
     combine answers a round's requests (key, group, first, parts, content, round) with their `summary`; the
     answers, numbered by group, are the next round's parts. Each round has at most half as many parts, so there are as
-    many rounds as the logarithm of `MOST_CHUNKS`; each is stored. An item of one part keeps it without a request.
+    many rounds as the logarithm of the most parts of an item; each is stored. An item of one part keeps it without a request.
     """
     waiting = parts.select(F.col(key), F.col(number).cast("int").alias("_n"), F.col(summary).alias("summary"))
     done, asked = None, None
@@ -149,11 +149,11 @@ def combined(parts: DataFrame, key: str, number: str, summary: str, combine: Cal
         waiting = answered.select(key, (F.col("group") + 1).cast("int").alias("_n"), "summary")
 
 
-def summary_requests(items: DataFrame, key: str, text: str) -> DataFrame:
+def summary_requests(items: DataFrame, key: str, text: str, most: int | None = MOST_CHUNKS) -> DataFrame:
     """The requests that summarise each item: key, purpose, part, parts, dropped, content.
 
     A text of up to `CHUNK_TOKENS` estimated tokens is one request; a longer one is cut into parts
-    that overlap, of which the first `MOST_CHUNKS` are asked for and the others counted as dropped.
+    that overlap, of which the first `most` are asked for and the others counted as dropped; None asks for all.
     """
     ship(items.sparkSession)
 
@@ -162,7 +162,8 @@ def summary_requests(items: DataFrame, key: str, text: str) -> DataFrame:
         return texts.map(lambda t: split_text(t, CHUNK_TOKENS, OVERLAP_TOKENS), na_action="ignore")
 
     made = items.select(key, cut(text).alias("all")).where("size(all) > 0")
-    rows = made.select(key, F.size("all").alias("total"), F.posexplode(F.slice("all", 1, MOST_CHUNKS)).alias("part", "content"))
-    kept = F.least("total", F.lit(MOST_CHUNKS))
+    asked = F.col("all") if most is None else F.slice("all", 1, most)
+    rows = made.select(key, F.size("all").alias("total"), F.posexplode(asked).alias("part", "content"))
+    kept = F.least("total", F.lit(most))  # a null doesn't count
     purpose = F.when(F.col("total") == 1, "summarize").otherwise("summarize_chunk")
     return rows.select(key, purpose.alias("purpose"), (F.col("part") + 1).alias("part"), kept.alias("parts"), (F.col("total") - kept).alias("dropped"), "content")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import markdown, text, timing, urls
 from marlstone.operators import answers, dedupe, items, ordering, runs, statistics
-from marlstone.plans import catalog
+from marlstone.plans import catalog, texts
 from marlstone.session import shared_folder
 from marlstone.sources import discovery, listings, pages, transcripts
 from marlstone.state import Store
@@ -173,3 +173,15 @@ def test_text_and_addresses(spark):
     assert [discovery.is_public(a) for a in ("192.88.99.1", "fec0::1", "5f00::1", "64:ff9b::10.0.0.1", "64:ff9b::8.8.8.8", "fe80::1%eth0", "192.0.0.9", "::1", "2001:20::1")] == [False] * 4 + [True, False, True, False, True]
     assert transcripts.spoken("WEBVTT\n\nNOTE x\ny\n\nNOTEBOOK-1\n00:00 --> 00:01\n<i>a</i> &amp; b\na & b\n") == "a & b"
     assert row(statistics.stat_count(F.lit('{"a": true, "b": 3}'), "a"), statistics.stat_count(F.lit('{"a": true, "b": 3}'), "b")) == (None, 3)
+
+
+def test_summaries_are_of_whole_texts(spark, tmp_path):
+    """Every word of a text is in its summary, however many parts it has; words only at the end of a part, too."""
+    made = {1: " ".join(f"w{i}" for i in range(60_000)), 2: "one two one", 3: "x " * 5990 + "late " + "y " * 9000 + "end", 4: None, 5: " "}
+    spark.createDataFrame(list(made.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r["summary"].split() for r in texts.combined_summaries(spark, str(tmp_path)).collect()}
+    assert sorted(found) == [1, 2, 3] and found[2] == ["one", "two"]
+    for key, words in found.items():
+        assert set(made[key].split()) <= set(words)
+    groups = texts.summary_groups(spark, str(tmp_path)).where("doc_id = 1").collect()
+    assert set(made[1].split()) <= {w for g in groups for w in g["content"].split()} and sum(g["parts"] for g in groups) > answers.MOST_CHUNKS
