@@ -363,21 +363,15 @@ def test_line_tokens_ascend_and_frequent_ones_are_last_in_a_prefix(spark):
     assert [r["prefix"] for r in lines.ordered(sets, bytes(len(flags))).collect()] == [t[:8] for t in rows]
 
 
-def test_line_heads_are_stored_and_lines_they_do_not_tell_are_made_again(spark):
-    """A shared passage in most of a line: its head has too few other tokens; repeated rows are in it, too."""
-    r = random.Random(5)
-    passage = words(50, 7)
-    made = [" ".join(passage + words(5, 100 + i)) for i in range(160)] + [" ".join(passage[:3] + words(20, 500 + i)) for i in range(40)]
-    made += [" ".join(made[170].split()[:-1] + ["other"]), made[3] + " more"]
-    r.shuffle(made)
-    texts = ["\n".join(made[i : i + 4]) for i in range(0, len(made), 4)]
-    held = lines.heads(lines.tokens(lines.split_lines(docs(spark, texts))))
-    assert all(len(x["tokens"]) == min(x["n"], 2 * (x["n"] - -(-4 * x["n"] // 5) + 1) + lines.SPARE) for x in held.collect())
-    assert 100 < lines.ordered(held, lines.frequent(held)).where("prefix IS NULL").count() < len(made)
+def test_lines_are_made_again_from_their_place_in_a_text(spark):
+    """Texts with their own lines only, repeated rows too; no other line of a text comes with them."""
+    texts = ["a b c d e f\n\nx y", "p q r s t u v", None]
     table = docs(spark, texts)
-    out = [(x["doc_id"], x["text"]) for x in lines.without_repeats(table.union(table.where("doc_id = 0"))).collect()]
-    want = brute_lines(texts)
-    assert sorted(out) == sorted([*enumerate(want), (0, want[0])])
+    table = table.union(table.where("doc_id = 0"))
+    wanted = lines.split_lines(docs(spark, texts)).where("_line <> 1").selectExpr("_doc * 10 + _line AS id", "_doc", "_text", "_line")
+    want = {r["_doc"] * 10 + r["_line"]: r["tokens"] for r in lines.tokens(lines.split_lines(docs(spark, texts))).where("_line <> 1").collect()}
+    got = [(r["id"], r["tokens"]) for r in lines.made_again(wanted, table).collect()]
+    assert sorted(got) == sorted([*want.items(), (0, want[0]), (2, want[2])])
 
 
 def kinds(n):
